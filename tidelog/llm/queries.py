@@ -6,15 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import read_table
+from tidelog.llm.dac import read_corpus, write_corpus
+from tidelog.llm.packing import pack
 from tidelog.llm.sharding import kd_shards
 
 
+def op8_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token ids in directly addressable files, read back."""
+    return read_corpus(*write_corpus(read_table(spark, sf_dir, "documents")))
+
+
 def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near-equal bytes."""
     out = kd_shards(read_table(spark, sf_dir, "documents"), 40)
     return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
-QUERIES = {"op9_kd_sharding": op9_kd_sharding}
+def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op8_dac_tokens": op8_dac_tokens, "op9_kd_sharding": op9_kd_sharding, "op10_harmonic_packing": op10_harmonic_packing}
 
 ORACLES: dict[str, str] = {}
