@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,4 +52,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    here = str(Path(__file__).resolve().parents[2])
+    if spark.sparkContext.master.startswith("local["):  # workers must find this package wherever the session was started
+        spark.sparkContext.environment.setdefault("PYTHONPATH", here)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -7,10 +7,31 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import read_table
 from tidelog.llm.dac import read_corpus, write_corpus
+from tidelog.llm import mixing, urls
+from tidelog.llm.media import features, read_archives, write_archives
 from tidelog.llm.packing import pack
 from tidelog.llm.sharding import kd_shards
 
 
+def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by rule or host reputation; a page's outcome is bad if its label is toxic or of low quality."""
+    bad = ((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int")
+    labels = read_table(spark, sf_dir, "labels").where("toxic is not null and quality is not null")
+    return urls.judge(read_table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
+
+
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as an image and read back through the archive data source."""
+    root = write_archives(read_table(spark, sf_dir, "documents"))
+    return features(read_archives(spark, root, rangeBytes=str(16 << 20)))
+
+
+def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents replicated towards the target weights of their sources, globally shuffled."""
+    out = mixing.replicate(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", F.col("_mix_copies").alias("copies"), F.col("_mix_copy").alias("copy"), F.col("_mix_key").alias("shuffle_key"))
+
+
 def op8_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token ids in directly addressable files, read back."""
     return read_corpus(*write_corpus(read_table(spark, sf_dir, "documents")))
@@ -27,6 +48,13 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_dac_tokens": op8_dac_tokens, "op9_kd_sharding": op9_kd_sharding, "op10_harmonic_packing": op10_harmonic_packing}
+QUERIES = {
+    "op1_url_reputation": op1_url_reputation,
+    "op2_media_columns": op2_media_columns,
+    "op6_poisson_mixing": op6_poisson_mixing,
+    "op8_dac_tokens": op8_dac_tokens,
+    "op9_kd_sharding": op9_kd_sharding,
+    "op10_harmonic_packing": op10_harmonic_packing,
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_url_reputation": urls.ORACLE, "op6_poisson_mixing": mixing.ORACLE}
