@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.llm import mixing, urls
 from tidelog.llm.common import read_table
 from tidelog.llm.dac import read_corpus, write_corpus
-from tidelog.llm import mixing, urls
 from tidelog.llm.media import features, read_archives, write_archives
 from tidelog.llm.packing import pack
 from tidelog.llm.sharding import kd_shards
+from tidelog.llm.simhash import CONTRACT, near_duplicates
 
 
 def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +27,12 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(read_archives(spark, root, rangeBytes=str(16 << 20)))
 
 
+def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    found = near_duplicates(read_table(spark, sf_dir, "documents"), CONTRACT)
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents replicated towards the target weights of their sources, globally shuffled."""
     out = mixing.replicate(read_table(spark, sf_dir, "documents"))
@@ -51,6 +58,7 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_reputation": op1_url_reputation,
     "op2_media_columns": op2_media_columns,
+    "op3_simhash_trie": op3_simhash_trie,
     "op6_poisson_mixing": op6_poisson_mixing,
     "op8_dac_tokens": op8_dac_tokens,
     "op9_kd_sharding": op9_kd_sharding,
