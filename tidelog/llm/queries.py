@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import mixing, urls
+from tidelog.llm import langid, mixing, urls
 from tidelog.llm.common import read_table
 from tidelog.llm.dac import read_corpus, write_corpus
 from tidelog.llm.media import features, read_archives, write_archives
@@ -33,6 +33,14 @@ def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents that are not held out."""
+    docs = read_table(spark, sf_dir, "documents")
+    found = langid.predict(docs.select("doc_id", "text"), langid.learn(docs))
+    held_out = F.coalesce(~langid.learnable(F.col("doc_id")), F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), F.col("_lid_lang").alias("lang_pred"), F.col("_lid_score").alias("score"))
+
+
 def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents replicated towards the target weights of their sources, globally shuffled."""
     out = mixing.replicate(read_table(spark, sf_dir, "documents"))
@@ -59,6 +67,7 @@ QUERIES = {
     "op1_url_reputation": op1_url_reputation,
     "op2_media_columns": op2_media_columns,
     "op3_simhash_trie": op3_simhash_trie,
+    "op5_cross_parsing": op5_cross_parsing,
     "op6_poisson_mixing": op6_poisson_mixing,
     "op8_dac_tokens": op8_dac_tokens,
     "op9_kd_sharding": op9_kd_sharding,
