@@ -12,6 +12,7 @@ from tidelog.llm.media import features, read_archives, write_archives
 from tidelog.llm.packing import pack
 from tidelog.llm.sharding import kd_shards
 from tidelog.llm.simhash import CONTRACT, near_duplicates
+from tidelog.llm.substrings import digests
 
 
 def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +48,11 @@ def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", F.col("_mix_copies").alias("copies"), F.col("_mix_copy").alias("copy"), F.col("_mix_key").alias("shuffle_key"))
 
 
+def op7_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 13-word windows that start in a document with a smaller id."""
+    return digests(read_table(spark, sf_dir, "documents"))
+
+
 def op8_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token ids in directly addressable files, read back."""
     return read_corpus(*write_corpus(read_table(spark, sf_dir, "documents")))
@@ -69,6 +75,7 @@ QUERIES = {
     "op3_simhash_trie": op3_simhash_trie,
     "op5_cross_parsing": op5_cross_parsing,
     "op6_poisson_mixing": op6_poisson_mixing,
+    "op7_relative_lz": op7_relative_lz,
     "op8_dac_tokens": op8_dac_tokens,
     "op9_kd_sharding": op9_kd_sharding,
     "op10_harmonic_packing": op10_harmonic_packing,
