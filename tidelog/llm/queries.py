@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import langid, mixing, urls
+from tidelog.llm.ann import nearest
 from tidelog.llm.common import read_table
 from tidelog.llm.dac import read_corpus, write_corpus
 from tidelog.llm.media import features, read_archives, write_archives
@@ -34,6 +35,11 @@ def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors by inner product of every vector whose id is divisible by 20."""
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op5_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the documents that are not held out."""
     docs = read_table(spark, sf_dir, "documents")
@@ -73,6 +79,7 @@ QUERIES = {
     "op1_url_reputation": op1_url_reputation,
     "op2_media_columns": op2_media_columns,
     "op3_simhash_trie": op3_simhash_trie,
+    "op4_stable_projections": op4_stable_projections,
     "op5_cross_parsing": op5_cross_parsing,
     "op6_poisson_mixing": op6_poisson_mixing,
     "op7_relative_lz": op7_relative_lz,
