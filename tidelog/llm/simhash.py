@@ -39,13 +39,16 @@ CHUNK = 1 << 16
 
 @dataclass(frozen=True)
 class Spec:
-    """words: shingle length; bits: of the fingerprint, a multiple of 64; budget: differing bits that still link;
-    tables: (first bit, width) of the block that must be equal, for each rotation; cap: fingerprints in a subtrie."""
+    """words: shingle length; bits: of the joined fingerprint, a multiple of 64; budget: differing bits that still link;
+    tables: (first bit, width) of the block that must be equal, for each rotation; wide, wide_budget: bits of a longer
+    fingerprint (the joined one leads it) that confirms links; cap: fingerprints in a subtrie."""
 
     words: int
     bits: int
     budget: int
     tables: tuple[tuple[int, int], ...]
+    wide: int = 0
+    wide_budget: int = 0
     cap: int = CAP
 
     @property
@@ -57,8 +60,9 @@ class Spec:
 CONTRACT = Spec(3, 64, 2, ((0, 22), (22, 21), (43, 21)))
 #: For a Jaccard similarity J of 5-word shingle sets, bits differ with probability acos(2 J / (1 + J)) / pi: 0.15 at
 #: J = 0.8 (39 of 256 bits expected), 0.27 at J = 0.5. With 24 rotations of 16 equal bits, a pair with J = 0.8 meets in one
-#: with probability 0.84, J = 0.9 with 0.99.
-NEAR = Spec(5, 256, 46, tuple((round(i * 256 / 24), 16) for i in range(24)))
+#: with probability 0.84, J = 0.9 with 0.99. Of 1024 bits, 155 are expected to differ at J = 0.8 and 176 at J = 0.75, with a
+#: deviation of 11 or 12.
+NEAR = Spec(5, 256, 48, tuple((round(i * 256 / 24), 16) for i in range(24)), 1024, 161)
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -107,7 +111,7 @@ def fingerprints(docs: DataFrame, spec: Spec, id_col: str = "doc_id", text_col:
         for batch in small_batches(batches, "text"):
             texts = batch.column("text").to_pylist()
             crc = [zlib.crc32((t or "").encode()) for t in texts]
-            fps = [fingerprint(t, spec.words, spec.bits) for t in texts]
+            fps = [fingerprint(t, spec.words, max(spec.bits, spec.wide)) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(crc, pa.int64()), pa.array(fps, pa.binary())], ["doc_id", "text_crc32", "fp"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -141,8 +145,8 @@ def _join_all(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = up
 
 
-def trie_join(words: np.ndarray, groups: np.ndarray, depth: int, budget: int) -> np.ndarray:
-    """Root of each row: rows of a group that differ in at most `budget` bits are joined.
+def trie_join(words: np.ndarray, groups: np.ndarray, depth: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as pairs of rows, of the rows of each group that differ in at most `budget` bits.
 
     words: sorted within each group; groups: the rows' group numbers, ascending; rows of a group share `depth` bits.
     """
@@ -152,10 +156,11 @@ def trie_join(words: np.ndarray, groups: np.ndarray, depth: int, budget: int) ->
     keep = np.diff(bounds) > 1
     node = np.stack([bounds[:-1][keep], bounds[1:][keep]], axis=1)
     u, v, err = node, node, np.zeros(len(node), np.int64)
+    forest: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     while len(u):
         pairs = (u[:, 1] - u[:, 0]) * (v[:, 1] - v[:, 0])
         small = (pairs <= LEAF_PAIRS) | (depth >= bits)
-        _verify(words, root, u[small], v[small], budget)
+        _verify(words, root, u[small], v[small], budget, forest)
         u, v, err = u[~small], v[~small], err[~small]
         if not len(u):
             break
@@ -173,11 +178,11 @@ def trie_join(words: np.ndarray, groups: np.ndarray, depth: int, budget: int) ->
         alive = (err <= budget) & (u[:, 0] < u[:, 1]) & (v[:, 0] < v[:, 1]) & ~((u[:, 0] == v[:, 0]) & (u[:, 1] - u[:, 0] < 2))
         u, v, err = u[alive], v[alive], err[alive]
         depth += 1
-    return root
+    return np.concatenate([a for a, _ in forest]), np.concatenate([b for _, b in forest])
 
 
-def _verify(words: np.ndarray, root: np.ndarray, u: np.ndarray, v: np.ndarray, budget: int) -> None:
-    """Compare the fingerprints under small node pairs and join those within the budget."""
+def _verify(words: np.ndarray, root: np.ndarray, u: np.ndarray, v: np.ndarray, budget: int, forest: list) -> None:
+    """Compare the fingerprints under small node pairs and join those within the budget, nearest first (Boruvka)."""
     for at in range(0, len(u), CHUNK):
         a, b = u[at : at + CHUNK], v[at : at + CHUNK]
         width = b[:, 1] - b[:, 0]
@@ -188,8 +193,18 @@ def _verify(words: np.ndarray, root: np.ndarray, u: np.ndarray, v: np.ndarray, b
         keep = i < j
         keep[keep] = root[i[keep]] != root[j[keep]]
         i, j = i[keep], j[keep]
-        near = np.bitwise_count(words[i] ^ words[j]).sum(axis=1) <= budget
-        _join_all(root, i[near], j[near])
+        far = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64)
+        near = far <= budget
+        i, j, far = i[near], j[near], far[near]
+        while len(i):
+            _, ends = np.unique(np.concatenate([root[i], root[j]]), return_inverse=True)
+            best = np.full(int(ends.max()) + 1, 1 << 62)
+            np.minimum.at(best, ends, np.tile((far << 32) + np.arange(len(i)), 2))
+            picked = np.unique(best & (1 << 32) - 1)
+            forest.append((i[picked], j[picked]))
+            _join_all(root, i[picked], j[picked])
+            apart = root[i] != root[j]
+            i, j, far = i[apart], j[apart], far[apart]
 
 
 def _entries(nodes: DataFrame, spec: Spec, extra: int = 0) -> DataFrame:
@@ -217,10 +232,9 @@ def _link_buckets(entries: DataFrame, spec: Spec, extra: int = 0) -> DataFrame:
             turned = _rotated(words[rows], spec.tables[t][0])
             order = np.lexsort([*[turned[:, c] for c in range(turned.shape[1] - 1, -1, -1)], buckets[rows]])
             rows = rows[order]
-            root = trie_join(turned[order], buckets[rows], spec.tables[t][1] + extra, spec.budget)
-            member = np.flatnonzero(root != np.arange(len(root)))
-            if len(member):
-                yield pa.RecordBatch.from_arrays([fps.take(pa.array(rows[member])), fps.take(pa.array(rows[root[member]]))], ["a", "b"])
+            i, j = trie_join(turned[order], buckets[rows], spec.tables[t][1] + extra, spec.budget)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([fps.take(pa.array(rows[i])), fps.take(pa.array(rows[j]))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -282,6 +296,20 @@ def links(nodes: DataFrame, spec: Spec) -> DataFrame:
     return deeper
 
 
+def _confirmed(edges: DataFrame, nodes: DataFrame, spec: Spec) -> DataFrame:
+    """The edges whose wide fingerprints differ in at most `wide_budget` bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = np.bitwise_count(_words(batch.column("wide_a"), spec.wide) ^ _words(batch.column("wide_b"), spec.wide)).sum(axis=1, dtype=np.int64)
+            yield batch.filter(pa.array(far <= spec.wide_budget)).select(["a", "b"])
+
+    ends = nodes.select("fp", "wide")
+    pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = pairs.join(ends.toDF("a", "wide_a"), "a").join(ends.toDF("b", "wide_b"), "b")
+    return pairs.select("a", "b", "wide_a", "wide_b").mapInArrow(run, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, spec: Spec = CONTRACT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_crc32, fp, component_id (smallest id of the group) of every row.
 
@@ -291,8 +319,11 @@ def near_duplicates(docs: DataFrame, spec: Spec = CONTRACT, id_col: str = "doc_i
     may split where a fingerprint is hot; everything before sees distinct fingerprints only.
     """
     fps = materialize(fingerprints(docs, spec, id_col, text_col), "fingerprints")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    roots = components(links(nodes, spec))
+    key = F.substring("fp", 1, spec.bits // 8)  # equal for all practical purposes only in texts that confirm each other
+    fps = fps.select("doc_id", "text_crc32", key.alias("fp"), F.col("fp").alias("wide"))
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("wide").alias("wide")), "distinct-fingerprints")
+    edges = links(nodes, spec)
+    roots = components(_confirmed(edges, nodes, spec) if spec.wide else edges)
     joined = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     joined = materialize(joined, "roots")
     groups = joined.groupBy("root").agg(F.min("first").alias("component_id"))
