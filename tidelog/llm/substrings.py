@@ -7,32 +7,38 @@ the windows' starts, so both ends of a factor are exact, and shorter agreements
 The index is cut into blocks that need not meet in one task:
 
 1. Each window of 13 words is anchored at its least hashed 5-word group (leftmost of equals). Equal windows have equal
-   anchors, one window in five or so has an anchor of its own, and only anchors are indexed first (`anchors`).
-2. Anchors seen under more than one id are looked up; documents without any have no factor.
-3. The remaining documents look up the 128-bit hashes of the windows at those anchors: the least id of each window
-   (`first_starts`), and from it the window's verdict.
-
-Every lookup is an aggregate, combined before its shuffle, joined back to its keys: a passage that a third of all
-documents share is a hot key of a join that Spark may split. What goes between the steps is written to the shared folder.
+   anchors, and one word in five or so is an anchor; anchors are looked up first (`shared_anchors`).
+2. Windows at anchors that more than one document has are looked up by 96-bit hashes: a window is part of a factor if
+   the least id that has it is smaller than its document's (`later_windows`).
+
+Before either lookup a task settles what its own documents tell and sends each distinct anchor or window once, so a
+passage that a third of all documents share is as many rows as there are tasks. Lookups travel as packed columns, one blob
+from a task to a partition; a partition's blobs are held as arrays, so partitions should be sized to fit memory
+(spark.sql.shuffle.partitions), as for any shuffle. A document's home partition follows from its id: what was found out
+about its text is sent there, ahead of the text itself. What goes between the steps is written to the shared folder.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tidelog.llm.common import materialize
+from tidelog.llm.common import materialize, shuffle_partitions
 from tidelog.llm.tokens import small_batches
 
 WINDOW = 13
 ANCHOR = 5
-BATCH = 4 << 20
+BATCH = 2 << 20
+#: Anchors or windows that a task settles together.
+HELD = 1 << 18
 _ODD = np.random.default_rng(20240607).integers(1, 1 << 63, size=(2, 64), dtype=np.uint64) | np.uint64(1)
 
 
@@ -78,59 +84,241 @@ class Words:
         return starts, starts + at[starts], grams
 
 
-def anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """anchor, id, at: every anchor of every document, `at` counted in words."""
+def _pack(*columns: np.ndarray) -> bytes:
+    """Integer columns in one blob: unsigned 64- and 32-bit ones (hashes) as they are, others less their minimum in as few
+    bytes as the rest needs."""
+    out = [struct.pack("<I", len(columns[0]))]
+    for c in columns:
+        if c.dtype in (np.uint64, np.uint32):
+            out += [struct.pack("<Bq", 0x80 | c.itemsize, 0), c.tobytes()]
+            continue
+        base = int(c.min()) if len(c) else 0
+        rest = c.astype(np.int64) - base
+        width = next(w for w in (1, 2, 4, 8) if not len(c) or int(rest.max()) < 1 << 8 * w)
+        out += [struct.pack("<Bq", width, base), rest.astype(f"<u{width}").tobytes()]
+    return b"".join(out)
+
+
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    (n,), at, out = struct.unpack_from("<I", blob), 4, []
+    while at < len(blob):
+        code, base = struct.unpack_from("<Bq", blob, at)
+        width = code & 0x7F
+        raw = np.frombuffer(blob, f"<u{width}", n, at + 9)
+        out.append(raw if code & 0x80 else raw.astype(np.int64) + base)
+        at += 9 + n * width
+    return out
+
+
+def _joined(blobs: list[bytes]) -> list[np.ndarray]:
+    return [np.concatenate(c) for c in zip(*map(_unpack, blobs), strict=True)]
+
+
+BLOBS = "bucket long, kind int, blob binary"
+_LOOKUP, _SETTLED = 0, 1
+
+
+def _sliced(places: np.ndarray, keys: list[int], kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows dealt to partitions: one blob for each partition number in `places` (ascending)."""
+    if not len(places):
+        return
+    starts = np.append(np.flatnonzero(np.append(True, places[1:] != places[:-1])), len(places)).tolist()
+    blobs = [_pack(*(c[a:b] for c in columns)) for a, b in zip(starts, starts[1:], strict=False)]
+    yield pa.RecordBatch.from_arrays([pa.array([keys[int(places[a])] for a in starts[:-1]], pa.int64()), pa.array([kind] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "kind", "blob"])
+
+
+def _place(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The partition of a hash; ascending hashes have ascending partitions."""
+    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _keys(spark: SparkSession, parts: int) -> list[int]:
+    """For each partition a number that Spark's hash partitioning sends there, so that blobs are dealt evenly."""
+    near = spark.range(16 * parts).select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("p")).groupBy("p").agg(F.min("id").alias("id"))
+    found = {r["p"]: r["id"] for r in near.collect()}
+    return [found.get(p, p) for p in range(parts)]
+
+
+def _home(keys: list[int]) -> Column:
+    """The bucket of a document: by its id, or by its text's checksum where it has none."""
+    return F.element_at(F.array(*map(F.lit, keys)), (F.pmod(F.coalesce("_sub_id", "_sub_crc"), F.lit(len(keys)).cast("long")) + 1).cast("int")).cast("long")
+
+
+def anchor_blobs(docs: DataFrame, window: int, anchor: int, keys: list[int]) -> DataFrame:
+    """What a task cannot settle by itself about the anchors of its documents.
+
+    To look up: every distinct anchor once, with the home partition of its document if only one has it here. Settled:
+    anchors that two documents of the task have, for each of these documents' homes.
+    """
+    parts = len(keys)
+
+    def settle(anchors: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((ids, anchors))
+        anchors, ids = anchors[order], ids[order]
+        fresh = np.append(True, (anchors[1:] != anchors[:-1]) | (ids[1:] != ids[:-1]))
+        anchors, homes = anchors[fresh], np.mod(ids[fresh], parts)
+        distinct, first, count = np.unique(anchors, return_index=True, return_counts=True)
+        yield from _sliced(_place(distinct, parts), keys, _LOOKUP, distinct, homes[first], (count == 1).astype(np.int64))
+        shared = np.repeat(count > 1, count)
+        pairs = np.unique(np.stack([homes[shared].astype(np.uint64), anchors[shared]], 1), axis=0)
+        yield from _sliced(pairs[:, 0].astype(np.int64), keys, _SETTLED, pairs[:, 1].copy())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in small_batches(batches, "text", BATCH):
             words = Words(batch.column("text").to_pylist())
             _, at, grams = words.windows(window, anchor)
-            at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at  # anchors never go back
-            own = words.owner[at]
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), pa.array(ids[own], pa.int64()), pa.array((at - words.first[own]).astype(np.int32))], ["anchor", "id", "at"])
+            at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at  # anchors never go back
+            held.append((grams[at], batch.column("_sub_id").to_numpy()[words.owner[at]]))
+            n += len(at)
+            if n >= HELD:
+                yield from settle(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                held, n = [], 0
+        if n:
+            yield from settle(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
-    return docs.where("id is not null").select("id", "text").mapInArrow(run, "anchor long, id long, at int")
+    return docs.where("_sub_id is not null").select("_sub_id", "text").mapInArrow(run, BLOBS)
 
 
-def shared_windows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """high, low, id, crc, start: the windows at the given anchors (docs: id, crc, text, ats) of each document."""
+def shared_anchors(blobs: DataFrame, keys: list[int]) -> DataFrame:
+    """For each home, the anchors of its documents that another document has too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", BATCH):
-            words = Words(batch.column("text").to_pylist())
-            starts, at, _ = words.windows(window, anchor)
-            ats = batch.column("ats")
-            places = ats.flatten().to_numpy(zero_copy_only=False) + np.repeat(words.first[:-1], pc.list_value_length(ats).to_numpy(zero_copy_only=False))
-            wanted = np.zeros(len(words.high) + 1, bool)
-            wanted[places[places < len(words.high)]] = True
-            starts = starts[wanted[at]]
-            own = words.owner[starts]
-            high, low = words.groups(words.high, window)[starts], words.groups(words.low, window, 1)[starts]
-            columns = [pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), batch.column("id").take(pa.array(own)), batch.column("crc").take(pa.array(own)), pa.array((starts - words.first[own]).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["high", "low", "id", "crc", "start"])
+        held = []
+        for batch in batches:
+            settled = pc.equal(batch.column("kind"), _SETTLED)
+            yield batch.filter(settled)
+            held += batch.filter(pc.invert(settled)).column("blob").to_pylist()
+        if held:
+            anchors, homes, alone = _joined(held)
+            order = np.argsort(anchors, kind="stable")
+            anchors, homes, alone = anchors[order], homes[order], alone[order]
+            again = anchors[1:] == anchors[:-1]
+            hit = (np.append(again, False) | np.append(False, again)) & (alone == 1)
+            anchors, homes = anchors[hit], homes[hit]
+            order = np.argsort(homes, kind="stable")
+            yield from _sliced(homes[order], keys, _SETTLED, anchors[order])
+
+    return blobs.mapInArrow(run, BLOBS)
+
+
+def _runs(starts: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Consecutive starts of one text as (first start, length), with the text's keys; sorted by keys, then start."""
+    order = np.lexsort((starts, *reversed(keys)))
+    starts, keys = starts[order], tuple(k[order] for k in keys)
+    new = np.append(True, starts[1:] != starts[:-1] + 1)
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    first = np.flatnonzero(new)
+    return (*(k[first] for k in keys), starts[first], np.diff(np.append(first, len(starts))))
+
+
+def _settled_runs(ids: np.ndarray, crcs: np.ndarray, starts: np.ndarray, keys: list[int]) -> Iterator[pa.RecordBatch]:
+    if not len(ids):
+        return
+    ids, crcs, starts, lengths = _runs(starts.astype(np.int64), ids, crcs)
+    homes = np.mod(ids, len(keys))
+    order = np.argsort(homes, kind="stable")
+    yield from _sliced(homes[order], keys, _SETTLED, ids[order], crcs[order], starts[order], lengths[order])
+
+
+def _later(high: np.ndarray, low: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that groups equal windows, and whether each row in it has a larger id than the least of its group."""
+    order = np.lexsort((ids, low, high))
+    high, low, ids = high[order], low[order], ids[order]
+    fresh = np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1]))
+    return order, ids > ids[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+
+
+def window_blobs(docs: DataFrame, window: int, anchor: int, keys: list[int]) -> DataFrame:
+    """What a task cannot settle about the windows at shared anchors. docs: a home's blobs first, then its texts.
+
+    Settled: windows that the task also sees under a smaller id, as runs of starts. To look up: the windows of the least
+    id here.
+    """
+    parts = len(keys)
+
+    def settle(high: np.ndarray, low: np.ndarray, ids: np.ndarray, crcs: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order, later = _later(high, low, ids)
+        gone, kept = order[later], order[~later]
+        yield from _settled_runs(ids[gone], crcs[gone], starts[gone], keys)
+        yield from _sliced(_place(high[kept], parts), keys, _LOOKUP, high[kept], low[kept], ids[kept], crcs[kept], starts[kept])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs, wanted, held, n = [], None, [], 0
+        for batch in batches:
+            listed = batch.column("blob").is_valid()
+            blobs += batch.filter(listed).column("blob").to_pylist()
+            for part in small_batches(iter([batch.filter(pc.invert(listed))]), "text", BATCH):
+                if wanted is None:
+                    wanted = np.unique(_joined(blobs)[0]) if blobs else np.zeros(0, np.uint64)
+                if not len(wanted):
+                    continue
+                words = Words(part.column("text").to_pylist())
+                starts, at, grams = words.windows(window, anchor)
+                found = np.minimum(np.searchsorted(wanted, grams[at]), len(wanted) - 1)
+                starts = starts[wanted[found] == grams[at]]
+                own = words.owner[starts]
+                ids, crcs = (part.column(c).to_numpy()[own] for c in ("_sub_id", "_sub_crc"))
+                low = words.groups(words.low, window, 1)[starts].astype(np.uint32)
+                held.append((words.groups(words.high, window)[starts], low, ids, crcs, starts - words.first[own]))
+                n += len(starts)
+                if n >= HELD:
+                    yield from settle(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                    held, n = [], 0
+        if n:
+            yield from settle(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    return docs.mapInArrow(run, BLOBS)
+
+
+def later_windows(blobs: DataFrame, keys: list[int]) -> DataFrame:
+    """For each home, its texts' runs of windows that start in a document with a smaller id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            settled = pc.equal(batch.column("kind"), _SETTLED)
+            yield batch.filter(settled)
+            held += batch.filter(pc.invert(settled)).column("blob").to_pylist()
+        if held:
+            high, low, ids, crcs, starts = _joined(held)
+            held.clear()
+            order, later = _later(high, low, ids)
+            gone = order[later]
+            yield from _settled_runs(ids[gone], crcs[gone], starts[gone], keys)
+
+    return blobs.mapInArrow(run, BLOBS)
+
 
-    return docs.select("id", "crc", "text", "ats").mapInArrow(run, "high long, low long, id long, crc long, start int")
+def _with_blobs(docs: DataFrame, blobs: DataFrame, keys: list[int]) -> DataFrame:
+    """Each home's blobs and documents in one partition, the blobs first."""
+    both = docs.withColumn("bucket", _home(keys)).unionByName(blobs.select("bucket", "blob"), allowMissingColumns=True)
+    return both.repartition(len(keys), "bucket").sortWithinPartitions(F.col("blob").isNull())
 
 
-def duplicate_starts(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, crc, starts: for each document with a factor, the ascending starts of its windows that an earlier one has.
+def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Adds _sub_id and _sub_crc."""
+    return docs.withColumns({"_sub_id": F.col(id_col).cast("long"), "_sub_crc": F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))})
 
-    crc is the text's CRC-32: rows with one id and different texts are judged each on its own, and are references
-    together. Rows without an id are neither judged nor references.
+
+def duplicate_runs(docs: DataFrame, keys: list[int], window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Blobs of (id, crc, start, length): runs of windows that start in a document with a smaller id, by home.
+
+    crc is the text's CRC-32 where ids repeat, else 0: rows with one id and different texts are judged each on its own,
+    and are references together. Rows without an id are neither judged nor references.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-    found = materialize(anchors(slim, window, anchor), "anchors")
-    shared = found.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("anchor")
-    places = materialize(found.join(shared, "anchor").select("id", "at"), "shared-anchors")
-    ats = places.groupBy("id").agg(F.collect_set("at").alias("ats"))
-    keyed = slim.where("id is not null").withColumn("crc", F.crc32(F.col("text").cast("binary")))
-    windows = materialize(shared_windows(keyed.join(ats, "id"), window, anchor), "windows")
-    first_starts = windows.groupBy("high", "low").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("high", "low", "first")
-    later = windows.join(first_starts, ["high", "low"]).where("id > first").select("id", "crc", "start")
-    later = materialize(later, "repeated-windows")
-    return later.groupBy("id", "crc").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    parts = len(keys)
+    slim = _identified(docs, id_col, text_col).where("_sub_id is not null").select("_sub_id", "_sub_crc", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if not _repeated(docs, id_col):
+        slim = slim.withColumn("_sub_crc", F.lit(0).cast("long"))
+    shared = materialize(shared_anchors(anchor_blobs(slim, window, anchor, keys).repartition(parts, "bucket"), keys), "shared-anchors")
+    windows = window_blobs(_with_blobs(slim, shared, keys), window, anchor, keys)
+    return materialize(later_windows(windows.repartition(parts, "bucket"), keys), "repeated-windows")
+
+
+def _repeated(docs: DataFrame, id_col: str) -> bool:
+    return not docs.groupBy(F.col(id_col)).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).isEmpty()
 
 
 def factors(starts: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
@@ -144,11 +332,35 @@ def factors(starts: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
     return out
 
 
-def marked(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of `docs` and _sub_starts (null: no factor). Documents meet their marks by id in a splittable join."""
-    starts = duplicate_starts(docs, window, anchor, id_col, text_col).select(F.col("id").alias("_sub_id"), F.col("crc").alias("_sub_crc"), F.col("starts").alias("_sub_starts"))
-    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    return docs.join(starts, (F.col(id_col).cast("long") == F.col("_sub_id")) & (crc == F.col("_sub_crc")), "left").select(*docs.columns, "_sub_starts")
+def with_starts(docs: DataFrame, change: Callable[[pa.RecordBatch, list[list[int] | None]], pa.RecordBatch], schema: str | StructType, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """change(batch, starts) of every batch of `docs`, with the ascending starts of each row's repeated windows."""
+    keys = _keys(docs.sparkSession, shuffle_partitions(docs.sparkSession))
+    runs = duplicate_runs(docs, keys, window, anchor, id_col, text_col)
+    repeated, names = _repeated(docs, id_col), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs, place, table = [], None, []
+        for batch in batches:
+            listed = batch.column("blob").is_valid()
+            blobs += batch.filter(listed).column("blob").to_pylist()
+            for part in small_batches(iter([batch.filter(pc.invert(listed))]), text_col, BATCH):
+                if place is None:
+                    place = {}
+                    if blobs:
+                        ids, crcs, first, length = table = _joined(blobs)
+                        order = np.lexsort((first, crcs, ids))
+                        table = [c[order] for c in table]
+                        bounds = np.flatnonzero(np.append(True, (np.diff(table[0]) != 0) | (np.diff(table[1]) != 0)))
+                        ends = np.append(bounds[1:], len(ids)).tolist()
+                        place = {(i, c): (a, b) for i, c, a, b in zip(table[0][bounds].tolist(), table[1][bounds].tolist(), bounds.tolist(), ends, strict=True)}
+                starts: list[list[int] | None] = []
+                for i, c in zip(part.column("_sub_id").to_pylist(), part.column("_sub_crc").to_pylist(), strict=True):
+                    a, b = place.get((i, c if repeated else 0), (0, 0))
+                    found = [range(f, f + n) for f, n in zip(table[2][a:b].tolist(), table[3][a:b].tolist(), strict=True)] if b else []
+                    starts.append(sorted({x for r in found for x in r}) or None)
+                yield change(part.select(names), starts)
+
+    return _with_blobs(_identified(docs, id_col, text_col), runs, keys).mapInArrow(run, schema)
 
 
 def kept_words(text: str | None, starts: list[int] | None, window: int = WINDOW) -> tuple[int, list[bytes]]:
@@ -170,25 +382,23 @@ def digests(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
     as they went in; rows without an id keep all words; an empty table gives an empty result; other columns are not read.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", BATCH):
-            rows = []
-            for doc, text, starts in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("_sub_starts").to_pylist(), strict=True):
-                n, kept = kept_words(text, starts, window)
-                rows.append((doc, n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+    def change(batch: pa.RecordBatch, starts: list[list[int] | None]) -> pa.RecordBatch:
+        rows = []
+        for doc, text, own in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), starts, strict=True):
+            n, kept = kept_words(text, own, window)
+            rows.append((doc, n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return marked(slim, window).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return with_starts(slim, change, "doc_id long, n_words long, n_removed long, kept_sha256 string", window)
 
 
 def remove_duplicates(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of `docs`, factors cut from the text: kept words joined by one space. Texts without a factor stay."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, text_col, BATCH):
-            texts = [t if not s else b" ".join(kept_words(t, s, window)[1]).decode() for t, s in zip(batch.column(text_col).to_pylist(), batch.column("_sub_starts").to_pylist(), strict=True)]
-            names = [n for n in batch.schema.names if n != "_sub_starts"]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(n).type) if n == text_col else batch.column(n) for n in names], names)
+    def change(batch: pa.RecordBatch, starts: list[list[int] | None]) -> pa.RecordBatch:
+        texts = [t if not s else b" ".join(kept_words(t, s, window)[1]).decode() for t, s in zip(batch.column(text_col).to_pylist(), starts, strict=True)]
+        columns = [pa.array(texts, c.type) if n == text_col else c for n, c in zip(batch.schema.names, batch.columns, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return marked(docs, window, id_col=id_col, text_col=text_col).mapInArrow(run, docs.schema)
+    return with_starts(docs, change, docs.schema, window, id_col=id_col, text_col=text_col)
