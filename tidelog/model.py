@@ -12,7 +12,7 @@ CAUSE = T.StructType([T.StructField(n, T.LongType(), False) for n in ("source",
 
 #: The canonical event: ids and the three time axes are flat columns, so Parquet statistics apply to each.
 EVENT = T.StructType(
-    [T.StructField(n, T.LongType(), n not in ("observed_clock", "observed_ticks")) for n in ("source", "epoch", "sequence", "shard", "slot", "generation", "schema_id", "valid_clock", "valid_ticks", "observed_clock", "observed_ticks", "known_clock", "known_ticks")]
+    [T.StructField(n, T.LongType(), n.startswith("observed")) for n in ("source", "epoch", "sequence", "shard", "slot", "generation", "schema_id", "valid_clock", "valid_ticks", "observed_clock", "observed_ticks", "known_clock", "known_ticks")]
     + [T.StructField("payload", T.BinaryType()), T.StructField("causes", T.ArrayType(CAUSE, False))]
 )
 
