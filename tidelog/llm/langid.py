@@ -27,7 +27,7 @@ SAMPLE_BYTES = 16_384
 SAMPLE_TOTAL = 1 << 21
 PIECE = 256
 SEGMENT = 1024
-BATCH = 4 << 20
+BATCH = 2 << 20
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _FLAG = 1 << 30

@@ -35,6 +35,7 @@ SEED = 42
 CAP = 2048
 LEAF_PAIRS = 64
 CHUNK = 1 << 16
+BATCH = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -108,7 +109,7 @@ def fingerprints(docs: DataFrame, spec: Spec, id_col: str = "doc_id", text_col:
     """doc_id, text_crc32, fp of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", BATCH):
             texts = batch.column("text").to_pylist()
             crc = [zlib.crc32((t or "").encode()) for t in texts]
             fps = [fingerprint(t, spec.words, max(spec.bits, spec.wide)) for t in texts]
@@ -183,8 +184,9 @@ def trie_join(words: np.ndarray, groups: np.ndarray, depth: int, budget: int) ->
 
 def _verify(words: np.ndarray, root: np.ndarray, u: np.ndarray, v: np.ndarray, budget: int, forest: list) -> None:
     """Compare the fingerprints under small node pairs and join those within the budget, nearest first (Boruvka)."""
-    for at in range(0, len(u), CHUNK):
-        a, b = u[at : at + CHUNK], v[at : at + CHUNK]
+    step = CHUNK // LEAF_PAIRS * 4
+    for at in range(0, len(u), step):
+        a, b = u[at : at + step], v[at : at + step]
         width = b[:, 1] - b[:, 0]
         count = (a[:, 1] - a[:, 0]) * width
         which = np.repeat(np.arange(len(a)), count)
@@ -241,7 +243,7 @@ def _link_buckets(entries: DataFrame, spec: Spec, extra: int = 0) -> DataFrame:
         for batch in batches:
             held.append(batch)
             n += batch.num_rows
-            if n >= CHUNK * 4:
+            if n >= CHUNK:
                 table = pa.Table.from_batches(held).combine_chunks()
                 buckets = table.column("bucket").to_numpy()
                 last = int(np.searchsorted(buckets, buckets[-1]))  # its bucket may go on in the next batch
