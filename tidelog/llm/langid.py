@@ -30,7 +30,7 @@ SEGMENT = 1024
 BATCH = 2 << 20
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
-_FLAG = 1 << 30
+_FLAG = 1 << 29
 
 
 def _symbols(data: bytes) -> np.ndarray:
@@ -73,7 +73,8 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 @dataclass
 class Model:
-    """The table of one language: entry [state * width + class] is the next state * width, plus _FLAG if a phrase ended."""
+    """The table of one language: entry [state * width + class] is the next state * width, plus _FLAG for each phrase
+    that ended. A symbol that the sample lacks is a phrase by itself."""
 
     table: np.ndarray
     classes: np.ndarray
@@ -91,6 +92,7 @@ class Model:
         for s, to in moves[0].items():
             root[s] = to * width + _FLAG
         table = np.tile(root, (len(moves), 1))
+        table[1:][:, table[0] == _FLAG] += _FLAG  # the phrase before an unknown symbol, and the symbol
         states = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
         table[states, [s for m in moves for s in m]] = np.array([to for m in moves for to in m.values()], dtype=np.int32) * width
         return cls(table.ravel(), classes, float(np.log2(max(2, len(symbols)))))
@@ -107,7 +109,7 @@ def phrases(model: Model, symbols: np.ndarray, starts: np.ndarray, lengths: np.n
     for t in range(int(lengths[0]) if len(lengths) else 0):
         m = active[t]
         moved = model.table.take(state[:m] + rows[t, :m])
-        count[:m] += moved >> 30
+        count[:m] += moved >> 29
         np.bitwise_and(moved, _FLAG - 1, out=state[:m])
     return count + (state != 0)
 

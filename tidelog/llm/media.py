@@ -193,7 +193,9 @@ class ArchiveReader(DataSourceReader):
             raise OSError(f"{archive} at {offset}: {error}")
         return None, None, error
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # how Spark reads a folder without archives
+            return
         schema = pa.schema([("member", pa.string()), ("archive", pa.string()), ("offset", pa.int64()), ("content", pa.binary()), ("error", pa.string())])
         files, rows, held = Files(self.root), [], 0
         for offset, size, crc in self._members(files, partition.archive, partition.start, partition.end):

@@ -185,7 +185,8 @@ def kd_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_co
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write whole documents as one folder of Parquet files per shard, all columns kept."""
-    placed = kd_shards(docs, shards, id_col, text_col).select(F.col(id_col).alias("_kd_id"), F.col("text_crc32").alias("_kd_crc"), "shard").distinct()
+    placed = kd_shards(docs, shards, id_col, text_col).select(F.col(id_col).alias("_kd_id"), F.col("text_crc32").alias("_kd_sum"), "shard").distinct()
     crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    joined = docs.withColumn("_kd_crc", crc).join(placed, (F.col("_kd_crc") == placed["_kd_crc"]) & F.col(id_col).eqNullSafe(placed["_kd_id"]))
-    joined.select(*[docs[c] for c in docs.columns], F.col("shard").alias("_shard")).write.partitionBy("_shard").parquet(path)
+    placed = placed.withColumnRenamed("shard", "_shard")
+    joined = docs.withColumn("_kd_crc", crc).join(placed, (F.col("_kd_crc") == F.col("_kd_sum")) & F.col(id_col).eqNullSafe(F.col("_kd_id")))
+    joined.select(*docs.columns, "_shard").write.partitionBy("_shard").parquet(path)

@@ -114,7 +114,7 @@ def _joined(blobs: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*map(_unpack, blobs), strict=True)]
 
 
-BLOBS = "bucket long, kind int, blob binary"
+BLOBS = "_sub_bucket long, _sub_kind int, _sub_blob binary"
 _LOOKUP, _SETTLED = 0, 1
 
 
@@ -124,7 +124,7 @@ def _sliced(places: np.ndarray, keys: list[int], kind: int, *columns: np.ndarray
         return
     starts = np.append(np.flatnonzero(np.append(True, places[1:] != places[:-1])), len(places)).tolist()
     blobs = [_pack(*(c[a:b] for c in columns)) for a, b in zip(starts, starts[1:], strict=False)]
-    yield pa.RecordBatch.from_arrays([pa.array([keys[int(places[a])] for a in starts[:-1]], pa.int64()), pa.array([kind] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "kind", "blob"])
+    yield pa.RecordBatch.from_arrays([pa.array([keys[int(places[a])] for a in starts[:-1]], pa.int64()), pa.array([kind] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], ["_sub_bucket", "_sub_kind", "_sub_blob"])
 
 
 def _place(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -186,9 +186,9 @@ def shared_anchors(blobs: DataFrame, keys: list[int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
-            settled = pc.equal(batch.column("kind"), _SETTLED)
+            settled = pc.equal(batch.column("_sub_kind"), _SETTLED)
             yield batch.filter(settled)
-            held += batch.filter(pc.invert(settled)).column("blob").to_pylist()
+            held += batch.filter(pc.invert(settled)).column("_sub_blob").to_pylist()
         if held:
             anchors, homes, alone = _joined(held)
             order = np.argsort(anchors, kind="stable")
@@ -247,8 +247,8 @@ def window_blobs(docs: DataFrame, window: int, anchor: int, keys: list[int]) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs, wanted, held, n = [], None, [], 0
         for batch in batches:
-            listed = batch.column("blob").is_valid()
-            blobs += batch.filter(listed).column("blob").to_pylist()
+            listed = batch.column("_sub_blob").is_valid()
+            blobs += batch.filter(listed).column("_sub_blob").to_pylist()
             for part in small_batches(iter([batch.filter(pc.invert(listed))]), "text", BATCH):
                 if wanted is None:
                     wanted = np.unique(_joined(blobs)[0]) if blobs else np.zeros(0, np.uint64)
@@ -278,9 +278,9 @@ def later_windows(blobs: DataFrame, keys: list[int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
-            settled = pc.equal(batch.column("kind"), _SETTLED)
+            settled = pc.equal(batch.column("_sub_kind"), _SETTLED)
             yield batch.filter(settled)
-            held += batch.filter(pc.invert(settled)).column("blob").to_pylist()
+            held += batch.filter(pc.invert(settled)).column("_sub_blob").to_pylist()
         if held:
             high, low, ids, crcs, starts = _joined(held)
             held.clear()
@@ -293,8 +293,8 @@ def later_windows(blobs: DataFrame, keys: list[int]) -> DataFrame:
 
 def _with_blobs(docs: DataFrame, blobs: DataFrame, keys: list[int]) -> DataFrame:
     """Each home's blobs and documents in one partition, the blobs first."""
-    both = docs.withColumn("bucket", _home(keys)).unionByName(blobs.select("bucket", "blob"), allowMissingColumns=True)
-    return both.repartition(len(keys), "bucket").sortWithinPartitions(F.col("blob").isNull())
+    both = docs.withColumn("_sub_bucket", _home(keys)).unionByName(blobs.select("_sub_bucket", "_sub_blob"), allowMissingColumns=True)
+    return both.repartition(len(keys), "_sub_bucket").sortWithinPartitions(F.col("_sub_blob").isNull())
 
 
 def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -312,9 +312,9 @@ def duplicate_runs(docs: DataFrame, keys: list[int], window: int = WINDOW, ancho
     slim = _identified(docs, id_col, text_col).where("_sub_id is not null").select("_sub_id", "_sub_crc", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if not _repeated(docs, id_col):
         slim = slim.withColumn("_sub_crc", F.lit(0).cast("long"))
-    shared = materialize(shared_anchors(anchor_blobs(slim, window, anchor, keys).repartition(parts, "bucket"), keys), "shared-anchors")
+    shared = materialize(shared_anchors(anchor_blobs(slim, window, anchor, keys).repartition(parts, "_sub_bucket"), keys), "shared-anchors")
     windows = window_blobs(_with_blobs(slim, shared, keys), window, anchor, keys)
-    return materialize(later_windows(windows.repartition(parts, "bucket"), keys), "repeated-windows")
+    return materialize(later_windows(windows.repartition(parts, "_sub_bucket"), keys), "repeated-windows")
 
 
 def _repeated(docs: DataFrame, id_col: str) -> bool:
@@ -341,8 +341,8 @@ def with_starts(docs: DataFrame, change: Callable[[pa.RecordBatch, list[list[int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs, place, table = [], None, []
         for batch in batches:
-            listed = batch.column("blob").is_valid()
-            blobs += batch.filter(listed).column("blob").to_pylist()
+            listed = batch.column("_sub_blob").is_valid()
+            blobs += batch.filter(listed).column("_sub_blob").to_pylist()
             for part in small_batches(iter([batch.filter(pc.invert(listed))]), text_col, BATCH):
                 if place is None:
                     place = {}
