@@ -110,7 +110,24 @@ def test_wide_fingerprints_estimate_similarity():
         for k in range(edits):
             b[k * (400 // edits)] = f"new{k}"
         far = sum((x ^ y).bit_count() for x, y in zip(simhash.fingerprint(" ".join(a), 5, 1024), simhash.fingerprint(" ".join(b), 5, 1024)))
-        assert (far <= simhash.NEAR.wide_budget) == same
+        assert (far <= simhash.NEAR.sure) == same and (far > simhash.NEAR.never) != same
+
+
+def test_doubtful_pairs_are_compared_exactly(spark):
+    """Edits that leave a similarity just above and just below 0.8."""
+    source, want = [], {}
+    for i in range(30):
+        a = prose(f"j{i}", 300).split()
+        b = list(a)
+        for k in range(4 + i % 10):
+            b[7 + k * 20] = f"new{k}"
+        sets = [{tuple(w[x : x + 5]) for x in range(296)} for w in (a, b)]
+        similar = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        source += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+        want[2 * i + 1] = similar < 0.8
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(source, "doc_id long, text string")).collect()}
+    assert set(range(0, 60, 2)) <= kept and all(i in kept for i, apart in want.items() if apart)
+    assert sum(i in kept for i, apart in want.items() if not apart) <= 2 and 5 < sum(want.values()) < 25
 
 
 def test_components_of_a_chain(spark):

@@ -41,15 +41,18 @@ BATCH = 2 << 20
 @dataclass(frozen=True)
 class Spec:
     """words: shingle length; bits: of the joined fingerprint, a multiple of 64; budget: differing bits that still link;
-    tables: (first bit, width) of the block that must be equal, for each rotation; wide, wide_budget: bits of a longer
-    fingerprint (the joined one leads it) that confirms links; cap: fingerprints in a subtrie."""
+    tables: (first bit, width) of the block that must be equal, for each rotation; cap: fingerprints in a subtrie.
+    wide: bits of a longer fingerprint (the joined one leads it) that confirms links: at most `sure` differing bits do, over
+    `never` do not, and in between the shingle sets themselves must have a Jaccard similarity of `similarity`."""
 
     words: int
     bits: int
     budget: int
     tables: tuple[tuple[int, int], ...]
     wide: int = 0
-    wide_budget: int = 0
+    sure: int = 0
+    never: int = 0
+    similarity: float = 0.8
     cap: int = CAP
 
     @property
@@ -60,10 +63,10 @@ class Spec:
 #: 64-bit fingerprints of 3-word shingles, links at 2 bits: the three blocks find every link.
 CONTRACT = Spec(3, 64, 2, ((0, 22), (22, 21), (43, 21)))
 #: For a Jaccard similarity J of 5-word shingle sets, bits differ with probability acos(2 J / (1 + J)) / pi: 0.15 at
-#: J = 0.8 (39 of 256 bits expected), 0.27 at J = 0.5. With 24 rotations of 16 equal bits, a pair with J = 0.8 meets in one
-#: with probability 0.84, J = 0.9 with 0.99. Of 1024 bits, 155 are expected to differ at J = 0.8 and 176 at J = 0.75, with a
-#: deviation of 11 or 12.
-NEAR = Spec(5, 256, 48, tuple((round(i * 256 / 24), 16) for i in range(24)), 1024, 161)
+#: J = 0.8 (39 of 256 bits expected), 0.27 at J = 0.5. With 32 rotations of 16 equal bits, a pair with J = 0.8 meets in one
+#: with probability 0.92, J = 0.9 with 0.998. Of 1024 bits, 155 (deviation 11) are expected to differ at J = 0.8, so 110 or
+#: fewer and over 200 leave no doubt.
+NEAR = Spec(5, 256, 54, tuple((8 * i, 16) for i in range(32)), 1024, 110, 200)
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -298,18 +301,47 @@ def links(nodes: DataFrame, spec: Spec) -> DataFrame:
     return deeper
 
 
-def _confirmed(edges: DataFrame, nodes: DataFrame, spec: Spec) -> DataFrame:
-    """The edges whose wide fingerprints differ in at most `wide_budget` bits."""
+def _shingle_sets(docs: DataFrame, ends: DataFrame, spec: Spec, id_col: str, text_col: str) -> DataFrame:
+    """fp, shingles (sorted distinct hashes, packed) of the documents that `ends` (fp, doc_id, text_crc32) name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text", BATCH):
+            sets = [np.unique(shingle_hashes(t, spec.words)).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sets, pa.binary())], ["fp", "shingles"])
+
+    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    texts = docs.select(F.col(id_col).cast("long").alias("own_id"), crc.alias("own_crc"), F.col(text_col).alias("text"))
+    named = texts.join(ends, (F.col("own_crc") == F.col("text_crc32")) & F.col("own_id").eqNullSafe(F.col("doc_id"))).select("fp", "text")
+    return named.mapInArrow(run, "fp binary, shingles binary").dropDuplicates(["fp"])
+
+
+def _confirmed(edges: DataFrame, nodes: DataFrame, docs: DataFrame, spec: Spec, id_col: str, text_col: str) -> DataFrame:
+    """The edges that the wide fingerprints, or else the shingle sets, confirm."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             far = np.bitwise_count(_words(batch.column("wide_a"), spec.wide) ^ _words(batch.column("wide_b"), spec.wide)).sum(axis=1, dtype=np.int64)
-            yield batch.filter(pa.array(far <= spec.wide_budget)).select(["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(far)], ["a", "b", "far"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= spec.similarity * (len(x) + len(y) - common))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     ends = nodes.select("fp", "wide")
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = pairs.join(ends.toDF("a", "wide_a"), "a").join(ends.toDF("b", "wide_b"), "b")
-    return pairs.select("a", "b", "wide_a", "wide_b").mapInArrow(run, "a binary, b binary")
+    measured = materialize(pairs.select("a", "b", "wide_a", "wide_b").mapInArrow(measure, "a binary, b binary, far long").where(F.col("far") <= spec.never), "measured-links")
+    doubtful = measured.where(F.col("far") > spec.sure).select("a", "b")
+    asked = doubtful.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    asked = materialize(nodes.join(asked, "fp", "left_semi").select("fp", "rep.doc_id", "rep.text_crc32"), "asked")
+    sets = materialize(_shingle_sets(docs, asked, spec, id_col, text_col), "shingle-sets")
+    compared = doubtful.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a binary, b binary")
+    return measured.where(F.col("far") <= spec.sure).select("a", "b").unionByName(compared)
 
 
 def near_duplicates(docs: DataFrame, spec: Spec = CONTRACT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -323,9 +355,10 @@ def near_duplicates(docs: DataFrame, spec: Spec = CONTRACT, id_col: str = "doc_i
     fps = materialize(fingerprints(docs, spec, id_col, text_col), "fingerprints")
     key = F.substring("fp", 1, spec.bits // 8)  # equal for all practical purposes only in texts that confirm each other
     fps = fps.select("doc_id", "text_crc32", key.alias("fp"), F.col("fp").alias("wide"))
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("wide").alias("wide")), "distinct-fingerprints")
+    least = [F.min("doc_id").alias("first"), F.min("wide").alias("wide"), F.min(F.struct("doc_id", "text_crc32")).alias("rep")]
+    nodes = materialize(fps.groupBy("fp").agg(*least), "distinct-fingerprints")
     edges = links(nodes, spec)
-    roots = components(_confirmed(edges, nodes, spec) if spec.wide else edges)
+    roots = components(_confirmed(edges, nodes, docs, spec, id_col, text_col) if spec.wide else edges)
     joined = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     joined = materialize(joined, "roots")
     groups = joined.groupBy("root").agg(F.min("first").alias("component_id"))
