@@ -151,6 +151,40 @@ def test_checkpoint_equals_full_replay(spark, two):
         replay.check_target(two.where("sequence <> 3"), 9)
 
 
+def test_saved_snapshots(spark, two, tmp_path):
+    path, value = str(tmp_path / "cp"), F.hex("payload")
+    for at in (3, 6):
+        replay.snapshot(replay.raw_state(two, at, value), path, at)
+    at, state = replay.load_snapshot(spark, path, 8)
+    resumed = replay.state_from_checkpoint(state, at, two, 8, value)
+    assert at == 6 and sorted(map(str, resumed.collect())) == sorted(map(str, replay.raw_state(two, 8, value).collect()))
+    with pytest.raises(replay.ReplayError):
+        replay.load_snapshot(spark, path, 2)
+
+
+def test_checkpoints_as_of_crosses_spans(spark):
+    targets = spark.createDataFrame([(t,) for t in (1, 5, 999_999, 1_000_000, 3_500_000)], "target long")
+    found = replay.checkpoints_as_of(targets, spark.createDataFrame([(5,), (900_000,), (3_500_000,)], "checkpoint long"))
+    assert {r["target"]: r["checkpoint"] for r in found.collect()} == {1: None, 5: 5, 999_999: 900_000, 1_000_000: 900_000, 3_500_000: 3_500_000}
+
+
+def test_stale_handles(spark):
+    df = log(spark, [event(0, 1, gen=1), event(1, 1, gen=2)])
+    handles = spark.createDataFrame([(0, 1, 1), (0, 1, 2), (0, 9, 1)], "shard long, slot long, generation long")
+    assert sorted(r["status"] for r in replay.resolve_handles(df, handles).collect()) == ["current", "stale", "unknown"]
+
+
+def test_filters_reach_the_scan(spark, two, tmp_path):
+    path = str(tmp_path / "log")
+    write_log(two, path)
+    rows = Engine(spark, spark.read.parquet(path), path).query("SELECT sequence FROM t WHERE entity = '0:1:1' AND valid_time >= 10 AND valid_time < 16 AND known_as_of = 15").rows
+    execution = rows._jdf.queryExecution()
+    plan = execution.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    for part in ("EqualTo(slot,1)", "GreaterThanOrEqual(valid_ticks,10)", "LessThan(valid_ticks,16)", "LessThanOrEqual(known_ticks,15)"):
+        assert part in plan
+    assert "payload" not in plan.split("ReadSchema")[1]
+
+
 def test_generator_resumes(spark):
     g = replay.SplitMix(42)
     first = [g.uniform() for _ in range(5)]

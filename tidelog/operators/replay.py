@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.model import ENTITY
@@ -60,6 +60,39 @@ def snapshot(state: DataFrame, path: str, sequence: int) -> None:
     state.withColumn("checkpoint", F.lit(sequence).cast("long")).write.mode("overwrite").parquet(f"{path}/checkpoint={sequence}")
 
 
+def load_snapshot(spark: SparkSession, path: str, target: int) -> tuple[int, DataFrame]:
+    """The state at the latest saved checkpoint that does not pass `target`; only that folder is read."""
+    saved = spark.read.parquet(path)
+    found = saved.where(F.col("checkpoint") <= target).agg(F.max("checkpoint")).first()[0]
+    if found is None:
+        raise ReplayError(f"no checkpoint at or before {target}")
+    return found, saved.where(F.col("checkpoint") == found).drop("checkpoint")
+
+
+def checkpoints_as_of(targets: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """target, checkpoint: the as-of join of many targets with a table of checkpoints (null: none before).
+
+    Both are put on one axis and cut into spans; within a span the last checkpoint seen is carried forward, and each span
+    starts from the largest checkpoint of the spans before it, so no task orders the whole axis.
+    """
+    span = 1_000_000
+    both = targets.select("target", F.col("target").alias("at"), F.lit(None).cast("long").alias("cp")).unionByName(checkpoints.select(F.lit(None).cast("long").alias("target"), F.col("checkpoint").alias("at"), F.col("checkpoint").alias("cp")))
+    both = both.withColumn("span", F.expr(f"at div {span}"))
+    inside = Window.partitionBy("span").orderBy("at", F.col("cp").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    starts = both.groupBy("span").agg(F.max("cp").alias("most")).select("span", F.max("most").over(ahead).alias("carried"))  # one row a span
+    seen = both.withColumn("here", F.max("cp").over(inside)).join(starts, "span")
+    return seen.where("target is not null").select("target", F.coalesce("here", "carried").alias("checkpoint"))
+
+
+def resolve_handles(entities: DataFrame, handles: DataFrame) -> DataFrame:
+    """handles (shard, slot, generation) and whether each is current, stale or unknown: a reused slot has a newer
+    generation, which makes older handles invalid."""
+    newest = entities.groupBy("shard", "slot").agg(F.max("generation").alias("newest"))
+    status = F.when(F.col("newest").isNull() | (F.col("generation") > F.col("newest")), "unknown").when(F.col("generation") < F.col("newest"), "stale").otherwise("current")
+    return handles.join(newest, ["shard", "slot"], "left").withColumn("status", status).drop("newest")
+
+
 def latest_checkpoint(checkpoints: list[int], target: int) -> int | None:
     """As-of lookup: the largest checkpoint that does not pass the target."""
     return max((c for c in checkpoints if c <= target), default=None)

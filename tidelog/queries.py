@@ -218,6 +218,23 @@ def replay_generic(spark, sf_dir):
     return replay.reduce_entities(bind_events(spark, sf_dir), step, ["k", "schema_id"], "total long, seen long")
 
 
+@query(f"WITH {EV} SELECT sequence AS target, CASE WHEN sequence >= 40 THEN (sequence - 40) // 170 * 170 + 40 END AS checkpoint FROM ev")
+def checkpoint_as_of(spark, sf_dir):
+    """The nearest checkpoint at or before every event; checkpoints are at 40, 210, 380 and so on."""
+    targets = bind_events(spark, sf_dir).select(F.col("sequence").alias("target"))
+    return replay.checkpoints_as_of(targets, targets.where("target >= 40 and (target - 40) % 170 = 0").select(F.col("target").alias("checkpoint")))
+
+
+@query("""WITH h AS (SELECT p_partkey % 8 AS shard, p_partkey % 200 AS slot, (p_partkey % 3)::BIGINT AS generation FROM part), e AS (SELECT user_id % 8 AS shard, user_id AS slot, max(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) AS newest FROM events GROUP BY ALL)
+SELECT shard, slot, generation, CASE WHEN newest IS NULL OR generation > newest THEN 'unknown' WHEN generation < newest THEN 'stale' ELSE 'current' END AS status FROM h LEFT JOIN e USING (shard, slot)""")
+def slab_handles(spark, sf_dir):
+    """Handles against current entities; a signup reuses its slot under the next generation."""
+    events = bind_events(spark, sf_dir).withColumn("generation", F.when(F.col("event_type") == "signup", 1).otherwise(0))
+    k = F.col("p_partkey")
+    handles = table(spark, sf_dir, "part").select((k % 8).alias("shard"), (k % 200).alias("slot"), (k % 3).cast("long").alias("generation"))
+    return replay.resolve_handles(events, handles)
+
+
 @query(None)
 def random_stream(spark, sf_dir):
     return replay.random_stream(spark, 42, 1000)
