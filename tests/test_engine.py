@@ -7,7 +7,7 @@ from tidelog.model import EVENT, EntityId, EventId, Field, RecordSchema, TimeRan
 from tidelog.operators import admit, branches, causal, evolve, index, knowledge, replay, runtime, scan, transform
 from tidelog.plans.compile import AnalysisError
 from tidelog.plans.ir import Budget
-from tidelog.sources.events import backup_manifest, columnar_export, seal, write_log
+from tidelog.sources.events import backup_manifest, choose_encoding, columnar_export, seal, verify_backup, write_log
 from tidelog.streaming import subscribe
 
 
@@ -114,7 +114,10 @@ def test_stored_log_seal_backup_and_subscription(spark, two, tmp_path):
     assert e.history().count() == 10
     manifest = seal(spark, path, str(tmp_path / "sealed"), 5)
     assert sorted((r["first"], r["last"]) for r in manifest.collect()) == [(0, 4), (5, 9)]
-    assert backup_manifest(spark, path).count() == 3
+    saved = backup_manifest(spark, path)
+    assert saved.count() == 3 and verify_backup(saved, saved).count() == 0
+    assert [r["problem"] for r in verify_backup(saved, saved.withColumn("crc32", F.lit(0))).collect()] == ["differs"] * 3
+    assert {r["problem"] for r in verify_backup(saved, saved.limit(1)).collect()} == {"missing"}
     seen = []
     run = e.subscribe("ENTITY 0:1:1", lambda df, n: seen.extend((r["sequence"], r["is_live"]) for r in df.collect()), str(tmp_path / "cp"), from_sequence=2, once=True)
     run.awaitTermination()
@@ -425,3 +428,44 @@ def test_consumer_events(spark, two):
     assert both.count() == 20 and columnar_export(two).toArrow().num_columns == 7
     ticks = subscribe.cadence_ticks(spark.createDataFrame([(2.0,)], "s double"), "s")
     assert {r["clock"]: r["tick"] for r in ticks.collect()} == {1: 240, 2: 40, 3: 2, 4: 0}
+
+
+def test_streaming_fold(spark, two, tmp_path):
+    path = str(tmp_path / "log")
+    write_log(two, path, 4)
+    stored = spark.read.parquet(path)
+    stream = subscribe.subscription(subscribe.stream_log(spark, path, stored.schema, 1), "WHERE sequence >= 0")
+    step = lambda s, e: {"n": (s or {"n": 0})["n"] + 1, "last": int(e["sequence"])}
+    out = subscribe.fold_stream(stream, step, ["schema_id"], "n long, last long")
+    got = {}
+    run = out.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda df, i: got.update({r["slot"]: (r["n"], r["last"]) for r in df.collect()})).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert got == {1: (5, 8), 2: (5, 9)}
+
+
+def test_mirrored_sinks(spark, two, tmp_path):
+    write = subscribe.dual_sink(str(tmp_path / "a"), str(tmp_path / "b"))
+    write(two, 0)
+    write(two, 0)
+    assert spark.read.parquet(str(tmp_path / "a")).count() == spark.read.parquet(str(tmp_path / "b")).count() == 10
+
+
+def test_confidence_and_recording(spark):
+    df = spark.createDataFrame([(0.5,), (1.5,)], "c double")
+    assert df.where("c < 1").select(knowledge.checked_confidence(F.col("c")).alias("c")).collect()[0]["c"] == 0.5
+    with pytest.raises(Exception, match="confidence out of range"):
+        df.select(knowledge.checked_confidence(F.col("c")).alias("c")).collect()
+    items = knowledge.record(spark.createDataFrame([(4, "a")], "id long, what string"), spark.createDataFrame([("c",), ("b",)], "what string"), "what")
+    assert {r["id"]: r["what"] for r in items.collect()} == {4: "a", 5: "b", 6: "c"}
+
+
+def test_metrics(spark, two, tmp_path):
+    path = str(tmp_path / "log")
+    write_log(two, path, 4)
+    m = Engine(spark, spark.read.parquet(path), path).query("WHERE sequence < 3\nLIMIT 2").metrics()
+    assert m["rows"] == 2 and m["truncated"] and m["events_scanned"] <= 10
+
+
+def test_encoding_choice(spark):
+    df = spark.createDataFrame([(1, "rle", 50, 100, 10, 1000), (1, "pack", 60, 100, 10, 0), (2, "rle", 120, 100, 0, 0)], "block long, encoding string, bytes long, raw_bytes long, encode_ns long, decode_ns long")
+    assert {r["block"]: r["encoding"] for r in choose_encoding(df).collect()} == {1: "rle", 2: "raw"}

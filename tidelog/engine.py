@@ -30,6 +30,20 @@ class Result:
     def truncated(self) -> bool:
         return self._more is not None and bool(self._more.take(1))
 
+    def metrics(self) -> dict[str, int | bool]:
+        """Runs the query: rows returned, events that reached the filter (after files and row groups were skipped), whether
+        it was truncated."""
+        scanned = 0
+        total = self.rows.count()
+        executed = self.rows._jdf.queryExecution()
+        self.rows._jdf.count()
+        node = executed.executedPlan()
+        leaves = node.collectLeaves()
+        for i in range(leaves.size()):
+            rows = leaves.apply(i).metrics().get("numOutputRows")
+            scanned += rows.get().value() if rows.isDefined() else 0
+        return {"rows": total, "events_scanned": scanned, "truncated": self.truncated}
+
 
 class Engine:
     """events: canonical columns (see tidelog.model); typed payload fields may be columns too."""

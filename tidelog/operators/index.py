@@ -86,6 +86,11 @@ def by_schema(events: DataFrame) -> DataFrame:
     return events.groupBy("schema_id").agg(F.array_sort(F.collect_list("sequence")).alias("sequences"))
 
 
+def by_chunk(events: DataFrame, x: str, y: str, size: int) -> DataFrame:
+    """chunk_code, sequences: the posting lists of a chunked plane, in Z order when sorted by code."""
+    return events.groupBy(chunk_code(F.col(x), F.col(y), size).alias("chunk_code")).agg(F.array_sort(F.collect_list("sequence")).alias("sequences"))
+
+
 def at_times(events: DataFrame, clock: int, start: int, end: int) -> DataFrame:
     """Sequences with valid time in an inclusive range."""
     return events.where((F.col("valid_clock") == clock) & F.col("valid_ticks").between(start, end)).select("sequence")

@@ -14,6 +14,19 @@ def normal(proposition: Column) -> Column:
     return F.lower(F.trim(proposition))
 
 
+def checked_confidence(confidence: Column) -> Column:
+    """The confidence itself; a row outside [0, 1], or not a number, fails the query."""
+    bad = confidence.isNull() | F.isnan(confidence) | (confidence < 0) | (confidence > 1)
+    return F.when(bad, F.raise_error(F.concat(F.lit("confidence out of range: "), F.coalesce(confidence.cast("string"), F.lit("null")))).cast("double")).otherwise(confidence)
+
+
+def record(items: DataFrame, new: DataFrame, order: str) -> DataFrame:
+    """A batch of new observations, claims or rules appended with the next ids, in the order of a column (new: one batch)."""
+    last = items.agg(F.max("id")).first()[0]
+    numbered = new.withColumn("id", F.row_number().over(Window.orderBy(order)) + F.lit(0 if last is None else last).cast("long"))
+    return items.unionByName(numbered.select(*items.columns))
+
+
 def contradicts(a: Column, b: Column) -> Column:
     """Two normalised propositions: one negates the other, or they hold the two sides of an antonym."""
     out = (b == F.concat(F.lit("not "), a)) | (a == F.concat(F.lit("not "), b))

@@ -15,7 +15,7 @@ from tidelog.operators import admit, branches, causal, evolve, index, knowledge,
 from tidelog.plans.compile import scan_frame, spatial_frame
 from tidelog.plans.ir import SpatialScan
 from tidelog.plans.parse import parse
-from tidelog.sources.events import SCHEMA_IDS, bind_events, columnar_export, table, with_causes
+from tidelog.sources.events import SCHEMA_IDS, bind_events, choose_encoding, columnar_export, table, with_causes
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -301,6 +301,12 @@ def posting_entity(spark, sf_dir):
     return index.by_entity(bind_events(spark, sf_dir)).withColumn("sequences", F.concat_ws(",", F.col("sequences").cast("array<string>")))
 
 
+@query(f"WITH p AS (SELECT event_id AS sequence, user_id // 16 AS cx, (event_id % 500) // 16 AS cy FROM events) SELECT {_interleave_sql('cx', 'cy', 20)} AS chunk_code, string_agg(sequence::VARCHAR, ',' ORDER BY sequence) AS sequences FROM p GROUP BY 1")
+def posting_chunk(spark, sf_dir):
+    e = bind_events(spark, sf_dir).withColumns({"x": F.col("slot"), "y": F.col("sequence") % 500})
+    return index.by_chunk(e, "x", "y", 16).withColumn("sequences", F.concat_ws(",", F.col("sequences").cast("array<string>")))
+
+
 @query(f"WITH {EV}, {SPAN} SELECT sequence FROM ev, span WHERE valid_ticks BETWEEN a AND b")
 def posting_time(spark, sf_dir):
     a, b, _ = _span(spark, sf_dir)
@@ -654,6 +660,17 @@ def constitution_audit(spark, sf_dir):
     return evolve.audit(candidates)
 
 
+@query("""WITH m AS (SELECT o_custkey AS block, o_orderpriority AS encoding, sum(o_totalprice)::DOUBLE AS bytes, (o_custkey % 9 * 100000)::DOUBLE AS raw, count(*) * 1000 AS encode_ns, count(*) * 900 AS decode_ns FROM orders GROUP BY ALL),
+s AS (SELECT *, bytes + 0.001 * decode_ns + 0.0001 * encode_ns AS score FROM m), b AS (SELECT block, min(score) AS low, arg_min(encoding, score) AS encoding, max(raw) AS raw FROM s GROUP BY block)
+SELECT block, CASE WHEN low < raw THEN encoding ELSE 'raw' END AS encoding, round(CASE WHEN low < raw THEN low ELSE raw END, 3) AS score FROM b""")
+def encoding_choice(spark, sf_dir):
+    """Measured candidates against the raw size, by block."""
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("block"), F.col("o_orderpriority").alias("encoding"))
+    measured = o.agg(F.sum("o_totalprice").alias("bytes"), (F.count(F.lit(1)) * 1000).alias("encode_ns"), (F.count(F.lit(1)) * 900).alias("decode_ns"))
+    measured = measured.withColumn("raw_bytes", (F.col("block") % 9 * 100000).cast("double"))
+    return choose_encoding(measured).withColumn("score", F.round("score", 3))
+
+
 @query("SELECT doc_id, sha256(text) AS digest FROM documents WHERE text IS NOT NULL")
 def media_sha256(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2(F.col("text"), 256).alias("digest"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlparse
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,9 +83,30 @@ def seal(spark: SparkSession, path: str, out: str, bucket: int = 1_000_000) -> D
 
 
 def backup_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """path, bytes, crc32 of every file under `path`: compare two of these to verify a copy or a restore."""
+    """file (its path below `path`), bytes, crc32 of every file under `path`: compare two of these to verify a copy or a restore."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_extract("path", "[^/]*$", 0).alias("file"), F.col("length").alias("bytes"), F.crc32("content").alias("crc32"))
+    root = urlparse(path).path.rstrip("/") + "/"
+    return files.select(F.substring_index("path", root, -1).alias("file"), F.col("length").alias("bytes"), F.crc32("content").alias("crc32"))
+
+
+def verify_backup(manifest: DataFrame, copy: DataFrame) -> DataFrame:
+    """file, problem: files that a copy lacks, has besides, or holds with other bytes; none for a good backup."""
+    other = copy.select("file", F.col("bytes").alias("copied"), F.col("crc32").alias("copied_crc32"))
+    problem = (
+        F.when(F.col("copied").isNull(), "missing")
+        .when(F.col("bytes").isNull(), "unexpected")
+        .when((F.col("bytes") != F.col("copied")) | (F.col("crc32") != F.col("copied_crc32")), "differs")
+    )
+    return manifest.join(other, "file", "full").select("file", problem.alias("problem")).where("problem is not null")
+
+
+def choose_encoding(measured: DataFrame) -> DataFrame:
+    """block, encoding, score: the cheapest measured encoding of each block (block, encoding, bytes, raw_bytes, encode_ns,
+    decode_ns), or 'raw' where none beats the raw size. The encodings themselves are Parquet's."""
+    score = F.col("bytes") + 0.001 * F.col("decode_ns") + 0.0001 * F.col("encode_ns")
+    best = measured.withColumn("score", score).groupBy("block").agg(F.min(F.struct("score", "encoding")).alias("best"), F.max("raw_bytes").alias("raw"))
+    wins = F.col("best.score") < F.col("raw")
+    return best.select("block", F.when(wins, F.col("best.encoding")).otherwise("raw").alias("encoding"), F.when(wins, F.col("best.score")).otherwise(F.col("raw").cast("double")).alias("score"))
 
 
 def columnar_export(events: DataFrame) -> DataFrame:

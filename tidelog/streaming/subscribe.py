@@ -61,6 +61,33 @@ def last_values(matches: DataFrame, value: str) -> DataFrame:
     return matches.groupBy(*ENTITY).agg(F.max("sequence").alias("sequence"), F.max_by(value, "sequence").alias(value))
 
 
+def fold_stream(matches: DataFrame, reducer: Callable[[dict | None, dict], dict | None], columns: list[str], schema: str) -> DataFrame:
+    """A user's fold over each entity's events as they arrive: the entity and its state after every micro-batch.
+
+    The state lives in Spark's state store, so it is checkpointed with the offsets and moves with its key; within a batch
+    an entity's events are folded in sequence order (the log's order must follow its files).
+    """
+    import json
+
+    import pandas as pd
+
+    names = [f.strip().split()[0] for f in schema.split(",")]
+
+    def fold(key, batches, state):
+        now = json.loads(state.get[0]) if state.exists else None
+        rows = pd.concat(list(batches)).sort_values("sequence")
+        for row in rows.to_dict("records"):
+            now = reducer(now, row)
+        if now is None:
+            state.remove()
+            return
+        state.update((json.dumps(now),))
+        yield pd.DataFrame([dict(zip(ENTITY, key, strict=True)) | {n: now.get(n) for n in names}], columns=[*ENTITY, *names])
+
+    keyed = matches.select(*ENTITY, "sequence", *columns).groupBy(*ENTITY)
+    return keyed.applyInPandasWithState(fold, f"shard long, slot long, generation long, {schema}", "state string", "update", "NoTimeout")
+
+
 def convert(events: DataFrame, kind: str, schema_id: int, payload: str) -> DataFrame:
     """Consumer events of one kind as canonical columns; kinds are put together by unionByName."""
     return events.select(*ENTITY, F.lit(schema_id).cast("long").alias("schema_id"), "valid_ticks", "known_ticks", F.encode(F.col(payload).cast("string"), "UTF-8").alias("payload"), F.lit(kind).alias("kind"))
