@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import langid, mixing, urls
+from tidelog.llm import langid, mixing, substrings, urls
 from tidelog.llm.ann import nearest
 from tidelog.llm.common import read_table
 from tidelog.llm.dac import read_corpus, write_corpus
@@ -13,7 +13,6 @@ from tidelog.llm.media import features, read_archives, write_archives
 from tidelog.llm.packing import pack
 from tidelog.llm.sharding import kd_shards
 from tidelog.llm.simhash import CONTRACT, near_duplicates
-from tidelog.llm.substrings import digests
 
 
 def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +55,7 @@ def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 13-word windows that start in a document with a smaller id."""
-    return digests(read_table(spark, sf_dir, "documents"))
+    return substrings.digests(read_table(spark, sf_dir, "documents"))
 
 
 def op8_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,4 +87,4 @@ QUERIES = {
     "op10_harmonic_packing": op10_harmonic_packing,
 }
 
-ORACLES = {"op1_url_reputation": urls.ORACLE, "op6_poisson_mixing": mixing.ORACLE}
+ORACLES = {"op1_url_reputation": urls.ORACLE, "op6_poisson_mixing": mixing.ORACLE, "op7_relative_lz": substrings.ORACLE}

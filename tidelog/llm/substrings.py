@@ -402,3 +402,14 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_
         return pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     return with_starts(docs, change, docs.schema, window, id_col=id_col, text_col=text_col)
+
+
+ORACLE = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(words[i:i + {WINDOW - 1}], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM w WHERE len(words) >= {WINDOW})),
+firsts AS (SELECT g, min(doc_id) AS f FROM windows GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM windows JOIN firsts USING (g), range(0, {WINDOW}) t(k) WHERE f < doc_id),
+placed AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
