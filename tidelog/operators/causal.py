@@ -29,6 +29,16 @@ def effects_of(graph: DataFrame, event: int) -> DataFrame:
     return graph.where(F.col("cause") == event).select("effect")
 
 
+def _step(graph: DataFrame, frontier: set[int], here: str, there: str) -> set[int]:
+    """The nodes at the other end of the frontier's edges, FRONTIER_LIMIT + 1 of them at most."""
+    if len(frontier) <= 256:
+        step = graph.where(F.col(here).isin(sorted(frontier)))
+    else:
+        ends = graph.sparkSession.createDataFrame([(x,) for x in sorted(frontier)], f"{here} long")
+        step = graph.join(F.broadcast(ends), here, "left_semi")  # about FRONTIER_LIMIT rows at most
+    return {r[0] for r in step.select(there).distinct().limit(FRONTIER_LIMIT + 1).collect()}
+
+
 def trace(graph: DataFrame, root: int, direction: str = "causes", depth: int = 16) -> DataFrame:
     """node, depth: breadth-first from `root` (depth 0), each node at its first visit.
 
@@ -41,12 +51,7 @@ def trace(graph: DataFrame, root: int, direction: str = "causes", depth: int = 1
     seen, frontier, level = {root: 0}, {root}, 0
     while frontier and level < depth and len(seen) <= FRONTIER_LIMIT:
         level += 1
-        if len(frontier) <= 256:
-            step = graph.where(F.col(here).isin(sorted(frontier)))
-        else:
-            ends = spark.createDataFrame([(x,) for x in sorted(frontier)], f"{here} long")
-            step = graph.join(F.broadcast(ends), here, "left_semi")  # FRONTIER_LIMIT rows at most
-        found = {r[0] for r in step.select(there).distinct().limit(FRONTIER_LIMIT + 1).collect()} - seen.keys()
+        found = _step(graph, frontier, here, there) - seen.keys()
         if len(found) > FRONTIER_LIMIT:
             return _wide_trace(graph, spark.createDataFrame(sorted(seen.items()), "node long, depth int"), here, there, level - 1, depth)
         frontier = found
@@ -78,18 +83,22 @@ def traced_edges(graph: DataFrame, visited: DataFrame, depth: int, direction: st
 
 
 def is_ancestor(graph: DataFrame, ancestor: int, event: int, bound: int = 10_000) -> bool:
-    """Whether `ancestor` is `event` or one of its direct or indirect causes."""
+    """Whether `ancestor` is `event` or one of its direct or indirect causes. Stops at the level that finds it; a walk
+    that grows beyond FRONTIER_LIMIT nodes goes on as a table."""
     if ancestor == event:
         return True
     frontier, seen = {event}, {event}
     for _ in range(bound):
         if not frontier:
             return False
-        found = {r[0] for r in graph.where(F.col("effect").isin(sorted(frontier))).select("cause").distinct().collect()} - seen
+        found = _step(graph, frontier, "effect", "cause") - seen
         if ancestor in found:
             return True
         seen |= found
         frontier = found
+        if len(seen) > FRONTIER_LIMIT:
+            start = graph.sparkSession.createDataFrame([(x, 0) for x in sorted(seen)], "node long, depth int")
+            return bool(_wide_trace(graph, start, "effect", "cause", 0, bound).where(F.col("node") == ancestor).take(1))
     return False
 
 

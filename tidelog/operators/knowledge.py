@@ -138,10 +138,9 @@ def brier(predictions: DataFrame, cutoff: int) -> DataFrame:
 def evict(items: DataFrame, most: int) -> DataFrame:
     """Adds tier: of the active items (id, accesses) the least used, then lowest ids, above `most` go to the archive."""
     total = items.count()
-    order = Window.orderBy("accesses", "id")
     if total <= most:
         return items.withColumn("tier", F.lit("active"))
-    cut = items.orderBy("accesses", "id").limit(total - most).withColumn("_out", F.lit(True)).select("id", "_out") if total - most > 100_000 else items.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= total - most).select("id", F.lit(True).alias("_out"))
+    cut = items.orderBy("accesses", "id").limit(total - most).select("id", F.lit(True).alias("_out"))
     return items.join(cut, "id", "left").withColumn("tier", F.when(F.col("_out"), "archive").otherwise("active")).drop("_out")
 
 
