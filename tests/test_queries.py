@@ -1,0 +1,40 @@
+"""Every registered query of the engine against its SQL, on the smallest tables."""
+
+import os
+from pathlib import Path
+
+import pytest
+
+from tidelog import queries
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+pytestmark = pytest.mark.skipif(not Path(SF).is_dir(), reason="no test tables")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for f in Path(SF).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_query_equals_its_sql(spark, duck, name):
+    out = queries.QUERIES[name](spark, SF)
+    columns = sorted(out.columns)
+    rows = out.collect()
+    assert len(set(columns)) == len(columns)
+    if name not in queries.ORACLES:
+        assert rows
+        return
+    found = duck.execute(queries.ORACLES[name])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == columns
+    want = sorted(repr(tuple(r[names.index(c)] for c in columns)) for r in found.fetchall())
+    assert sorted(repr(tuple(r[c] for c in columns)) for r in rows) == want
+
+
+def test_flagship(spark):
+    assert queries.flagship(spark, SF).count() > 0
