@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,7 +57,8 @@ class Engine:
         q = parse(text, self.clock)
         match q:
             case Scan():
-                if q.known_as_of is not None and (other := scan.known_clock_mismatch(self.events, q.clock).take(1)):
+                own = self.events.where(plans.condition(self.events, replace(q, known_as_of=None)))  # only what the query can reach
+                if q.known_as_of is not None and (other := scan.known_clock_mismatch(own, q.clock).take(1)):
                     raise ValueError(f"the log's known clock is {other[0][0]}, not {q.clock}")
                 rows = plans.scan_frame(self.events, q, budget, compat)
                 limit = min((x for x in (q.limit, budget.rows if budget else None) if x is not None), default=None)
