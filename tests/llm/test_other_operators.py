@@ -264,3 +264,11 @@ def test_write_shards(docs, tmp_path, spark):
     sharding.write_shards(docs, path, 4)
     back = spark.read.parquet(path)
     assert back.count() == docs.count() and set(docs.columns) < set(back.columns)
+
+
+def test_shared_folder(spark):
+    from tidelog.llm.common import materialize, release, shared_dir
+
+    made = materialize(spark.range(5).toDF("a"), "numbers")
+    assert made.count() == 5 and shared_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir") + "/tidelog/x-")
+    assert release(spark) >= 1 and release(spark) == 0

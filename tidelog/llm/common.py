@@ -26,7 +26,24 @@ def shared_dir(spark: SparkSession, label: str) -> str:
             raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidelog-")
         spark.conf.set(CHECKPOINT_KEY, root)
-    return f"{root.rstrip('/')}/tidelog/{label}-{uuid.uuid4().hex}"
+    _made.append(f"{root.rstrip('/')}/tidelog/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+_made: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables and files that this session's operators left in the shared folder, and say how many there were.
+
+    Results are lazy and read them, so call this once the results are written.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        done += bool(path.getFileSystem(conf).delete(path, True))
+    return done
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
