@@ -162,12 +162,12 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return {k: b"\n".join(p.encode() for p in v[:SAMPLE_DOCS])[:each] for k, v in sorted(by.items())}
 
 
-_MODELS: dict[int, dict[str, Model]] = {}
+_MODELS: dict[tuple, dict[str, Model]] = {}
 
 
 def _models(samples: dict[str, bytes]) -> dict[str, Model]:
     """Built once in each worker process."""
-    key = hash(tuple(sorted(samples.items())))
+    key = tuple(sorted(samples.items()))
     if key not in _MODELS:
         _MODELS.clear()
         _MODELS[key] = {k: Model.of(v) for k, v in sorted(samples.items())}
