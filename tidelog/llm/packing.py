@@ -13,7 +13,6 @@ import zlib
 from collections.abc import Iterator
 from math import ceil, isqrt
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
