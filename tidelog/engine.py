@@ -106,7 +106,9 @@ class Engine:
 
     def trace(self, origin: EventId, direction: str = "causes", depth: int = 16, limit: int | None = None) -> DataFrame:
         own = self.events.where((F.col("source") == origin.source) & (F.col("epoch") == origin.epoch))
-        out = causal.trace(causal.edges(own), origin.sequence, direction, depth).orderBy("depth", "node")
+        graph = causal.edges(own).persist()  # read by every level
+        out = causal.trace(graph, origin.sequence, direction, depth).orderBy("depth", "node")
+        graph.unpersist()
         return out if limit is None else out.limit(limit)
 
     def subscribe(self, text: str, sink, checkpoint: str, from_sequence: int = 0, once: bool = False) -> StreamingQuery:

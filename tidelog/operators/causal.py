@@ -40,7 +40,12 @@ def _step(graph: DataFrame, frontier: set[int], here: str, there: str) -> set[in
 
 
 def trace(graph: DataFrame, root: int, direction: str = "causes", depth: int = 16) -> DataFrame:
-    """node, depth: breadth-first from `root` (depth 0), each node at its first visit.
+    """node, depth: breadth-first from `root` (depth 0), each node at its first visit."""
+    return walk(graph, {root}, direction, depth)
+
+
+def walk(graph: DataFrame, roots: set[int], direction: str = "causes", depth: int = 16) -> DataFrame:
+    """node, depth: breadth-first from several roots at once.
 
     The frontier stays with the driver while it is small (FRONTIER_LIMIT nodes) and filters the edges as literals; beyond
     that it is a checkpointed DataFrame that Spark joins. Every level is one job over the edges; a graph partitioned by
@@ -48,7 +53,7 @@ def trace(graph: DataFrame, root: int, direction: str = "causes", depth: int = 1
     """
     spark = graph.sparkSession
     here, there = ("effect", "cause") if direction == "causes" else ("cause", "effect")
-    seen, frontier, level = {root: 0}, {root}, 0
+    seen, frontier, level = dict.fromkeys(roots, 0), set(roots), 0
     while frontier and level < depth and len(seen) <= FRONTIER_LIMIT:
         level += 1
         found = _step(graph, frontier, here, there) - seen.keys()

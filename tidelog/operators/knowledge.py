@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators.causal import FRONTIER_LIMIT, walk
+
 #: Fixed antonyms; matched as substrings, so "inactive" also holds "active".
 ANTONYMS = (("true", "false"), ("alive", "dead"), ("active", "inactive"), ("healthy", "critical"), ("open", "closed"))
 
@@ -71,29 +72,20 @@ def infer(beliefs: DataFrame, conflicts: DataFrame | None = None) -> DataFrame:
     return beliefs.join(lost, "id", "left").withColumn("status", F.when(F.col("_hit"), "contradicted").otherwise("active")).drop("_hit")
 
 
-def _closure(links: DataFrame, start: DataFrame) -> DataFrame:
-    """All nodes reachable from `start` (node) by links (src, dst), start included; cycles end."""
-    seen, frontier = start.select("node").distinct(), start.select("node").distinct()
-    durable = bool(links.sparkSession.sparkContext.getCheckpointDir())
-    while True:
-        fresh = links.join(frontier, links["src"] == frontier["node"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
-        fresh = fresh.checkpoint() if durable else fresh.persist()
-        if fresh.isEmpty():
-            return seen
-        seen = seen.unionByName(fresh)
-        seen = seen.checkpoint() if durable else seen.persist()
-        frontier = fresh
-
-
 def dependents(premises: DataFrame) -> DataFrame:
-    """src, dst: a retracted premise reaches every belief that rests on it (premises: id, premise)."""
-    return premises.select(F.col("premise").alias("src"), F.col("id").alias("dst"))
+    """cause, effect: a retracted premise reaches every belief that rests on it (premises: id, premise)."""
+    return premises.select(F.col("premise").alias("cause"), F.col("id").alias("effect"))
 
 
 def retract(beliefs: DataFrame, premises: DataFrame, ids: DataFrame) -> DataFrame:
     """Beliefs with status retracted for `ids` (node) and everything that transitively rests on them."""
-    gone = _closure(dependents(premises), ids)
-    return beliefs.join(gone.withColumn("_gone", F.lit(True)), beliefs["id"] == gone["node"], "left").withColumn("status", F.when(F.col("_gone"), "retracted").otherwise(F.col("status"))).drop("_gone", "node")
+    links = dependents(premises).persist()
+    start = {r[0] for r in ids.select("node").distinct().limit(FRONTIER_LIMIT + 1).collect()}
+    if len(start) > FRONTIER_LIMIT:
+        raise ValueError(f"retract at most {FRONTIER_LIMIT} beliefs at a time")
+    gone = walk(links, start, "effects", beliefs.count() + 1)
+    links.unpersist()
+    return beliefs.join(gone.withColumn("_gone", F.lit(True)), beliefs["id"] == gone["node"], "left").withColumn("status", F.when(F.col("_gone"), "retracted").otherwise(F.col("status"))).drop("_gone", "node", "depth")
 
 
 def why(beliefs: DataFrame, premises: DataFrame, target: int, depth: int = 64) -> DataFrame:

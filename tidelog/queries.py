@@ -397,7 +397,7 @@ UNION ALL SELECT 'outcome', sequence, valid_ticks FROM ev WHERE schema_id = 2 AN
 def action_trace(spark, sf_dir):
     events = with_causes(bind_events(spark, sf_dir))
     action = events.where("schema_id = 3 and sequence >= 500").agg(F.min("sequence")).first()[0]
-    return causal.action_trace(events, causal.edges(events), action, {"percept": 5, "intention": 1, "action": 3, "outcome": 2, "belief": 4, "gap": 6})
+    return causal.action_trace(events, causal.edges(events).persist(), action, {"percept": 5, "intention": 1, "action": 3, "outcome": 2, "belief": 4, "gap": 6})
 
 
 def _branches(spark: SparkSession) -> DataFrame:
