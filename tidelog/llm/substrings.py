@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidelog.llm.common import materialize, shuffle_partitions
+from tidelog.llm.common import free_shuffles, materialize, shuffle_partitions
 from tidelog.llm.tokens import small_batches
 
 WINDOW = 13
@@ -336,6 +336,7 @@ def with_starts(docs: DataFrame, change: Callable[[pa.RecordBatch, list[list[int
     """change(batch, starts) of every batch of `docs`, with the ascending starts of each row's repeated windows."""
     keys = _keys(docs.sparkSession, shuffle_partitions(docs.sparkSession))
     runs = duplicate_runs(docs, keys, window, anchor, id_col, text_col)
+    free_shuffles(docs.sparkSession)  # those of the lookups, before the texts are shuffled again
     repeated, names = _repeated(docs, id_col), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
