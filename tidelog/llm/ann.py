@@ -237,18 +237,19 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, confidence: float
     blocks = sizes.select("leaf", F.ceil(F.col("n") / block_rows).cast("long").alias("blocks"))  # one row for each leaf
     dealt = placed.join(F.broadcast(blocks), "leaf").withColumn("block", F.col("leaf") * (1 << 32) + F.pmod(F.xxhash64("id"), F.col("blocks")))
     queries = placed.where("query").dropDuplicates(["id"]).select("id", "v", "home")
-    asked = queries.count()
-    parts = max(1, -(-asked // QUERIES_AT_ONCE))
-    part = F.pmod(F.xxhash64("id"), F.lit(parts).cast("long")).alias("part")
-    targets = dealt.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), "id", "v")
 
-    def paired(asking: DataFrame) -> DataFrame:
-        """Every block of the leaf that a row asks."""
+    def searched(asking: DataFrame) -> DataFrame:
+        """Every query (id, leaf, bound) against every block of its leaf. A block's rows are sent once for each
+        QUERIES_AT_ONCE queries that ask it, so neither side of a task outgrows its bound."""
         spread = asking.join(F.broadcast(blocks), "leaf").withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        return spread.select((F.col("leaf") * (1 << 32) + F.col("sub")).alias("block"), part, "id", "v", "bound")
-
-    home = queries.select("id", "v", F.col("home").alias("leaf"), F.lit(float("inf")).alias("bound"))
-    first = materialize(_top(_search_blocks(paired(home), targets, tree, k, stop), k), "first-round")
+        pairs = materialize(spread.select((F.col("leaf") * (1 << 32) + F.col("sub")).alias("block"), "id", "bound"), "asked-blocks")
+        parts = pairs.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERIES_AT_ONCE).cast("long").alias("parts"))
+        left = pairs.join(parts, "block").join(queries.select("id", "v"), "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+        right = dealt.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "id", "v")
+        return _search_blocks(left, right, tree, k, stop)
+
+    home = queries.select("id", F.col("home").alias("leaf"), F.lit(float("inf")).alias("bound"))
+    first = materialize(_top(searched(home), k), "first-round")
     kth = first.groupBy("query_id").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n"))
     again = queries.join(kth, queries["id"] == kth["query_id"], "left").select("id", "v", "home", "kth", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -267,8 +268,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, confidence: float
                 hit[np.arange(len(hit)), home_leaf[at : at + 256]] = False
                 q, leaf = np.nonzero(hit)
                 pick = pa.array(q + at)
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pick), batch.column("v").take(pick), pa.array(leaf), pa.array(bound[q + at])], ["id", "v", "leaf", "bound"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pick), pa.array(leaf), pa.array(bound[q + at])], ["id", "leaf", "bound"])
 
-    asking = again.mapInArrow(open_leaves, "id long, v array<double>, leaf long, bound double")
-    second = _search_blocks(paired(asking), targets, tree, k, stop)
+    second = searched(again.mapInArrow(open_leaves, "id long, leaf long, bound double"))
     return _top(first.select("query_id", "vec_id", "score").unionByName(second), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
