@@ -153,6 +153,7 @@ class Block:
         near = (gap**2).sum(axis=1)
         order = np.argsort(near)
         norm2, best = float(vector @ vector) + self.largest**2, []
+        floor = (norm2 - bound) / 2  # products below it are not among the k best (minus infinity without a bound)
         seen_ids, seen_products = np.zeros(0, np.int64), np.zeros(0)
         at, step = 0, 4
         while at < len(order) and near[order[at]] <= stop * bound:
@@ -160,8 +161,10 @@ class Block:
             at, step = at + step, step * 2
             rows = rows[((self.points[rows] - point) ** 2).sum(axis=1) <= stop * bound]
             rows = rows[self.ids[rows] != query]
+            products = self.vectors[rows] @ vector
+            rows, products = rows[products >= floor], products[products >= floor]
             seen_ids = np.concatenate([seen_ids, self.ids[rows]])
-            seen_products = np.concatenate([seen_products, self.vectors[rows] @ vector])
+            seen_products = np.concatenate([seen_products, products])
             best.append(rows)
             if len(seen_products) >= k:
                 kth = np.partition(seen_products, -k)[-k]
