@@ -9,10 +9,11 @@ budget. To spread the join, every fingerprint enters one trie for each rotation
 rotation's first bits; budget + 1 rotations by disjoint blocks find every link, since one block of a linking pair must be
 equal. Equal fingerprints are one entry, so groups of copies cost nothing here.
 
-A subtrie of over CAP fingerprints is not left to one task. With exact blocks and a budget of 2 its fingerprints are
-linked through their one-bit neighbours instead: two fingerprints differ in 2 bits or fewer exactly if some value is
-within one bit of both, and no value has more than bits + 1 such neighbours. In the other mode (`tables` overlapping
-rotations, a large budget) such subtries are cut by further bits.
+A subtrie of over CAP fingerprints is not left to one task: its fingerprints are linked through their one-bit neighbours
+instead. Two fingerprints differ in 2 bits or fewer exactly if some value is within one bit of both, and no value has
+more than bits + 1 such neighbours.
+
+`keep_one` drops near-duplicates by the shingle sets themselves (see setjoin): fingerprints decide nothing there.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import materialize
 from tidelog.llm.graph import components
+from tidelog.llm.setjoin import shingle_hashes, similar_groups
 from tidelog.llm.tokens import small_batches
 
-SEED = 42
 CAP = 2048
 LEAF_PAIRS = 64
 CHUNK = 1 << 16
@@ -42,17 +42,14 @@ BATCH = 2 << 20
 class Spec:
     """words: shingle length; bits: of the joined fingerprint, a multiple of 64; budget: differing bits that still link;
     tables: (first bit, width) of the block that must be equal, for each rotation; cap: fingerprints in a subtrie.
-    wide: bits of a longer fingerprint (the joined one leads it) that confirms links: at most `sure` differing bits do, over
-    `never` do not, and in between the shingle sets themselves must have a Jaccard similarity of `similarity`."""
+    sure, never: differing bits of a fingerprint of 1024 below and above which texts are surely similar or not; an estimate only."""
 
     words: int
     bits: int
     budget: int
     tables: tuple[tuple[int, int], ...]
-    wide: int = 0
     sure: int = 0
     never: int = 0
-    similarity: float = 0.8
     cap: int = CAP
 
     @property
@@ -62,25 +59,9 @@ class Spec:
 
 #: 64-bit fingerprints of 3-word shingles, links at 2 bits: the three blocks find every link.
 CONTRACT = Spec(3, 64, 2, ((0, 22), (22, 21), (43, 21)))
-#: For a Jaccard similarity J of 5-word shingle sets, bits differ with probability acos(2 J / (1 + J)) / pi: 0.15 at
-#: J = 0.8 (39 of 256 bits expected), 0.27 at J = 0.5. With 32 rotations of 16 equal bits, a pair with J = 0.8 meets in one
-#: with probability 0.92, J = 0.9 with 0.998. Of 1024 bits, 155 (deviation 11) are expected to differ at J = 0.8, so 110 or
-#: fewer and over 200 leave no doubt.
-NEAR = Spec(5, 256, 54, tuple((8 * i, 16) for i in range(32)), 1024, 110, 200)
-
-
-def shingle_hashes(text: str | None, words: int) -> np.ndarray:
-    """XXH64 (seed 42) of each shingle of the lower-cased (A-Z) text; fewer words: of the whole sequence."""
-    import xxhash
-
-    found = (text or "").encode().lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    joined, digest = b" ".join(found), xxhash.xxh64_intdigest
-    ends = list(accumulate(map(len, found), lambda at, n: at + n + 1))
-    starts = [0, *[e + 1 for e in ends[:-1]]]
-    spans = zip(starts, ends[words - 1 :] or ends[-1:], strict=False)
-    return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), dtype=np.uint64)
+#: Five-word shingles. Bits differ with probability acos(2 J / (1 + J)) / pi at a cosine-like similarity J of shingle counts:
+#: of 1024 bits, 155 (deviation 11) are expected to differ at 0.8. Nothing is joined by these.
+NEAR = Spec(5, 1024, 200, (), 110, 200)
 
 
 def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
@@ -115,7 +96,7 @@ def fingerprints(docs: DataFrame, spec: Spec, id_col: str = "doc_id", text_col:
         for batch in small_batches(batches, "text", BATCH):
             texts = batch.column("text").to_pylist()
             crc = [zlib.crc32((t or "").encode()) for t in texts]
-            fps = [fingerprint(t, spec.words, max(spec.bits, spec.wide)) for t in texts]
+            fps = [fingerprint(t, spec.words, spec.bits) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(crc, pa.int64()), pa.array(fps, pa.binary())], ["doc_id", "text_crc32", "fp"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -212,21 +193,21 @@ def _verify(words: np.ndarray, root: np.ndarray, u: np.ndarray, v: np.ndarray, b
             i, j, far = i[apart], j[apart], far[apart]
 
 
-def _entries(nodes: DataFrame, spec: Spec, extra: int = 0) -> DataFrame:
-    """bucket, fp: each fingerprint once for each rotation, by the bits that lead it (and `extra` more)."""
+def _entries(nodes: DataFrame, spec: Spec) -> DataFrame:
+    """bucket, fp: each fingerprint once for each rotation, by the bits that lead it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = _words(batch.column("fp"), spec.bits)
             for t, (first, width) in enumerate(spec.tables):
-                key = _rotated(words, first)[:, 0] >> np.uint64(64 - width - extra)
+                key = _rotated(words, first)[:, 0] >> np.uint64(64 - width)
                 bucket = (key | np.uint64(t << 48)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column("fp")], ["bucket", "fp"])
 
     return nodes.select("fp").mapInArrow(run, "bucket long, fp binary")
 
 
-def _link_buckets(entries: DataFrame, spec: Spec, extra: int = 0) -> DataFrame:
+def _link_buckets(entries: DataFrame, spec: Spec) -> DataFrame:
     """a, b: a spanning forest of the links within each bucket."""
 
     def linked(buckets: np.ndarray, fps: pa.Array) -> Iterator[pa.RecordBatch]:
@@ -237,7 +218,7 @@ def _link_buckets(entries: DataFrame, spec: Spec, extra: int = 0) -> DataFrame:
             turned = _rotated(words[rows], spec.tables[t][0])
             order = np.lexsort([*[turned[:, c] for c in range(turned.shape[1] - 1, -1, -1)], buckets[rows]])
             rows = rows[order]
-            i, j = trie_join(turned[order], buckets[rows], spec.tables[t][1] + extra, spec.budget)
+            i, j = trie_join(turned[order], buckets[rows], spec.tables[t][1], spec.budget)
             if len(i):
                 yield pa.RecordBatch.from_arrays([fps.take(pa.array(rows[i])), fps.take(pa.array(rows[j]))], ["a", "b"])
 
@@ -279,69 +260,15 @@ def _neighbour_links(nodes: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame, spec: Spec) -> DataFrame:
     """a, b: edges with the same components as all links between the distinct fingerprints of `nodes` (fp)."""
+    if not spec.exact:
+        raise ValueError("links are found for 64 bits, a budget of 2 and disjoint blocks only")
     entries = _entries(nodes, spec)
     heavy = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > spec.cap).select("bucket")
     heavy = materialize(heavy, "heavy-subtries")
     if heavy.isEmpty():
         return _link_buckets(entries, spec)
     light = _link_buckets(entries.join(heavy, "bucket", "left_anti"), spec)
-    over = entries.join(heavy, "bucket", "left_semi")
-    if spec.exact:
-        return light.unionByName(_neighbour_links(over))
-    deeper, extra, left = light, 0, over.select("fp").distinct()
-    while extra < 16:
-        extra += 8
-        entries = _entries(left, spec, extra)
-        heavy = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > spec.cap).select("bucket")
-        heavy = materialize(heavy, "heavy-subtries")
-        deeper = deeper.unionByName(_link_buckets(entries.join(heavy, "bucket", "left_anti") if extra < 16 else entries, spec, extra))
-        if heavy.isEmpty():
-            break
-        left = materialize(entries.join(heavy, "bucket", "left_semi").select("fp").distinct(), "heavy-entries")
-    return deeper
-
-
-def _shingle_sets(docs: DataFrame, ends: DataFrame, spec: Spec, id_col: str, text_col: str) -> DataFrame:
-    """fp, shingles (sorted distinct hashes, packed) of the documents that `ends` (fp, doc_id, text_crc32) name."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", BATCH):
-            sets = [np.unique(shingle_hashes(t, spec.words)).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sets, pa.binary())], ["fp", "shingles"])
-
-    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    texts = docs.select(F.col(id_col).cast("long").alias("own_id"), crc.alias("own_crc"), F.col(text_col).alias("text"))
-    named = texts.join(ends, (F.col("own_crc") == F.col("text_crc32")) & F.col("own_id").eqNullSafe(F.col("doc_id"))).select("fp", "text")
-    return named.mapInArrow(run, "fp binary, shingles binary").dropDuplicates(["fp"])
-
-
-def _confirmed(edges: DataFrame, nodes: DataFrame, docs: DataFrame, spec: Spec, id_col: str, text_col: str) -> DataFrame:
-    """The edges that the wide fingerprints, or else the shingle sets, confirm."""
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            far = np.bitwise_count(_words(batch.column("wide_a"), spec.wide) ^ _words(batch.column("wide_b"), spec.wide)).sum(axis=1, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(far)], ["a", "b", "far"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= spec.similarity * (len(x) + len(y) - common))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
-
-    ends = nodes.select("fp", "wide")
-    pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs = pairs.join(ends.toDF("a", "wide_a"), "a").join(ends.toDF("b", "wide_b"), "b")
-    measured = materialize(pairs.select("a", "b", "wide_a", "wide_b").mapInArrow(measure, "a binary, b binary, far long").where(F.col("far") <= spec.never), "measured-links")
-    doubtful = measured.where(F.col("far") > spec.sure).select("a", "b")
-    asked = doubtful.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    asked = materialize(nodes.join(asked, "fp", "left_semi").select("fp", "rep.doc_id", "rep.text_crc32"), "asked")
-    sets = materialize(_shingle_sets(docs, asked, spec, id_col, text_col), "shingle-sets")
-    compared = doubtful.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a binary, b binary")
-    return measured.where(F.col("far") <= spec.sure).select("a", "b").unionByName(compared)
+    return light.unionByName(_neighbour_links(entries.join(heavy, "bucket", "left_semi")))
 
 
 def near_duplicates(docs: DataFrame, spec: Spec = CONTRACT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -353,12 +280,8 @@ def near_duplicates(docs: DataFrame, spec: Spec = CONTRACT, id_col: str = "doc_i
     may split where a fingerprint is hot; everything before sees distinct fingerprints only.
     """
     fps = materialize(fingerprints(docs, spec, id_col, text_col), "fingerprints")
-    key = F.substring("fp", 1, spec.bits // 8)  # equal for all practical purposes only in texts that confirm each other
-    fps = fps.select("doc_id", "text_crc32", key.alias("fp"), F.col("fp").alias("wide"))
-    least = [F.min("doc_id").alias("first"), F.min("wide").alias("wide"), F.min(F.struct("doc_id", "text_crc32")).alias("rep")]
-    nodes = materialize(fps.groupBy("fp").agg(*least), "distinct-fingerprints")
-    edges = links(nodes, spec)
-    roots = components(_confirmed(edges, nodes, docs, spec, id_col, text_col) if spec.wide else edges)
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    roots = components(links(nodes, spec))
     joined = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     joined = materialize(joined, "roots")
     groups = joined.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -369,9 +292,11 @@ def near_duplicates(docs: DataFrame, spec: Spec = CONTRACT, id_col: str = "doc_i
 def keep_one(docs: DataFrame, spec: Spec = NEAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` (all columns) without near-duplicates: of each group the row with the smallest id stays.
 
+    Rows link when the Jaccard similarity of their sets of `spec.words`-word shingles is 0.8 or more, and only then.
+
     Of repeated rows (same id and text) one stays. Rows without an id stay unless a row with an id is in their group.
     """
-    found = materialize(near_duplicates(docs, spec, id_col, text_col), "groups")
+    found = materialize(similar_groups(docs, spec.words, id_col, text_col), "groups")
     times = found.groupBy("doc_id", "text_crc32", "component_id").agg(F.count(F.lit(1)).alias("times"))
     gone = times.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_sim_id"), F.col("text_crc32").alias("_sim_crc"))
     again = times.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("times") > 1)).select(F.col("doc_id").alias("_sim_id"), F.col("text_crc32").alias("_sim_crc"))
