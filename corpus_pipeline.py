@@ -15,13 +15,13 @@ from tidelog.llm.common import materialize, read_table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language (null text, or no letter in it); fills a null lang with the prediction."""
-    found = langid.predict(docs, langid.learn(docs)).where(F.col("_lid_lang") != langid.UNDETERMINED)
-    return found.withColumn("lang", F.coalesce("lang", "_lid_lang")).select(*docs.columns)
+    """Drops documents without a language (null text, or no letter in it); fills a null lang with the prediction, and
+    replaces a lang that the text clearly contradicts."""
+    return langid.decide(docs, langid.learn(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near-duplicates (five-word shingles, similarity about 0.8 or more)."""
+    """Keeps the smallest id of each group of near-duplicates (five-word shingles, similarity 0.8 or more)."""
     return simhash.keep_one(docs, simhash.NEAR)
 
 

@@ -29,6 +29,11 @@ PIECE = 256
 SEGMENT = 1024
 BATCH = 2 << 20
 UNDETERMINED = "und"
+#: A label is contradicted where its language takes CLEARLY times the bits of the predicted one, over the whole text and in
+#: lines that hold AGREEING of the bytes of its distinct lines, LEAST_BYTES at least.
+CLEARLY = 1.5
+AGREEING = 2 / 3
+LEAST_BYTES = 128
 _LETTER = re.compile(r"[^\W\d_]")
 _FLAG = 1 << 29
 
@@ -198,3 +203,38 @@ def predict(docs: DataFrame, samples: dict[str, bytes], text_col: str = "text")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([names[i] for i in best.tolist()]), pa.array(score)], [*batch.schema.names, "_lid_lang", "_lid_score"])
 
     return docs.mapInArrow(run, schema)
+
+
+def _contradicts(models: dict[str, Model], text: str, label: str, other: str) -> bool:
+    """Whether a text is clearly in another language than its label. Lines count by themselves, so that one long phrase
+    that a sample happens to hold (a common line) does not speak for the rest."""
+    names = list(models)
+    a, b = names.index(label), names.index(other)
+    lines = [text, *{x for x in text.split("\n") if has_letter(x)}]
+    found = rates(models, lines)
+    clear = found[:, a] >= CLEARLY * found[:, b]
+    sizes = np.array([len(x.encode()) for x in lines[1:]], np.int64)
+    agreeing = int(sizes[clear[1:]].sum())
+    return bool(clear[0]) and agreeing >= max(LEAST_BYTES, AGREEING * int(sizes.sum()))
+
+
+def decide(docs: DataFrame, samples: dict[str, bytes], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The columns of `docs`, with the language of each text for its label; texts without a language are dropped.
+
+    A null label becomes the prediction. A label is kept unless the text clearly contradicts it (see CLEARLY); a label of
+    which no sample was learned cannot be judged and is kept, and a text that is itself in its label's sample speaks for it.
+    """
+    found = predict(docs, samples, text_col).where(F.col("_lid_lang") != UNDETERMINED)
+    columns, schema = docs.columns, found.select(*docs.columns).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = _models(samples)
+        for batch in batches:
+            said, predicted = batch.column(lang_col).to_pylist(), batch.column("_lid_lang").to_pylist()
+            for k, (label, other) in enumerate(zip(said, predicted, strict=True)):
+                if label is None or label != other and label in models and _contradicts(models, batch.column(text_col)[k].as_py(), label, other):
+                    said[k] = other
+            at = batch.schema.get_field_index(lang_col)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(said, batch.schema.field(at).type)).select(columns)
+
+    return found.mapInArrow(run, schema)
