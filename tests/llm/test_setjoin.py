@@ -43,3 +43,15 @@ def test_a_repeated_line_does_not_merge_other_texts(spark):
     line = " ".join(words_of("line", 9)) + " "
     source = [(i, line * 100 + " ".join(words_of(f"d{i}", 150))) for i in range(6)] + [(i, "again " * 100 + " ".join(words_of(f"d{i}", 400))) for i in range(6, 12)]
     assert kept(spark, source) == set(range(12)) == brute_kept(source)
+
+
+def test_repeats_and_short_texts(spark):
+    """pipeline: a text and itself with its last words ten times more; texts of 8 and 9 words, at 0.8 exactly."""
+    source = []
+    for i in range(4):
+        w = words_of(f"r{i}", 300)
+        source += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w + w[-9:] * 10))]
+    for i in range(10, 60):
+        w = words_of(f"s{i}", 9)
+        source += [(2 * i, " ".join(w[:8])), (2 * i + 1, " ".join(w))]
+    assert kept(spark, source) == {d for d, _ in source if d % 2 == 0} == brute_kept(source)

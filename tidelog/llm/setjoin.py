@@ -77,11 +77,6 @@ def parity_distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Jaccard similarity of 4/5 or more, in whole numbers; two empty sets are similar."""
-    return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
-
-
 def _frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are frequent in a sample of the texts, ascending, and how often; only costs depend on them."""
 
@@ -129,14 +124,8 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", BATCH):
-            own = [shingle_set(t, words).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.binary())], ["node", "own"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (batch.column(c).to_pylist() for c in ("own_a", "own_b"))
-            keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+            own = [shingle_set(t, words).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.list_(pa.int64()))], ["node", "own"])
 
     ends = nodes.select("node", "n", "bits")
     met = pairs.join(ends.toDF("a", "n_a", "bits_a"), "a").join(ends.toDF("b", "n_b", "bits_b"), "b")
@@ -145,12 +134,14 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int)
     asked = met.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     asked = materialize(nodes.join(asked, "node", "left_semi").select("node", "rep.*"), "asked").toDF("node", "rep_id", "rep_crc")
     named = texts.join(asked, (F.col("text_crc32") == F.col("rep_crc")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("node", "text")
-    held = materialize(named.mapInArrow(sets, "node long, own binary").dropDuplicates(["node"]), "shingle-sets")
-    both = met.join(held.toDF("a", "own_a"), "a").join(held.toDF("b", "own_b"), "b").select("a", "b", "own_a", "own_b")
-    return materialize(both.mapInArrow(compare, "a long, b long"), "links")
+    held = materialize(named.mapInArrow(sets, "node long, own array<long>").dropDuplicates(["node"]), "shingle-sets")
+    both = met.join(held.toDF("a", "own_a"), "a").join(held.toDF("b", "own_b"), "b")
+    return materialize(both.where(_SIMILAR).select("a", "b"), "links")
 
 
+#: Jaccard similarity of 4/5 or more, in whole numbers: what the sizes allow, and what the sets say.
 _SIZES = "5 * least(n, n_b) >= 4 * greatest(n, n_b)"
+_SIMILAR = "9 * size(array_intersect(own_a, own_b)) >= 4 * (size(own_a) + size(own_b))"
 
 
 def _all_pairs(entries: DataFrame) -> DataFrame:
