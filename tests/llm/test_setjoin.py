@@ -55,3 +55,22 @@ def test_repeats_and_short_texts(spark):
         w = words_of(f"s{i}", 9)
         source += [(2 * i, " ".join(w[:8])), (2 * i + 1, " ".join(w))]
     assert kept(spark, source) == {d for d, _ in source if d % 2 == 0} == brute_kept(source)
+
+
+def edited(words, r, count):
+    out = list(words)
+    for k in r.choice(len(out), count, replace=False):
+        out[k] = f"e{r.integers(1 << 40)}"
+    return " ".join(out)
+
+
+def family(seed, texts, most):
+    r = np.random.default_rng(seed)
+    origin = words_of(f"f{seed}", 120)
+    return [edited(origin, r, int(r.integers(0, most))) for _ in range(texts)]
+
+
+def test_families_of_edited_texts(spark):
+    """pipeline: similarities around 0.8, where links by way of a third text are rejected and direct ones hold."""
+    source = list(enumerate(t for s in range(20) for t in family(s, 6, 6)))
+    assert kept(spark, source) == brute_kept(source)
