@@ -74,3 +74,11 @@ def test_families_of_edited_texts(spark):
     """pipeline: similarities around 0.8, where links by way of a third text are rejected and direct ones hold."""
     source = list(enumerate(t for s in range(20) for t in family(s, 6, 6)))
     assert kept(spark, source) == brute_kept(source)
+
+
+def test_crowded_shingles(spark, monkeypatch):
+    """pipeline: families beyond the size to which all pairs are compared at once."""
+    monkeypatch.setattr(setjoin, "FEW", 2)
+    monkeypatch.setattr(setjoin, "ROUNDS", 1)
+    source = list(enumerate(t for s in (1, 2) for t in family(s, 60, 8)))
+    assert kept(spark, source) == brute_kept(source)
