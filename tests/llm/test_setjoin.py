@@ -82,3 +82,20 @@ def test_crowded_shingles(spark, monkeypatch):
     monkeypatch.setattr(setjoin, "ROUNDS", 1)
     source = list(enumerate(t for s in (1, 2) for t in family(s, 60, 8)))
     assert kept(spark, source) == brute_kept(source)
+
+
+@pytest.mark.parametrize("n", [4, 9, 45, 500])
+def test_every_pair_at_the_threshold_meets(n):
+    """pipeline: whatever comes last, sets at 0.8 share a shingle of their prefixes and pass the bitmaps."""
+    r = np.random.default_rng(n)
+    for _ in range(200):
+        both = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        own = n // 4 if n % 4 == 0 else n * 9 // 4 // 9
+        cut = int(r.integers(0, own + 1))
+        more = r.integers(0, 1 << 63, own, dtype=np.uint64)
+        a, b = np.unique(np.append(both, more[:cut])), np.unique(np.append(both, more[cut:]))
+        assert 9 * n >= 4 * (len(a) + len(b))
+        often = np.sort(r.choice(both, n // 2, replace=False))
+        times = r.integers(4, 9, len(often))
+        assert np.intersect1d(setjoin.prefix(a, often, times), setjoin.prefix(b, often, times)).size
+        assert setjoin.parity_distance(setjoin.parities(a), setjoin.parities(b)) <= own
