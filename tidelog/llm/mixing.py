@@ -11,12 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import shuffle_partitions
+from tidelog.llm.common import materialize, shuffle_partitions
 
 SEED = 17
 #: Share of a source in the output ~ (its input bytes) ** TEMPERATURE.
 TEMPERATURE = 0.5
 MAX_RATE = 4.0
+LARGE_RATE = 500.0
 _SCALE = float(1 << 52)
 
 
@@ -30,24 +31,38 @@ def rates(docs: DataFrame, source_col: str = "source", text_col: str = "text", t
     """source, rate: mean repetitions that move each source's bytes to its target share, the total kept.
 
     Sources are weighed by text bytes (null: none); a null source is a source of its own. No rate exceeds `max_rate`
-    (small sources are not repeated endlessly). One row for each source.
+    (small sources are not repeated endlessly): a source at the cap has its target there, and what it lacks goes to the
+    others by their weights, until none of them exceeds the cap. One row for each source.
     """
     sizes = docs.groupBy(F.col(source_col).alias("_mix_source")).agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")).alias("b"))
-    total = sizes.agg(F.sum(F.pow("b", F.lit(temperature))).alias("w"), F.sum("b").alias("t"))
-    rate = F.when(F.col("b") > 0, F.least(F.lit(max_rate), F.pow("b", F.lit(temperature)) / F.col("w") * F.col("t") / F.col("b"))).otherwise(F.lit(1.0))
-    return sizes.crossJoin(F.broadcast(total)).select("_mix_source", F.round(rate, 9).alias("_mix_rate"))  # one row
-
-
-def poisson_count(rate: Column, u: Column, max_rate: float = MAX_RATE) -> Column:
-    """Smallest n whose distribution function exceeds u; `max_rate` bounds how far the function must be added up."""
-    steps = int(max_rate + 12 * max_rate**0.5 + 20)
-    zero = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("n"))
+    sizes = materialize(sizes, "source-bytes")
+    weight, held = F.pow("b", F.lit(temperature)), None
+    w, t = sizes.agg(F.sum(weight), F.sum("b")).first()
+    every, capped = t or 0, 0
+    while w and t > 0:  # each round only adds sources to those at the cap
+        over = weight / F.lit(w) * F.lit(t) / F.col("b") > max_rate
+        n, b, free = sizes.where("b > 0").agg(F.count(F.when(over, 1)), F.sum(F.when(over, F.col("b"))), F.sum(F.when(~over, weight))).first()
+        if n == capped:
+            break
+        capped, w, t = n, free, every - max_rate * b
+    if w and t > 0:
+        held = F.least(F.lit(max_rate), weight / F.lit(w) * F.lit(t) / F.col("b"))
+    rate = F.when(F.col("b") > 0, F.lit(max_rate) if held is None else held).otherwise(F.lit(1.0))
+    return sizes.select("_mix_source", F.round(rate, 9).alias("_mix_rate"))
+
+
+def poisson_count(rate: Column, u: Column) -> Column:
+    """Smallest n whose distribution function exceeds u. Each rate bounds how far its function must be added up; large
+    ones are added up by logarithms, since exp(-rate) would vanish."""
+    steps = (rate + 12 * F.sqrt(rate) + 20).cast("int")
+    zero = F.struct((-rate).alias("l"), F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("n"))
 
     def step(acc: Column, k: Column) -> Column:
-        p = acc["p"] * rate / k
-        return F.struct(p.alias("p"), (acc["c"] + p).alias("c"), F.when(u >= acc["c"], k).otherwise(acc["n"]).cast("int").alias("n"))
+        log = acc["l"] + F.coalesce(F.log(rate / k), F.lit(0.0))
+        p = F.when(rate > LARGE_RATE, F.exp(log)).otherwise(acc["p"] * rate / k)
+        return F.struct(log.alias("l"), p.alias("p"), (acc["c"] + p).alias("c"), F.when(u >= acc["c"], k).otherwise(acc["n"]).cast("int").alias("n"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), zero, step, lambda acc: acc["n"])
+    return F.aggregate(F.sequence(F.lit(1), steps), zero, step, lambda acc: acc["n"])
 
 
 def replicate(docs: DataFrame, weights: DataFrame | None = None, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", max_rate: float = MAX_RATE) -> DataFrame:
@@ -60,7 +75,7 @@ def replicate(docs: DataFrame, weights: DataFrame | None = None, seed: int = SEE
     weights = rates(docs, source_col, text_col, max_rate=max_rate) if weights is None else weights
     joined = docs.join(weights, F.col(source_col).eqNullSafe(F.col("_mix_source")), "left")
     joined = joined.withColumns({"_mix_u": uniform(F.lit(seed), F.col(id_col)), "_mix_rate": F.coalesce("_mix_rate", F.lit(1.0))})
-    counted = joined.withColumn("_mix_copies", poisson_count(F.col("_mix_rate"), F.col("_mix_u"), max_rate)).where("_mix_copies > 0")
+    counted = joined.withColumn("_mix_copies", poisson_count(F.col("_mix_rate"), F.col("_mix_u"))).where("_mix_copies > 0")
     copies = counted.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
     keyed = copies.withColumn("_mix_key", uniform(F.lit(seed + 1), F.col(id_col), F.col("_mix_copy")))
     out = keyed.select(*[docs[c] for c in docs.columns], "_mix_copy", "_mix_copies", "_mix_key")
