@@ -27,6 +27,14 @@ def test_tokens_equal_the_tokenizer(texts):
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [reference(t) for t in texts]
 
 
+def test_tokens_of_slices():
+    texts = ["Ünder É ß", "ABC é.", None, "Ömer, o", "x" * 50 + " ÄÖ"]
+    batch = pa.record_batch({"text": texts})
+    for a in range(5):
+        ids, at = TOKENIZER.encode(batch.slice(a, 2).column("text"))
+        assert [ids[x:y].tolist() for x, y in zip(at, at[1:])] == [reference(t) for t in texts[a : a + 2]]
+
+
 def test_small_batches():
     batch = pa.record_batch({"text": ["a" * 10, None, "b" * 100, "", "c"]})
     parts = list(small_batches(iter([batch]), "text", 20))
@@ -40,17 +48,20 @@ def test_cut(n):
 
 
 def check_packing(out, docs, capacity):
-    by_doc, by_seq = defaultdict(list), defaultdict(list)
+    """Every id of every document lies in exactly one piece of the right ids; sequences are gapless and within capacity."""
+    texts, covered, by_seq = defaultdict(list), defaultdict(Counter), defaultdict(list)
+    for d, t, *_ in docs:
+        texts[d].append(reference(t))
     for r in out:
-        by_doc[r["doc_id"]].append(r)
+        a, n = r["start"], r["length"]
+        assert n > 0 and any(len(x) == r["doc_tokens"] and a + n <= len(x) and zlib.crc32(np.array(x[a : a + n], "<u4").tobytes()) == r["ids_crc32"] for x in texts[r["doc_id"]])
+        covered[r["doc_id"], r["doc_tokens"]].update(range(a, a + n))
         by_seq[r["sequence_id"]].append(r)
     want = defaultdict(Counter)
-    for d, t, *_ in docs:
-        ids, at = reference(t), 0
-        for n, _ in packing.cut(len(ids), capacity):
-            want[d][(at, n, zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes()), len(ids))] += 1
-            at += n
-    assert {d: Counter((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in v) for d, v in by_doc.items()} == dict(want)
+    for d, own in texts.items():
+        for x in own:
+            want[d, len(x)].update(range(len(x)))
+    assert covered == want
     for v in by_seq.values():
         v.sort(key=lambda r: r["offset"])
         ends = [0] + [r["offset"] + r["length"] for r in v]
@@ -58,6 +69,25 @@ def check_packing(out, docs, capacity):
     assert sorted(by_seq) == list(range(len(by_seq)))
 
 
+@given(st.lists(st.integers(1, 9000), max_size=30), st.sampled_from([64, 256, 2048]))
+def test_plans_are_the_cuts(tokens, capacity):
+    doc, start, length, kind = packing.Plans(capacity).apply(np.array(tokens, np.int64))
+    want, at = [], 0
+    for d, n in enumerate(tokens):
+        at = 0
+        for x, k in packing.cut(n, capacity):
+            want.append((d, at, x, k))
+            at += x
+    assert list(zip(doc.tolist(), start.tolist(), length.tolist(), kind.tolist())) == want
+
+
+def test_repeated_rows_are_dealt_apart(spark):
+    """One id and one text in every row: pieces still spread over buckets and fill sequences."""
+    out = packing.pack(spark.createDataFrame([(7, "one two three")] * 5000, "doc_id long, text string")).collect()
+    check_packing(out, [(7, "one two three")] * 5000, 2048)
+    assert len({r["sequence_id"] for r in out}) <= 5000 * 4 / 2048 * 1.1 + 1
+
+
 @pytest.mark.parametrize("capacity", [2048, 256])
 def test_packing(docs, crowded, capacity):
     check_packing(packing.pack(docs, capacity=capacity).collect(), rows(), capacity)

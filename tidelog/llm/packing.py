@@ -13,6 +13,7 @@ import zlib
 from collections.abc import Iterator
 from math import ceil, isqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from tidelog.llm.tokens import small_batches, tokenizer
 CAPACITY = 2048
 WASTE = 1 / 32
 SMALLEST_CUT = 64
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, row long"
 
 
 def cut(tokens: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -41,21 +42,44 @@ def cut(tokens: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return out
 
 
+class Plans:
+    """The pieces of every number of tokens below the capacity, as flat arrays."""
+
+    def __init__(self, capacity: int) -> None:
+        plans = [cut(n, capacity) for n in range(capacity)]
+        self.capacity, self.counts = capacity, np.array([len(p) for p in plans])
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.lengths, self.classes = np.array([x for p in plans for x in p], np.int64).reshape(-1, 2).T
+
+    def apply(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Document, start, length and class of every piece of documents with these numbers of tokens."""
+        full, rest = tokens // self.capacity, tokens % self.capacity
+        count = full + self.counts[rest]
+        doc = np.repeat(np.arange(len(tokens)), count)
+        inner = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) - full[doc]  # below 0: full sequences
+        at = np.maximum(self.starts[rest][doc] + inner, 0)
+        length, kind = np.where(inner < 0, self.capacity, self.lengths[at]), np.where(inner < 0, 1, self.classes[at])
+        ends = np.cumsum(length)
+        return doc, ends - length - np.repeat(np.cumsum(tokens) - tokens, count), length, kind
+
+
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
-    """Every document's pieces with the CRC-32 of their ids; each id lies in exactly one piece."""
+    """Every document's pieces with the CRC-32 of their ids; each id lies in exactly one piece. `row` differs for each
+    piece of a run, repeated documents included, and means nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plans = [cut(n, capacity) for n in range(capacity)]
-        schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")] + [("class", pa.int32())])
+        from pyspark import TaskContext
+
+        plans, row = Plans(capacity), TaskContext.get().partitionId() << 40
         for batch in small_batches(batches, "text"):
             ids, offsets = tokenizer(vocabulary).encode(batch.column("text"))
-            data, rows = memoryview(ids.tobytes()), []
-            for doc, a, b in zip(batch.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                n, at = b - a, 0
-                for length, k in [(capacity, 1)] * (n // capacity) + plans[n % capacity]:
-                    rows.append((doc, at, length, zlib.crc32(data[4 * (a + at) : 4 * (a + at + length)]), n, k))
-                    at += length
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            tokens = np.diff(offsets)
+            doc, start, length, kind = plans.apply(tokens)
+            data, firsts = memoryview(ids).cast("B"), 4 * (offsets[:-1][doc] + start)
+            crcs = [zlib.crc32(data[a:b]) for a, b in zip(firsts.tolist(), (firsts + 4 * length).tolist(), strict=True)]
+            columns = [batch.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crcs, pa.int64()), pa.array(tokens[doc]), pa.array(kind.astype(np.int32)), pa.array(row + np.arange(len(doc)))]
+            row += len(doc)
+            yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in PIECES.split(", ")])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
 
@@ -78,7 +102,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
     A null or empty text is a document of its end token alone; repeated rows are packed as often as they occur; an empty
     table gives no rows; other columns are not read. Pieces are numbered within hash buckets of about
-    max(1000, sqrt(pieces)) rows of a class, shifted by the bucket's start, so no task holds a whole class.
+    max(1000, sqrt(pieces)) rows of a class, shifted by the bucket's start, so no task holds a whole class, however often
+    one id or row occurs.
     """
     spark = docs.sparkSession
     cut_docs = materialize(pieces(docs, id_col, text_col, capacity, vocabulary), "pieces")
@@ -89,13 +114,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
         table.append((k, ceil(counts[k] / per), sequences, counts[k] // k * k))
         sequences += counts[k] // k
     classes = F.broadcast(spark.createDataFrame(table, "class int, buckets int, first_sequence long, whole long"))
-    dealt = cut_docs.join(classes, "class").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.col("buckets")))
+    dealt = cut_docs.join(classes, "class").withColumn("bucket", F.pmod(F.xxhash64("row"), F.col("buckets")))
     sizes = dealt.groupBy("class", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("class", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("class", "bucket").orderBy("doc_id", "start", "length", "ids_crc32")
+    inside = Window.partitionBy("class", "bucket").orderBy("row")
     numbered = dealt.withColumn("rank", F.row_number().over(inside) - 1).join(F.broadcast(starts), ["class", "bucket"])
-    numbered = materialize(numbered.withColumn("index", F.col("first") + F.col("rank")).drop("rank", "first", "bucket", "buckets"), "numbered")
+    numbered = materialize(numbered.withColumn("index", F.col("first") + F.col("rank")).drop("rank", "first", "bucket", "buckets", "row"), "numbered")
     tails = numbered.where(F.col("index") >= F.col("whole")).select("class", "index", "length").collect()
     bins = fit_tails([r["length"] for r in tails], capacity)
     extra = spark.createDataFrame([(r["class"], r["index"], sequences + b) for r, b in zip(tails, bins, strict=True)], "class int, index long, tail long")

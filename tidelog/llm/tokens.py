@@ -16,12 +16,19 @@ import pyarrow.compute as pc
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-BATCH_BYTES = 8 << 20
-CACHED_WORDS = 200_000
+BATCH_BYTES = 2 << 20
+#: Bytes of words and ids that a process remembers; beyond that, words that the last batch lacks are forgotten.
+CACHED_BYTES = 16 << 20
 _SEPARATOR = "<|endoftext|>"
 _JOINED = 256
 
 
+def _gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs pool[start : start + size], one after another."""
+    ends = np.cumsum(sizes)
+    return pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 class WordTokenizer:
     """path: a tokenizers file; by default the installed public vocabulary."""
 
@@ -35,22 +42,47 @@ class WordTokenizer:
             path = public_tokenizers.path(VOCABULARY)
         self._tokenizer = Tokenizer.from_file(path)
         self._separator = self._tokenizer.token_to_id(_SEPARATOR)
-        self._cache: dict[str, bytes] = {}
+        self._words = pa.array([], pa.large_string())
+        self._ids, self._ends = np.zeros(0, "<u4"), np.zeros(0, np.int64)
 
-    def _new(self, words: list[str]) -> list[bytes]:
-        special = {i for i, w in enumerate(words) if "<|" in w}
-        plain = [w for w in words if "<|" not in w] if special else words
+    def _new(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, and how many each has. Words that may hold special tokens are encoded one by one."""
+        special = pc.match_substring(words, "<|").to_numpy(zero_copy_only=False)
+        plain = words.filter(pa.array(~special)).to_pylist()
         chunks = [_SEPARATOR.join(plain[i : i + _JOINED]) for i in range(0, len(plain), _JOINED)]
-        out: list[bytes] = []
+        pools, sizes = [], []
         for e in self._tokenizer.encode_batch_fast(chunks, add_special_tokens=False):
             ids = np.array(e.ids, dtype="<u4")
-            ends = (4 * np.append(np.flatnonzero(ids == self._separator), len(ids))).tolist()
-            data = ids.tobytes()
-            out += [data[a:b] for a, b in zip([0, *[x + 4 for x in ends[:-1]]], ends, strict=True)]
-        if special:
-            plain_ids = iter(out)
-            out = [np.array(self._tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes() if i in special else next(plain_ids) for i, w in enumerate(words)]
-        return out
+            ends = np.append(np.flatnonzero(ids == self._separator), len(ids))
+            sizes.append(np.diff(ends, prepend=-1) - 1)
+            pools.append(np.delete(ids, ends[:-1]))
+        odd = [self._tokenizer.encode(w, add_special_tokens=False).ids for w in words.filter(pa.array(special)).to_pylist()]
+        order = np.argsort(np.concatenate([np.flatnonzero(~special), np.flatnonzero(special)]))
+        pool = np.concatenate([*pools, *[np.array(x, "<u4") for x in odd], np.zeros(0, "<u4")])
+        size = np.concatenate([*sizes, np.array([len(x) for x in odd], np.int64)]).astype(np.int64)
+        return (_gather(pool, (np.cumsum(size) - size)[order], size[order]), size[order]) if odd else (pool, size)
+
+    def _lookup(self, words: pa.Array, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, and where in it each of these distinct words begins and how many it has. Words that occur `often`
+        are remembered."""
+        at = pc.fill_null(pc.index_in(words, value_set=self._words), -1).to_numpy(zero_copy_only=False)
+        missing = at < 0
+        new_words = words.filter(pa.array(missing))
+        new_ids, new_sizes = self._new(new_words)
+        pool = np.concatenate([self._ids, new_ids])
+        sizes, starts = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        known = np.diff(self._ends, prepend=0)
+        sizes[~missing], starts[~missing] = known[at[~missing]], (self._ends - known)[at[~missing]]
+        sizes[missing], starts[missing] = new_sizes, len(self._ids) + np.cumsum(new_sizes) - new_sizes
+        if self._words.nbytes + self._ids.nbytes + self._ends.nbytes > CACHED_BYTES:
+            kept = often
+            self._words, self._ids, self._ends = words.filter(pa.array(kept)), _gather(pool, starts[kept], sizes[kept]), np.cumsum(sizes[kept])
+        else:
+            kept = often & missing
+            self._words = pa.concat_arrays([self._words, words.filter(pa.array(kept))])
+            self._ids = np.concatenate([self._ids, _gather(pool, starts[kept], sizes[kept])])
+            self._ends = np.concatenate([self._ends, (self._ends[-1] if len(self._ends) else 0) + np.cumsum(sizes[kept])])
+        return pool, starts, sizes
 
     @staticmethod
     def _plainer(texts: pa.Array) -> pa.Array:
@@ -59,35 +91,20 @@ class WordTokenizer:
         The tokenizer lower-cases too, and splits letters from marks. Texts that may hold special tokens stay as they are.
         """
         fewer = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,])([ \n])", r"\1 \2\3")
-        special = pc.match_substring(texts, "<|")
-        if not pc.any(special).as_py():
-            return fewer
-        return pa.array([t if x else f for t, f, x in zip(texts.to_pylist(), fewer.to_pylist(), special.to_pylist(), strict=True)], pa.large_string())
+        return pc.if_else(pc.match_substring(texts, "<|"), texts, fewer)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, each text followed by END_ID, and the offsets of the texts. Null: an empty text."""
-        words = pc.ascii_split_whitespace(self._plainer(pa.array([t or "" for t in texts.to_pylist()], pa.large_string())))
+        own = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string())  # a copy: ascii_lower garbles slices
+        words = pc.ascii_split_whitespace(self._plainer(pc.fill_null(own, "")))
         flat = words.flatten().dictionary_encode()
-        distinct, which = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False)
-        known = [self._cache.get(w) for w in distinct]
-        missing = [i for i, b in enumerate(known) if b is None]
-        often = np.bincount(which, minlength=len(distinct)) > 1
-        room = CACHED_WORDS - len(self._cache)
-        for i, b in zip(missing, self._new([distinct[i] for i in missing]), strict=True):
-            known[i] = b
-            if room > 0 and often[i]:
-                self._cache[distinct[i]] = b
-                room -= 1
-        pool = np.frombuffer(b"".join(known), dtype="<u4")
-        sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
-        starts = np.cumsum(sizes) - sizes
-        lengths = sizes[which]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = pool[np.repeat(starts[which] - (ends - lengths), lengths) + np.arange(total)] if total else pool[:0]
+        which = flat.indices.to_numpy(zero_copy_only=False)
+        pool, starts, sizes = self._lookup(flat.dictionary, np.bincount(which, minlength=len(flat.dictionary)) > 1)
+        ids = _gather(pool, starts[which], sizes[which])
+        ends = np.cumsum(sizes[which])
         by_word = np.concatenate([[0], ends])
         by_text = by_word[words.offsets.to_numpy() - words.offsets[0].as_py()] if len(texts) else np.zeros(1, dtype=np.int64)
-        return np.insert(ids, by_text[1:], END_ID).astype("<u4"), by_text + np.arange(len(by_text))
+        return np.insert(ids, by_text[1:], END_ID), by_text + np.arange(len(by_text))
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
