@@ -38,53 +38,62 @@ def test_hashes_match_the_definition():
     want = [xxhash.xxh64_intdigest(x.encode(), 42) for x in ("the cat sat", "cat sat on", "sat on Ünder".replace("Ü", "Ü"))]
     assert simhash.shingle_hashes(text, 3).tolist() == want
     assert simhash.shingle_hashes("A b", 3).tolist() == [xxhash.xxh64_intdigest(b"a b", 42)]
-    assert simhash.fingerprint(None, 3, 64) == simhash.fingerprint(" \n", 3, 64) == bytes(8)
+    assert simhash.fingerprint(None, 3) == simhash.fingerprint(" \n", 3) == bytes(8)
 
 
 def test_bits_are_a_strict_majority():
     h = simhash.shingle_hashes(prose(1, 700), 3)
     want = sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h) > len(h))
-    assert int.from_bytes(simhash.fingerprint(prose(1, 700), 3, 64), "big") == want
+    assert int.from_bytes(simhash.fingerprint(prose(1, 700), 3), "big") == want
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**10 - 1), min_size=1, max_size=60, unique=True), st.integers(0, 3))
 def test_trie_join_equals_brute_force(low, budget):
-    values = np.array(sorted(v << 30 | 7 for v in low), np.uint64).reshape(-1, 1)
-    i, j = simhash.trie_join(values, np.zeros(len(values), np.int64), 10, budget)
+    values = np.array(sorted(v << 30 | 7 for v in low), np.uint64)
+    node = np.array([[0, len(values)]])
+    i, j = simhash.trie_join(values, node, node, np.zeros(1, np.int64), 10, budget)
     root = np.arange(len(values))
     simhash._join_all(root, i, j)
-    fps = [int(v).to_bytes(8, "big") for v in values[:, 0]]
+    fps = [int(v).to_bytes(8, "big") for v in values]
     assert root.tolist() == brute_groups(fps, range(len(fps)), budget)
-    assert all((int(values[a, 0]) ^ int(values[b, 0])).bit_count() <= budget for a, b in zip(i, j)) and len(i) == len(set(range(len(root)))) - len(set(root.tolist()))
+    assert all((int(values[a]) ^ int(values[b])).bit_count() <= budget for a, b in zip(i, j)) and len(i) == len(set(range(len(root)))) - len(set(root.tolist()))
 
 
 @pytest.mark.parametrize("cap", [2048, 1])
 def test_near_duplicates(docs, crowded, cap):
-    spec = simhash.Spec(3, 64, 2, simhash.CONTRACT.tables, cap=cap)
+    spec = simhash.Spec(3, 2, simhash.CONTRACT.tables, cap=cap)
     source = rows()
-    fps = [simhash.fingerprint(r[1], 3, 64) for r in source]
+    fps = [simhash.fingerprint(r[1], 3) for r in source]
     want = Counter(zip([r[0] for r in source], fps, brute_groups(fps, [r[0] for r in source], 2)))
     for frame in (docs, crowded):
         got = simhash.near_duplicates(frame, spec).collect()
         assert Counter((r["doc_id"], bytes(r["fp"]), r["component_id"]) for r in got) == want
 
 
-def test_dense_fingerprints_beyond_the_cap(spark):
-    """A ball of fingerprints around one value: buckets overflow and are linked through one-bit neighbours."""
-    r = np.random.default_rng(3)
-    values = {0}
-    while len(values) < 300:
-        v = 0
-        for b in r.choice(64, 3, replace=False):
-            v |= 1 << int(b)
-        values.add(v)
-    fps = [v.to_bytes(8, "big") for v in sorted(values)]
+def ball(radius, count, seed):
+    """Distinct values within `radius` bits of zero."""
+    r, values = np.random.default_rng(seed), {0}
+    while len(values) < count:
+        values.add(sum(1 << int(b) for b in r.choice(64, radius, replace=False)))
+    return sorted(values)
+
+
+@pytest.mark.parametrize("cap", [1 << 30, 64, 8, 1])
+def test_links_do_not_depend_on_the_cap(spark, cap):
+    """Fingerprints around two values, one subtrie holding most: pairs of nodes over the cap are cut by the cluster."""
+    values = sorted(set(ball(3, 250, 3)) | {v ^ 0xFFFF for v in ball(2, 100, 4)} | {int(x) for x in np.random.default_rng(5).integers(0, 1 << 63, 100)})
+    fps = [v.to_bytes(8, "big") for v in values]
     nodes = spark.createDataFrame([(bytearray(f),) for f in fps], "fp binary")
-    spec = simhash.Spec(3, 64, 2, simhash.CONTRACT.tables, cap=8)
-    roots = {bytes(x["node"]): bytes(x["root"]) for x in components(simhash.links(nodes, spec)).collect()}
-    want = brute_groups(fps, range(len(fps)), 2)
-    assert [fps.index(roots.get(f, f)) for f in fps] == want
+    edges = simhash.links(nodes, simhash.Spec(3, 2, simhash.CONTRACT.tables, cap=cap))
+    assert all((int.from_bytes(r["a"], "big") ^ int.from_bytes(r["b"], "big")).bit_count() <= 2 for r in edges.collect())
+    roots = {bytes(x["node"]): bytes(x["root"]) for x in components(edges).collect()}
+    assert [fps.index(roots.get(f, f)) for f in fps] == brute_groups(fps, range(len(fps)), 2)
+
+
+def test_links_need_enough_blocks(spark):
+    with pytest.raises(ValueError):
+        simhash.links(spark.createDataFrame([(bytearray(8),)], "fp binary"), simhash.Spec(3, 3, simhash.CONTRACT.tables))
 
 
 def test_keep_one(docs, empty, crowded):
@@ -103,16 +112,6 @@ def test_repeated_row_stays_once(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == [1, 2]
 
 
-def test_wide_fingerprints_estimate_similarity():
-    a = prose("w", 400).split()
-    for edits, same in ((4, True), (150, False)):
-        b = list(a)
-        for k in range(edits):
-            b[k * (400 // edits)] = f"new{k}"
-        far = sum((x ^ y).bit_count() for x, y in zip(simhash.fingerprint(" ".join(a), 5, 1024), simhash.fingerprint(" ".join(b), 5, 1024)))
-        assert (far <= simhash.NEAR.sure) == same and (far > simhash.NEAR.never) != same
-
-
 def test_doubtful_pairs_are_compared_exactly(spark):
     """Edits that leave a similarity just above and just below 0.8."""
     source, want = [], {}

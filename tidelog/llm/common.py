@@ -65,6 +65,14 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def free(df: DataFrame, name: str) -> str:
+    """`name` with as many underscores before it as make it a name that no column of `df` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def lower_ascii(col: Column) -> Column:
     """Lower-case A-Z and leave every other character as it is."""
     return F.translate(col, UPPER, UPPER.lower())

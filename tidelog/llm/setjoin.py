@@ -1,9 +1,14 @@
-"""Groups of texts whose sets of word shingles are similar: an exact join by prefixes of the sets.
+"""Groups of texts whose sets of word shingles are similar: SimHash links first, and an exact join for the rest.
 
 Two texts link when the Jaccard similarity of their sets of distinct shingles is 4/5 or more, and groups are the connected
-components of all links. Under any one order of all shingles, two such sets share a shingle among the first n // 5 + 1 of
-each, so texts meet by these alone and no link is lost. The order only decides the cost: shingles that a sample shows
-to be frequent come last. Equal sets are one node, under a 128-bit hash of the set.
+components of all links. Equal sets are one node, under a 128-bit hash of the set.
+
+1. The sets' SimHash fingerprints go through the trie self-join; its links, and equal fingerprints, are candidates that the
+   sets confirm. Most copies are in one group after this. A similarity of 0.8 leaves 10 of 64 bits different on average,
+   which no trie can find without comparing nearly all pairs, so that fingerprints alone would lose such links.
+2. Under any one order of all shingles, two similar sets share a shingle among the first n // 5 + 1 of each: texts that are
+   in different groups still meet by these, and no link is lost. The order only decides the cost: shingles that a sample
+   shows to be frequent come last.
 
 Candidates must agree in size, then in a bitmap of the parities of their shingles' cells (sets that differ in d shingles
 differ in at most d parities), and what remains is decided by the sets. Shingles that many nodes share first link their
@@ -13,7 +18,6 @@ nodes to a pivot; pairs of nodes that these links have joined already need no co
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +26,10 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import materialize
 from tidelog.llm.graph import components
+from tidelog.llm.shingles import shingle_set
+from tidelog.llm.simhash import CONTRACT, links, majority
 from tidelog.llm.tokens import small_batches
 
-SEED = 42
 BATCH = 2 << 20
 #: One text in SAMPLE is asked for frequent shingles, which have OFTEN texts there; at most LISTED are put last.
 SAMPLE = 16
@@ -35,25 +40,6 @@ FEW = 16
 ROUNDS = 4
 
 
-def shingle_hashes(text: str | None, words: int) -> np.ndarray:
-    """XXH64 (seed 42) of each shingle of the lower-cased (A-Z) text; fewer words: of the whole sequence."""
-    import xxhash
-
-    found = (text or "").encode().lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    joined, digest = b" ".join(found), xxhash.xxh64_intdigest
-    ends = list(accumulate(map(len, found), lambda at, n: at + n + 1))
-    starts = [0, *[e + 1 for e in ends[:-1]]]
-    spans = zip(starts, ends[words - 1 :] or ends[-1:], strict=False)
-    return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), dtype=np.uint64)
-
-
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """Distinct shingle hashes, ascending."""
-    return np.unique(shingle_hashes(text, words))
-
-
 def prefix(own: np.ndarray, often: np.ndarray, times: np.ndarray) -> np.ndarray:
     """The first n // 5 + 1 of a set by (times of the frequent ones, hash). often: ascending."""
     count = len(own) // 5 + 1
@@ -94,7 +80,7 @@ def _frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(texts: DataFrame, words: int) -> DataFrame:
-    """doc_id, text_crc32, key, n, prefix, bits of every row."""
+    """doc_id, text_crc32, key, n, fp, prefix, bits of every row."""
     often, times = _frequent(texts, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,12 +91,13 @@ def _signatures(texts: DataFrame, words: int) -> DataFrame:
             made = [
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([majority(s) for s in sets], pa.binary()),
                 pa.array([prefix(s, often, times).view(np.int64) for s in sets], pa.list_(pa.int64())),
                 pa.array([parities(s) for s in sets], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_crc32"), *made], ["doc_id", "text_crc32", "key", "n", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_crc32"), *made], ["doc_id", "text_crc32", "key", "n", "fp", "prefix", "bits"])
 
-    return texts.mapInArrow(run, "doc_id long, text_crc32 long, key binary, n long, prefix array<long>, bits binary")
+    return texts.mapInArrow(run, "doc_id long, text_crc32 long, key binary, n long, fp binary, prefix array<long>, bits binary")
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -160,21 +147,36 @@ def _pivot_pairs(entries: DataFrame, turn: int) -> DataFrame:
     return met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
+def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """a, b: candidates by fingerprint. The least node of each fingerprint with the others, and with that of each
+    fingerprint that the trie join links to it."""
+    hubs = materialize(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("h")).select("fp", F.col("h.node").alias("hub"), F.col("h.n").alias("n_b")), "hubs")
+    same = nodes.join(hubs, "fp").where(F.col("node") != F.col("hub")).where(_SIZES).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    ends = hubs.select(F.col("fp").alias("b"), F.col("hub").alias("node"), F.col("n_b").alias("n"))
+    near = links(hubs.select("fp"), CONTRACT).join(hubs.withColumnRenamed("fp", "a"), "a").join(ends, "b").where(_SIZES)
+    return same.unionByName(near.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))).distinct()
+
+
+def _rooted(entries: DataFrame, edges: DataFrame) -> DataFrame:
+    """Entries with the `root` of their node in the components of `edges`."""
+    roots = components(edges).toDF("node", "root")
+    return materialize(entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+
+
 def _links(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """a, b: edges with the same components as all links between nodes."""
+    edges = _confirmed(_fingerprint_pairs(nodes), nodes, texts, words)
     entries = nodes.select("node", "n", F.explode("prefix").alias("h"))
     times = entries.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     shared = materialize(entries.join(times, "h").select("h", "m", "node", "n"), "shared")
-    edges = _confirmed(_all_pairs(shared.where(F.col("m") <= FEW).withColumn("root", F.col("node"))), nodes, texts, words)
+    edges = edges.unionByName(_confirmed(_all_pairs(_rooted(shared.where(F.col("m") <= FEW), edges)), nodes, texts, words))
     many = shared.where(F.col("m") > FEW)
     if many.isEmpty():
         return edges
     share = shared.groupBy("node").agg((F.count(F.lit(1)) / (F.expr("first(n) div 5") + 1)).alias("share"))
     many = materialize(many.join(share, "node").select("h", "node", "n", "share"), "many")
     for turn in range(ROUNDS + 1):
-        roots = components(edges).toDF("node", "root")
-        now = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        now = materialize(now, "rooted")
+        now = _rooted(many, edges)
         apart = now.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y")
         apart = materialize(apart.select("h", "m"), "apart")
         pairs, rows = apart.agg(F.sum(F.col("m").cast("double") * F.col("m") / 2), F.sum("m")).first()
@@ -199,7 +201,7 @@ def similar_groups(docs: DataFrame, words: int, id_col: str = "doc_id", text_col
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), crc.alias("text_crc32"), F.col(text_col).alias("text"))
     rows = materialize(_signatures(texts, words), "signatures")
     rep = F.min(F.struct("doc_id", "text_crc32")).alias("rep")
-    nodes = rows.groupBy("key").agg(F.min("doc_id").alias("first"), rep, F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    nodes = rows.groupBy("key").agg(F.min("doc_id").alias("first"), rep, F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "distinct-sets")
     joined = nodes.join(components(_links(nodes, texts, words)), "node", "left").select("key", "first", F.coalesce("root", "node").alias("root"))
     joined = materialize(joined, "roots")

@@ -9,11 +9,11 @@ budget. To spread the join, every fingerprint enters one trie for each rotation
 rotation's first bits; budget + 1 rotations by disjoint blocks find every link, since one block of a linking pair must be
 equal. Equal fingerprints are one entry, so groups of copies cost nothing here.
 
-A subtrie of over CAP fingerprints is not left to one task: its fingerprints are linked through their one-bit neighbours
-instead. Two fingerprints differ in 2 bits or fewer exactly if some value is within one bit of both, and no value has
-more than bits + 1 such neighbours.
+Pairs of nodes with over CAP fingerprints are not left to one task: both nodes are cut at their next STEP bits, and each
+pair of children within the budget is a pair of its own, dealt anew, until all are small. That is the same descent, done
+by the cluster instead of within a task, so no size changes what is found.
 
-`keep_one` drops near-duplicates by the shingle sets themselves (see setjoin): fingerprints decide nothing there.
+`keep_one` drops near-duplicates: links of fingerprints come first, and the shingle sets decide (see setjoin).
 """
 
 from __future__ import annotations
@@ -21,18 +21,20 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import materialize
+from tidelog.llm.common import free, materialize
 from tidelog.llm.graph import components
-from tidelog.llm.setjoin import shingle_hashes, similar_groups
+from tidelog.llm.shingles import shingle_hashes
 from tidelog.llm.tokens import small_batches
 
 CAP = 2048
+STEP = 4
 LEAF_PAIRS = 64
 CHUNK = 1 << 16
 BATCH = 2 << 20
@@ -40,36 +42,17 @@ BATCH = 2 << 20
 
 @dataclass(frozen=True)
 class Spec:
-    """words: shingle length; bits: of the joined fingerprint, a multiple of 64; budget: differing bits that still link;
-    tables: (first bit, width) of the block that must be equal, for each rotation; cap: fingerprints in a subtrie.
-    sure, never: differing bits of a fingerprint of 1024 below and above which texts are surely similar or not; an estimate only."""
+    """words: shingle length; budget: differing bits (of 64) that still link; tables: (first bit, width) of the block that
+    must be equal, for each rotation: budget + 1 disjoint blocks; cap: fingerprints that a task joins by itself."""
 
     words: int
-    bits: int
     budget: int
     tables: tuple[tuple[int, int], ...]
-    sure: int = 0
-    never: int = 0
     cap: int = CAP
 
-    @property
-    def exact(self) -> bool:
-        return self.bits == 64 and self.budget == 2 and sum(w for _, w in self.tables) == 64
 
-
-#: 64-bit fingerprints of 3-word shingles, links at 2 bits: the three blocks find every link.
-CONTRACT = Spec(3, 64, 2, ((0, 22), (22, 21), (43, 21)))
-#: Five-word shingles. Bits differ with probability acos(2 J / (1 + J)) / pi at a cosine-like similarity J of shingle counts:
-#: of 1024 bits, 155 (deviation 11) are expected to differ at 0.8. Nothing is joined by these.
-NEAR = Spec(5, 1024, 200, (), 110, 200)
-
-
-def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
-    """Another 64 hash bits of the same shingle."""
-    x = h + np.uint64((0x9E3779B97F4A7C15 * salt) & (1 << 64) - 1)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+#: 64-bit fingerprints of 3-word shingles, links at 2 bits.
+CONTRACT = Spec(3, 2, ((0, 22), (22, 21), (43, 21)))
 
 
 def _bit_counts(h: np.ndarray) -> np.ndarray:
@@ -82,11 +65,13 @@ def _bit_counts(h: np.ndarray) -> np.ndarray:
     return total
 
 
-def fingerprint(text: str | None, words: int, bits: int) -> bytes:
-    """Big-endian; all zero for a text without words."""
-    h = shingle_hashes(text, words)
-    parts = [_bit_counts(h if j == 0 else _mixed(h, j)) for j in range(bits // 64)]
-    return np.packbits(2 * np.concatenate(parts) > len(h)).tobytes()
+def majority(h: np.ndarray) -> bytes:
+    """The fingerprint of shingle hashes, big-endian; all zero without any."""
+    return np.packbits(2 * _bit_counts(h) > len(h)).tobytes()
+
+
+def fingerprint(text: str | None, words: int) -> bytes:
+    return majority(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, spec: Spec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,24 +81,21 @@ def fingerprints(docs: DataFrame, spec: Spec, id_col: str = "doc_id", text_col:
         for batch in small_batches(batches, "text", BATCH):
             texts = batch.column("text").to_pylist()
             crc = [zlib.crc32((t or "").encode()) for t in texts]
-            fps = [fingerprint(t, spec.words, spec.bits) for t in texts]
+            fps = [fingerprint(t, spec.words) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(crc, pa.int64()), pa.array(fps, pa.binary())], ["doc_id", "text_crc32", "fp"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return slim.mapInArrow(run, "doc_id long, text_crc32 long, fp binary")
 
 
-def _words(fps: pa.Array, bits: int) -> np.ndarray:
-    """(rows, bits / 64) unsigned words."""
-    return np.frombuffer(b"".join(fps.to_pylist()), dtype=">u8").astype(np.uint64).reshape(-1, bits // 64)
+def _words(fps: pa.Array) -> np.ndarray:
+    """Fingerprints as unsigned words."""
+    return np.frombuffer(b"".join(fps.to_pylist()), dtype=">u8").astype(np.uint64)
 
 
 def _rotated(words: np.ndarray, first: int) -> np.ndarray:
     """The bits from `first` on, then those before."""
-    words = np.roll(words, -(first // 64), axis=1)
-    if shift := first % 64:
-        words = (words << np.uint64(shift)) | (np.roll(words, -1, axis=1) >> np.uint64(64 - shift))
-    return words
+    return (words << np.uint64(first)) | (words >> np.uint64(64 - first)) if first else words
 
 
 def _join_all(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -130,17 +112,14 @@ def _join_all(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = up
 
 
-def trie_join(words: np.ndarray, groups: np.ndarray, depth: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as pairs of rows, of the rows of each group that differ in at most `budget` bits.
+def trie_join(words: np.ndarray, u: np.ndarray, v: np.ndarray, err: np.ndarray, depth: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as pairs of rows, of the links within pairs of nodes.
 
-    words: sorted within each group; groups: the rows' group numbers, ascending; rows of a group share `depth` bits.
+    words: fingerprints, ascending within each node; u, v: the nodes' (first, end) rows, equal or u before v; a node's rows
+    share `depth` bits, and those of u and v differ in `err` of them.
     """
-    n, bits = len(words), words.shape[1] * 64
+    n, bits = len(words), 64
     root = np.arange(n)
-    bounds = np.concatenate([[0], np.flatnonzero(np.diff(groups)) + 1, [n]])
-    keep = np.diff(bounds) > 1
-    node = np.stack([bounds[:-1][keep], bounds[1:][keep]], axis=1)
-    u, v, err = node, node, np.zeros(len(node), np.int64)
     forest: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     while len(u):
         pairs = (u[:, 1] - u[:, 0]) * (v[:, 1] - v[:, 0])
@@ -153,7 +132,7 @@ def trie_join(words: np.ndarray, groups: np.ndarray, depth: int, budget: int) ->
         other_least, other_most = (f.reduceat(np.append(root, n), v.ravel())[::2] for f in (np.minimum, np.maximum))
         open_ = ~((least == most) & (other_least == least) & (other_most == least))
         u, v, err = u[open_], v[open_], err[open_]
-        ones = np.concatenate([[0], np.cumsum(words[:, depth // 64] >> np.uint64(63 - depth % 64) & np.uint64(1), dtype=np.int64)])
+        ones = np.concatenate([[0], np.cumsum(words >> np.uint64(63 - depth) & np.uint64(1), dtype=np.int64)])
         mid_u, mid_v = (x[:, 1] - (ones[x[:, 1]] - ones[x[:, 0]]) for x in (u, v))
         u0, u1 = np.stack([u[:, 0], mid_u], 1), np.stack([mid_u, u[:, 1]], 1)
         v0, v1 = np.stack([v[:, 0], mid_v], 1), np.stack([mid_v, v[:, 1]], 1)
@@ -179,7 +158,7 @@ def _verify(words: np.ndarray, root: np.ndarray, u: np.ndarray, v: np.ndarray, b
         keep = i < j
         keep[keep] = root[i[keep]] != root[j[keep]]
         i, j = i[keep], j[keep]
-        far = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64)
+        far = np.bitwise_count(words[i] ^ words[j]).astype(np.int64)
         near = far <= budget
         i, j, far = i[near], j[near], far[near]
         while len(i):
@@ -193,82 +172,119 @@ def _verify(words: np.ndarray, root: np.ndarray, u: np.ndarray, v: np.ndarray, b
             i, j, far = i[apart], j[apart], far[apart]
 
 
+PAIRS = "key binary, side int, err int, fp binary"
+_BOTH, _LEFT, _RIGHT = 0, 1, 2
+
+
 def _entries(nodes: DataFrame, spec: Spec) -> DataFrame:
-    """bucket, fp: each fingerprint once for each rotation, by the bits that lead it."""
+    """Each fingerprint once for each rotation, under the subtrie of the bits that lead it.
+
+    key: rotation and leading bits, 8 bytes, then the chunks of the pair's two nodes, a byte for each STEP bits below;
+    side: of the pair whose node the fingerprint is under; err: bits in which the two nodes' paths differ.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = _words(batch.column("fp"), spec.bits)
+            words, none = _words(batch.column("fp")), pa.array(np.zeros(batch.num_rows, np.int32))
             for t, (first, width) in enumerate(spec.tables):
-                key = _rotated(words, first)[:, 0] >> np.uint64(64 - width)
-                bucket = (key | np.uint64(t << 48)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column("fp")], ["bucket", "fp"])
+                lead = (_rotated(words, first) >> np.uint64(64 - width)) | np.uint64(t << 48)
+                raw = lead.astype(">u8").tobytes()
+                keys = [raw[a : a + 8] for a in range(0, len(raw), 8)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), none, none, batch.column("fp")], ["key", "side", "err", "fp"])
 
-    return nodes.select("fp").mapInArrow(run, "bucket long, fp binary")
+    return nodes.select("fp").mapInArrow(run, PAIRS)
 
 
-def _link_buckets(entries: DataFrame, spec: Spec) -> DataFrame:
-    """a, b: a spanning forest of the links within each bucket."""
+def _children(pairs: DataFrame, spec: Spec, depth: int) -> DataFrame:
+    """Pairs of nodes cut at their next STEP bits: the fingerprints under every pair of children within the budget."""
 
-    def linked(buckets: np.ndarray, fps: pa.Array) -> Iterator[pa.RecordBatch]:
-        words = _words(fps, spec.bits)
-        tables = buckets >> 48
-        for t in np.unique(tables).tolist():
-            rows = np.flatnonzero(tables == t)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks = np.arange(1 << STEP)
+        for batch in batches:
+            keys, side, err = batch.column("key").to_pylist(), batch.column("side").to_numpy(), batch.column("err").to_numpy()
+            words, table = _words(batch.column("fp")), np.array([k[1] for k in keys])
+            own = np.zeros(len(words), np.int64)
+            for t, (first, width) in enumerate(spec.tables):
+                at = np.uint64(64 - width - depth - STEP)
+                own = np.where(table == t, (_rotated(words, first) >> at & np.uint64((1 << STEP) - 1)).astype(np.int64), own)
+            for other in chunks:
+                far = err + np.bitwise_count(own ^ other).astype(np.int32)
+                rows = np.flatnonzero(far <= spec.budget)
+                a, b, s = own[rows], np.full(len(rows), other), side[rows]
+                turn = np.where(s == _BOTH, a > b, s == _RIGHT)
+                a, b = np.where(turn, b, a), np.where(turn, a, b)
+                new = np.where(s == _BOTH, np.where(own[rows] == other, _BOTH, np.where(turn, _RIGHT, _LEFT)), s)
+                longer = [keys[r] + bytes([c]) for r, c in zip(rows.tolist(), (a << STEP | b).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(longer, pa.binary()), pa.array(new.astype(np.int32)), pa.array(far[rows].astype(np.int32)), batch.column("fp").take(pa.array(rows))], ["key", "side", "err", "fp"])
+
+    return pairs.mapInArrow(run, PAIRS)
+
+
+def _joined_pairs(pairs: DataFrame, spec: Spec, depth: int) -> DataFrame:
+    """a, b: a spanning forest of the links within each pair of nodes, whose paths are `depth` bits below the subtries'."""
+
+    def linked(table: pa.Table, groups: np.ndarray) -> Iterator[pa.RecordBatch]:
+        fps, keys = table.column("fp").combine_chunks(), table.column("key").to_pylist()
+        words, which = _words(fps), np.array([k[1] for k in keys])
+        side, err = table.column("side").to_numpy(), table.column("err").to_numpy()
+        for t in np.unique(which).tolist():
+            rows = np.flatnonzero(which == t)
             turned = _rotated(words[rows], spec.tables[t][0])
-            order = np.lexsort([*[turned[:, c] for c in range(turned.shape[1] - 1, -1, -1)], buckets[rows]])
-            rows = rows[order]
-            i, j = trie_join(turned[order], buckets[rows], spec.tables[t][1], spec.budget)
+            order = np.lexsort((turned, side[rows], groups[rows]))
+            rows, turned = rows[order], turned[order]
+            g, s = groups[rows], side[rows]
+            first = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (s[1:] != s[:-1])))
+            node = np.stack([first, np.append(first[1:], len(rows))], 1)
+            alone = (s[first] == _BOTH) & (node[:, 1] - node[:, 0] > 1)
+            left = np.flatnonzero((s[first[:-1]] == _LEFT) & (s[first[1:]] == _RIGHT) & (g[first[:-1]] == g[first[1:]]))
+            u, v = np.concatenate([node[alone], node[left]]), np.concatenate([node[alone], node[left + 1]])
+            i, j = trie_join(turned, u, v, err[rows[u[:, 0]]].astype(np.int64), spec.tables[t][1] + depth, spec.budget)
             if len(i):
                 yield pa.RecordBatch.from_arrays([fps.take(pa.array(rows[i])), fps.take(pa.array(rows[j]))], ["a", "b"])
 
+    def numbered(table: pa.Table) -> np.ndarray:
+        keys = np.frombuffer(b"".join(table.column("key").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+        return np.cumsum(np.append(False, (keys[1:] != keys[:-1]).any(axis=1)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
             held.append(batch)
             n += batch.num_rows
             if n >= CHUNK:
-                table = pa.Table.from_batches(held).combine_chunks()
-                buckets = table.column("bucket").to_numpy()
-                last = int(np.searchsorted(buckets, buckets[-1]))  # its bucket may go on in the next batch
+                table = pa.Table.from_batches(held)
+                groups = numbered(table)
+                last = int(np.searchsorted(groups, groups[-1]))  # its pair may go on in the next batch
                 if last:
-                    yield from linked(buckets[:last], table.column("fp").slice(0, last).combine_chunks())
-                held = table.slice(last).to_batches()
+                    yield from linked(table.slice(0, last), groups[:last])
+                held = table.slice(last).combine_chunks().to_batches()
                 n = table.num_rows - last
         if n:
             table = pa.Table.from_batches(held)
-            yield from linked(table.column("bucket").to_numpy(), table.column("fp").combine_chunks())
-
-    return entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a binary, b binary")
-
+            yield from linked(table, numbered(table))
 
-def _neighbour_links(nodes: DataFrame) -> DataFrame:
-    """a, b: links of 64-bit fingerprints at 2 bits or fewer, through values within one bit of both."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flips = np.concatenate([[np.uint64(0)], np.uint64(1) << np.arange(64, dtype=np.uint64)])
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                fps = batch.column("fp").slice(at, 1024)
-                values = (_words(fps, 64) ^ flips).astype(np.int64).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(values), fps.take(pa.array(np.repeat(np.arange(len(fps)), 65)))], ["value", "fp"])
-
-    near = nodes.select("fp").distinct().mapInArrow(run, "value long, fp binary")
-    least = near.groupBy("value").agg(F.min("fp").alias("b"))
-    return near.join(least, "value").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    return pairs.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a binary, b binary")
 
 
 def links(nodes: DataFrame, spec: Spec) -> DataFrame:
-    """a, b: edges with the same components as all links between the distinct fingerprints of `nodes` (fp)."""
-    if not spec.exact:
-        raise ValueError("links are found for 64 bits, a budget of 2 and disjoint blocks only")
-    entries = _entries(nodes, spec)
-    heavy = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > spec.cap).select("bucket")
-    heavy = materialize(heavy, "heavy-subtries")
-    if heavy.isEmpty():
-        return _link_buckets(entries, spec)
-    light = _link_buckets(entries.join(heavy, "bucket", "left_anti"), spec)
-    return light.unionByName(_neighbour_links(entries.join(heavy, "bucket", "left_semi")))
+    """a, b: edges with the same components as all links between the distinct fingerprints of `nodes` (fp).
+
+    Each round joins the pairs that are small and cuts the others; fingerprints are distinct, so that pairs at the last
+    bits are small, and there are as many rounds as the largest subtrie's overlong paths, one as a rule.
+    """
+    if len(spec.tables) <= spec.budget or sum(w for _, w in spec.tables) > 64:
+        raise ValueError("links need one more disjoint block than bits of budget")
+    pairs, depth, found = _entries(nodes, spec), 0, []
+    deepest = 64 - max(w for _, w in spec.tables) - STEP
+    while True:
+        sizes = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("side").alias("low"), F.max("side").alias("high"))
+        sizes = materialize(sizes.where((F.col("n") > spec.cap) & ((F.col("low") == _BOTH) | (F.col("low") < F.col("high")))).select("key"), "large-pairs")
+        if depth > deepest or sizes.isEmpty():
+            found.append(_joined_pairs(pairs, spec, depth))
+            return reduce(DataFrame.unionByName, found)
+        found.append(materialize(_joined_pairs(pairs.join(sizes, "key", "left_anti"), spec, depth), "links"))
+        pairs = materialize(_children(pairs.join(sizes, "key", "left_semi"), spec, depth), "node-pairs")
+        depth += STEP
 
 
 def near_duplicates(docs: DataFrame, spec: Spec = CONTRACT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,23 +305,26 @@ def near_duplicates(docs: DataFrame, spec: Spec = CONTRACT, id_col: str = "doc_i
     return fps.join(named, "fp").select("doc_id", "text_crc32", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, spec: Spec = NEAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` (all columns) without near-duplicates: of each group the row with the smallest id stays.
 
-    Rows link when the Jaccard similarity of their sets of `spec.words`-word shingles is 0.8 or more, and only then.
-
-    Of repeated rows (same id and text) one stays. Rows without an id stay unless a row with an id is in their group.
+    Rows link when the Jaccard similarity of their sets of `words`-word shingles is 0.8 or more, and only then. Texts that
+    are null, empty or without words have the empty set and are one group. Of repeated rows (same id and text) one stays.
+    Rows without an id stay unless a row with an id is in their group. An empty table gives an empty result.
     """
-    found = materialize(similar_groups(docs, spec.words, id_col, text_col), "groups")
+    from tidelog.llm.setjoin import similar_groups
+
+    own_id, own_crc, of = free(docs, "sim_id"), free(docs, "sim_crc"), free(docs, "sim_of")
+    found = materialize(similar_groups(docs, words, id_col, text_col), "groups")
     times = found.groupBy("doc_id", "text_crc32", "component_id").agg(F.count(F.lit(1)).alias("times"))
-    gone = times.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_sim_id"), F.col("text_crc32").alias("_sim_crc"))
-    again = times.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("times") > 1)).select(F.col("doc_id").alias("_sim_id"), F.col("text_crc32").alias("_sim_crc"))
-    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    marked = docs.withColumn("_sim_of", crc)
-    same = (F.col("_sim_of") == F.col("_sim_crc")) & F.col(id_col).eqNullSafe(F.col("_sim_id"))
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = times.where(~first).select(F.col("doc_id").alias(own_id), F.col("text_crc32").alias(own_crc))
+    again = times.where(first & (F.col("times") > 1)).select(F.col("doc_id").alias(own_id), F.col("text_crc32").alias(own_crc))
+    marked = docs.withColumn(of, F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    same = (F.col(of) == F.col(own_crc)) & F.col(id_col).eqNullSafe(F.col(own_id))
     kept = marked.join(gone, same, "left_anti")
     again = materialize(again, "repeated")
     if again.isEmpty():
         return kept.select(*docs.columns)
     once = kept.join(again, same, "left_anti")
-    return once.unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col, "_sim_of"])).select(*docs.columns)
+    return once.unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col, of])).select(*docs.columns)
