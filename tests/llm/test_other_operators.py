@@ -146,6 +146,42 @@ def test_nearest_with_few_rows(spark):
     assert few.groupBy("query_id").count().where("count = 3").count() == 4
 
 
+@pytest.mark.parametrize("scale", [1e-120, 1e-6, 1.0, 1e6, 1e120])
+def test_nearest_at_any_magnitude(spark, scale):
+    """The same vectors times a power of two nearby: the same neighbours."""
+    unit = 2.0 ** round(np.log2(scale))
+    r = np.random.default_rng(9)
+    X = r.standard_normal((400, 16))
+    df = spark.createDataFrame([(i, [float(x) for x in v * unit]) for i, v in enumerate(X)], "vec_id long, embedding array<double>")
+    found = defaultdict(set)
+    for row in ann.nearest(df, F.col("vec_id") % 40 == 0, 20, confidence=0.999, block_rows=100).collect():
+        found[row["query_id"]].add(row["vec_id"])
+    hits = sum(len(found[q] & set(sorted((i for i in range(400) if i != q), key=lambda i: -(X[i] @ X[q]))[:20])) for q in range(0, 400, 40))
+    assert hits >= 0.97 * 200
+
+
+def test_many_equal_vectors_and_other_lengths(spark):
+    equal = [(i, [1.0, 2.0, 3.0]) for i in range(3000)]
+    odd = [(5000, [1.0, 2.0]), (5020, [9.0] * 4), (5001, [])]
+    df = spark.createDataFrame(equal + odd, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") % 500 == 20, 20, block_rows=256).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert set(got) == {20, 520, 1020, 1520, 2020, 2520}
+    assert all(v == [i for i in range(22) if i != q][:20] for q, v in got.items())
+
+
+def test_near_ties_are_ordered_exactly(spark):
+    """Products that differ in the last bits only."""
+    r = np.random.default_rng(11)
+    base = r.standard_normal(16)
+    X = np.array([base * (1 + k * 2.0**-52) for k in range(300)])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(X)], "vec_id long, embedding array<double>")
+    got = [(x["vec_id"], x["score"]) for x in ann.nearest(df, F.col("vec_id") == 0, 20, block_rows=64).orderBy("rank").collect()]
+    scores = {i: ann.product(X[i], X[0]) for i in range(1, 300)}
+    assert got == [(i, scores[i]) for i in sorted(scores, key=lambda i: (-scores[i], i))[:20]]
+
+
 def test_chi_square():
     assert ann.chi2_quantile(0.95, 8) == pytest.approx(15.507, abs=1e-3) and ann.chi2_quantile(0.5, 2) == pytest.approx(1.386, abs=1e-3)
 

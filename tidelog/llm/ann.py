@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import exp, fsum, isfinite
+from math import exp, frexp, fsum
 
 import numpy as np
 import pyarrow as pa
@@ -92,12 +92,25 @@ def chi2_quantile(p: float, dims: int) -> float:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column) -> DataFrame:
-    """id, v (doubles), query, norm: rows whose vector is neither null nor zero and has only finite components."""
+    """id, v (doubles), query, most (largest magnitude): rows whose vector is neither null nor zero, with finite components."""
     v = F.col(vector_col).cast("array<double>")
     own = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("query"))
     own = own.where("id is not null and v is not null").where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return own.withColumn("norm", norm).where(F.col("norm") > 0)
+    return own.withColumn("most", F.array_max(F.transform("v", F.abs))).where(F.col("most") > 0)
+
+
+def scaled(rows: DataFrame, unit: float) -> DataFrame:
+    """Adds w, the vector times `unit` (a power of two, so that no bit is lost and squares do not overflow), and its norm."""
+    w = F.transform("v", lambda x: x * F.lit(unit))
+    return rows.withColumn("w", w).withColumn("norm", F.sqrt(F.aggregate("w", F.lit(0.0), lambda a, x: a + x * x))).drop("most")
+
+
+def product(a: np.ndarray, b: np.ndarray) -> float:
+    """The inner product, rounded once."""
+    try:
+        return fsum((a * b).tolist())
+    except OverflowError:
+        return float(a @ b)
 
 
 def fit(rows: DataFrame, count: int, width: int, largest: float, dims: int, block_rows: int) -> Tree:
@@ -105,8 +118,8 @@ def fit(rows: DataFrame, count: int, width: int, largest: float, dims: int, bloc
     most as many as the sample can tell apart (INNER_LEAF sample rows each)."""
     directions = np.random.default_rng(SEED).standard_normal((width + 1, dims))
     share = min(1.0, SAMPLE_ROWS / max(1, count))
-    drawn = rows.where(F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53)) < share).select("v").limit(2 * SAMPLE_ROWS)
-    sample = np.array([r["v"] for r in drawn.collect()], dtype=np.float64).reshape(-1, width)
+    drawn = rows.where(F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53)) < share).select("w").limit(2 * SAMPLE_ROWS)
+    sample = np.array([r["w"] for r in drawn.collect()], dtype=np.float64).reshape(-1, width)
     tree = Tree(directions, largest, [])
     points = tree.project(sample, True)
     parts, splits = [points], []
@@ -125,67 +138,67 @@ def fit(rows: DataFrame, count: int, width: int, largest: float, dims: int, bloc
 class Block:
     """One block's rows under a k-d tree whose leaves hold about INNER_LEAF rows."""
 
-    def __init__(self, tree: Tree, ids: np.ndarray, vectors: np.ndarray) -> None:
-        points = tree.project(vectors, True)
+    def __init__(self, tree: Tree, ids: np.ndarray, vectors: np.ndarray, unit: float = 1.0) -> None:
+        """vectors: as given; the search works on `unit` times them."""
+        own = vectors * unit
+        points = tree.project(own, True)
         order, cuts = np.arange(len(ids)), [(0, len(ids))]
         while cuts and cuts[0][1] - cuts[0][0] > INNER_LEAF:
             halves = []
             for a, b in cuts:
-                own = points[order[a:b]]
+                part = points[order[a:b]]
                 if b - a > 1:
-                    dim = int(np.argmax(np.ptp(own, axis=0)))
-                    order[a:b] = order[a:b][np.argpartition(own[:, dim], (b - a) // 2)]
+                    dim = int(np.argmax(np.ptp(part, axis=0)))
+                    order[a:b] = order[a:b][np.argpartition(part[:, dim], (b - a) // 2)]
                 halves += [(a, (a + b) // 2), ((a + b) // 2, b)]
             cuts = [c for c in halves if c[0] < c[1]]
-        self.ids, self.vectors, self.points = ids[order], vectors[order], points[order]
+        self.ids, self.vectors, self.own, self.points = ids[order], vectors[order], own[order], points[order]
+        equal = np.ascontiguousarray(self.vectors).view(np.dtype((np.void, self.vectors.itemsize * self.vectors.shape[1]))).ravel()
+        self.same = np.unique(equal, return_inverse=True)[1]  # rows of one vector have one number
         starts = [a for a, _ in cuts]
         self.cuts = cuts
         self.low, self.high = np.minimum.reduceat(self.points, starts), np.maximum.reduceat(self.points, starts)
         self.largest = tree.largest
 
-    def search(self, query: int, vector: np.ndarray, point: np.ndarray, k: int, bound: float, stop: float) -> list[tuple[float, int]]:
+    def search(self, query: int, vector: np.ndarray, point: np.ndarray, k: int, bound: float, stop: float, unit: float = 1.0) -> list[tuple[float, int]]:
         """The block's k best (score, id), given the k-th best squared distance so far; ties to the smaller id.
 
         Leaves come nearest first. Once the next leaf's projected distance passes stop * d_k^2 no leaf is opened, and
-        rows beyond it are not verified.
+        rows beyond it are not verified. Products are first summed in any order; whatever is within their rounding error
+        of the k-th best is then summed exactly, once for each distinct vector, so that no row is cut by rounding.
         """
         gap = np.maximum(0.0, np.maximum(self.low - point, point - self.high))
         near = (gap**2).sum(axis=1)
         order = np.argsort(near)
-        norm2, best = float(vector @ vector) + self.largest**2, []
+        asked = vector * unit
+        norm2, found = float(asked @ asked) + self.largest**2, []
+        slack = 4 * len(vector) * np.finfo(float).eps * np.sqrt(float(asked @ asked)) * self.largest  # of a product's sum
         floor = (norm2 - bound) / 2  # products below it are not among the k best (minus infinity without a bound)
-        seen_ids, seen_products = np.zeros(0, np.int64), np.zeros(0)
+        seen = np.zeros(0)
         at, step = 0, 4
         while at < len(order) and near[order[at]] <= stop * bound:
             rows = np.concatenate([np.arange(*self.cuts[c]) for c in order[at : at + step] if near[c] <= stop * bound])
             at, step = at + step, step * 2
             rows = rows[((self.points[rows] - point) ** 2).sum(axis=1) <= stop * bound]
             rows = rows[self.ids[rows] != query]
-            products = self.vectors[rows] @ vector
-            rows, products = rows[products >= floor], products[products >= floor]
-            seen_ids = np.concatenate([seen_ids, self.ids[rows]])
-            seen_products = np.concatenate([seen_products, products])
-            best.append(rows)
-            if len(seen_products) >= k:
-                kth = np.partition(seen_products, -k)[-k]
+            products = self.own[rows] @ asked
+            high = products >= floor - slack
+            found.append(rows[high])
+            seen = np.concatenate([seen, products[high]])
+            if len(seen) >= k:
+                kth = np.partition(seen, -k)[-k]
                 bound = min(bound, max(0.0, norm2 - 2 * kth) + 1e-9 * norm2)
-        if not len(seen_ids):
-            return []
-        rows = np.concatenate(best)
-        if len(rows) > k:  # products summed in another order may differ in the last bits: keep near-ties, then sum exactly
-            kth = np.partition(seen_products, -k)[-k]
-            near_ties = seen_products >= kth - 1e-9 * max(1.0, abs(kth))
-            rows = rows[near_ties]
-            if len(rows) > 4 * k:
-                sure = seen_products[near_ties]
-                ids = self.ids[rows]
-                rows = rows[np.lexsort((ids, -np.round(sure, 9)))][: 4 * k]
-        scored = sorted(((-fsum((self.vectors[r] * vector).tolist()), int(self.ids[r])) for r in rows))
-        return [(-s, i) for s, i in scored[:k]]
-
-
-def _search_blocks(pairs: DataFrame, rows: DataFrame, tree: Tree, k: int, stop: float) -> DataFrame:
-    """query_id, vec_id, score, kth: each pair's query against its block (pairs: block, id, v, bound; rows: block, id, v)."""
+        rows = np.concatenate([*found, np.zeros(0, np.int64)])
+        if len(rows) > k:
+            rows = rows[seen >= np.partition(seen, -k)[-k] - 2 * slack]
+        distinct, first, which = np.unique(self.same[rows], return_index=True, return_inverse=True)
+        exact = np.array([product(self.vectors[r], vector) for r in rows[first]])[which]
+        best = np.lexsort((self.ids[rows], -exact))[:k]
+        return list(zip(exact[best].tolist(), self.ids[rows[best]].tolist(), strict=True))
+
+
+def _search_blocks(pairs: DataFrame, rows: DataFrame, tree: Tree, k: int, stop: float, unit: float) -> DataFrame:
+    """query_id, vec_id, score: each pair's query against its block (pairs: block, id, v, bound; rows: block, id, v)."""
 
     def arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         vectors = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
@@ -194,10 +207,10 @@ def _search_blocks(pairs: DataFrame, rows: DataFrame, tree: Tree, k: int, stop:
     def run(asked: pa.Table, own: pa.Table) -> pa.Table:
         out: list[tuple[int, int, float]] = []
         if asked.num_rows and own.num_rows:
-            block = Block(tree, *arrays(own))
+            block = Block(tree, *arrays(own), unit)
             ids, vectors = arrays(asked)
-            for q, v, p, bound in zip(ids.tolist(), vectors, tree.project(vectors, False), asked.column("bound").to_pylist(), strict=True):
-                out += [(q, i, s) for s, i in block.search(q, v, p, k, bound, stop)]
+            for q, v, p, bound in zip(ids.tolist(), vectors, tree.project(vectors * unit, False), asked.column("bound").to_pylist(), strict=True):
+                out += [(q, i, s) for s, i in block.search(q, v, p, k, bound, stop, unit)]
         columns = zip(*out, strict=True) if out else ((), (), ())
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
@@ -215,27 +228,30 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, confidence: float
     """query_id, rank (from 1), vec_id, score: each query's k nearest rows by inner product, other than those of its id.
 
     confidence: of the chi-square test; the expected share of true neighbours found. Vectors that are null, zero or hold
-    null or non-finite components, and null ids, take no part; ties go to the smaller id; repeated rows count one by one
-    as candidates and a repeated query is one query; an empty table gives no rows; other columns are not read. All
-    vectors must have one length. Scores are exactly rounded sums of the original vectors' products.
+    null or non-finite components, and null ids, take no part, nor do vectors of another length than most have (the
+    longer, if two are as frequent); ties go to the smaller id; repeated rows count one by one as candidates and a repeated
+    query is one query; an empty table gives no rows; other columns are not read. Vectors may be of any magnitude. Scores
+    are exactly rounded sums of the original vectors' products.
     """
     spark = vectors.sparkSession
-    rows = materialize(usable(vectors, id_col, vector_col, is_query), "vectors")
-    count, largest, width = rows.agg(F.count(F.lit(1)), F.max("norm"), F.max(F.size("v"))).first()
-    if not count:
+    fit_for_use = usable(vectors, id_col, vector_col, is_query)
+    length = fit_for_use.groupBy(F.size("v").alias("width")).agg(F.count(F.lit(1)).alias("n"), F.max("most").alias("most")).orderBy(F.desc("n"), F.desc("width")).first()
+    if length is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    assert isfinite(largest)
+    count, width, unit = length["n"], length["width"], 2.0 ** max(-1000, min(1000, -frexp(length["most"])[1]))
+    rows = materialize(scaled(fit_for_use.where(F.size("v") == width), unit), "vectors")
+    largest = rows.agg(F.max("norm")).first()[0]
     tree = fit(rows, count, width, largest, dims, block_rows)
     stop = chi2_quantile(confidence, dims)
     low, high = tree.boxes()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) * unit
             own, asked = tree.leaf(tree.project(v, True)), tree.leaf(tree.project(v, False))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own), pa.array(asked)], [*batch.schema.names, "leaf", "home"])
 
-    placed = materialize(rows.mapInArrow(place, "id long, v array<double>, query boolean, norm double, leaf long, home long"), "placed")
+    placed = materialize(rows.select("id", "v", "query").mapInArrow(place, "id long, v array<double>, query boolean, leaf long, home long"), "placed")
     sizes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
     blocks = sizes.select("leaf", F.ceil(F.col("n") / block_rows).cast("long").alias("blocks"))  # one row for each leaf
     dealt = placed.join(F.broadcast(blocks), "leaf").withColumn("block", F.col("leaf") * (1 << 32) + F.pmod(F.xxhash64("id"), F.col("blocks")))
@@ -249,7 +265,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, confidence: float
         parts = pairs.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERIES_AT_ONCE).cast("long").alias("parts"))
         left = pairs.join(parts, "block").join(queries.select("id", "v"), "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
         right = dealt.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "id", "v")
-        return _search_blocks(left, right, tree, k, stop)
+        return _search_blocks(left, right, tree, k, stop, unit)
 
     home = queries.select("id", F.col("home").alias("leaf"), F.lit(float("inf")).alias("bound"))
     first = materialize(_top(searched(home), k), "first-round")
@@ -258,11 +274,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, confidence: float
 
     def open_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) * unit
             points = tree.project(v, False)
             full = batch.column("n").to_numpy() >= k
-            kth_score = np.where(full, batch.column("kth").to_numpy(zero_copy_only=False).astype(float), 0.0)
-            bound = np.where(full, np.maximum(0.0, (v**2).sum(axis=1) + largest**2 - 2 * kth_score) + 1e-9 * largest**2, np.inf)
+            kth_score = np.where(full, batch.column("kth").to_numpy(zero_copy_only=False).astype(float) * unit * unit, 0.0)
+            norm2 = (v**2).sum(axis=1) + largest**2
+            bound = np.where(full, np.maximum(0.0, norm2 - 2 * kth_score) + 1e-9 * norm2, np.inf)
             home_leaf = batch.column("home").to_numpy()
             for at in range(0, batch.num_rows, 256):
                 p = points[at : at + 256, None, :]
