@@ -2,6 +2,7 @@ import hashlib
 import tarfile
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -45,6 +46,14 @@ def test_shrinkage_grows_weaker_with_evidence(spark):
     assert got["none.x.com"]["mean"] < got["few.x.com"]["mean"] < got["many.x.com"]["mean"] and got["many.x.com"]["bound"] > 0.5
 
 
+def test_domains(spark):
+    hosts = ["a.b.example.com", "example.com:8080", "x.example.co.uk", "co.uk", "example.co.uk.", "1.2.3.4:80", "1.2.3.4", "[::1]:80", "localhost", "", "u:p@a.example.org", "co.com", "a.b.de", "x.com.br"]
+    want = [("example.com", "com"), ("example.com", "com"), ("example.co.uk", "co.uk"), ("co.uk", "co.uk"), ("example.co.uk", "co.uk"), ("1.2.3.4", "(address)"), ("1.2.3.4", "(address)"), ("[::1]", "(address)"), ("localhost", "localhost"), ("", ""), ("example.org", "org"), ("co.com", "com"), ("b.de", "de"), ("x.com.br", "com.br")]
+    domain, suffix = urls.domain_of(F.col("h"))
+    got = spark.createDataFrame([(i, h) for i, h in enumerate(hosts)], "i int, h string").select("i", domain, suffix).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == want
+
+
 def test_urls_empty(pages, outcomes):
     assert urls.judge(pages.limit(0), outcomes).count() == 0
     assert urls.judge(pages, outcomes.limit(0)).where("rule is null and verdict is null").count() == 0
@@ -60,7 +69,7 @@ def test_media_round_trip(spark, docs, crowded):
         p = media.to_payload(t)
         image = media.to_image(p)
         assert media.from_image(image) == p and len(p) % 576 == 0 and len(p) > 0
-        want[(d, len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(image), hashlib.sha256(image).hexdigest(), media.feature(p))] += 1
+        want[(None if d is None else str(d), len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(image), hashlib.sha256(image).hexdigest(), media.feature(p))] += 1
     for frame in (docs, crowded):
         root = media.write_archives(frame)
         got = media.features(media.read_archives(spark, root, rangeBytes="4096"))
@@ -91,23 +100,75 @@ def test_damaged_member_leaves_its_neighbours(spark, docs):
         media.read_archives(spark, root, retries="0").count()
 
 
+def archive_of(tmp_path, bodies):
+    """A tar of these bodies, and their (offset, size, checksum)."""
+    data, entries = b"", []
+    for k, body in enumerate(bodies):
+        info = tarfile.TarInfo(str(k))
+        info.size = len(body)
+        entries.append((len(data) + 512, len(body), zlib.crc32(body)))
+        data += info.tobuf() + body + bytes(-len(body) % 512)
+    (tmp_path / "a.tar").write_bytes(data)
+    return entries
+
+
 def test_members_are_retried_alone(tmp_path, monkeypatch):
-    reader = media.ArchiveReader({"path": str(tmp_path), "retries": "2"})
     monkeypatch.setattr(media.time, "sleep", lambda s: None)
-    body = media.to_image(media.to_payload("x"))
-    info = tarfile.TarInfo("7")
-    info.size = len(body)
-    (tmp_path / "a.tar").write_bytes(info.tobuf() + body)
-    calls = []
+    bodies = [media.to_image(media.to_payload("x" * (100 * k))) for k in range(9)]
+    entries = archive_of(tmp_path, bodies)
+    opened, failing = [], {4: 2}  # the fifth member's first two reads fail
+
+    class Flaky:
+        def __init__(self, f):
+            self.f = f
+
+        def __getattr__(self, name):
+            return getattr(self.f, name)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *a):
+            self.f.close()
+
+        def read(self, n):
+            at = self.f.tell()
+            for k, (offset, *_) in enumerate(entries):
+                if at == offset - 512 and failing.get(k, 0):
+                    failing[k] -= 1
+                    raise OSError("lost")
+            return self.f.read(n)
+
+    class FlakyFiles(Files):
+        def open(self, name):
+            opened.append(name)
+            return Flaky(super().open(name))
+
+    reader = media.ArchiveReader({"path": str(tmp_path), "retries": "2"})
+    got = list(reader._stream(FlakyFiles(str(tmp_path)), "a.tar", entries))
+    assert [(o, m, c, e) for o, m, c, e in got] == [(e[0], str(k), b, None) for k, (e, b) in enumerate(zip(entries, bodies))]
+    assert len(opened) == 4  # the pass, two tries of the one member, and the pass from the next member on
+
 
-    class Flaky(Files):
+def test_a_range_is_one_pass(tmp_path):
+    bodies = [bytes([k]) * (1 + 300 * k) for k in range(20)]
+    entries = archive_of(tmp_path, bodies)
+    opened = []
+
+    class Counting(Files):
         def open(self, name):
-            calls.append(name)
-            if len(calls) < 3:
-                raise OSError("lost")
+            opened.append(name)
             return super().open(name)
 
-    assert reader._fetch(Flaky(str(tmp_path)), "a.tar", 512, len(body), zlib.crc32(body)) == ("7", body, None) and len(calls) == 3
+    got = list(media.ArchiveReader({"path": str(tmp_path)})._stream(Counting(str(tmp_path)), "a.tar", entries[3:]))
+    assert [c for _, _, c, _ in got] == bodies[3:] and opened == ["a.tar"]
+
+
+def test_member_names_carry_any_id(spark):
+    ids = [None, "null", "=x", "==", "7", "été"]
+    assert [media.member_id(media.member_name(i)) for i in ids] == ids
+    df = spark.createDataFrame([(i, "text") for i in ids], "doc_id string, text string")
+    assert Counter(r["doc_id"] for r in media.features(media.read_archives(spark, media.write_archives(df))).collect()) == Counter(ids)
 
 
 # --- nearest neighbours
@@ -259,6 +320,29 @@ def test_poisson_counts(spark):
         assert r["n"] == n
 
 
+def test_distributions_are_those_added_up(spark):
+    us = [i / 997 for i in range(997)] + [1 - 2.0**-52]
+    df = spark.createDataFrame([(u, rate) for u in us for rate in (0.01, 0.3, 1.0, 3.7, 40.0)], "u double, rate double")
+    looked_up = F.size(F.filter(mixing.distribution(F.col("rate")), lambda c: c <= F.col("u")))
+    assert df.where(looked_up != mixing.poisson_count(F.col("rate"), F.col("u"))).where("u < 0.999").count() == 0
+
+
+def test_mixing_is_globally_ordered(spark):
+    many = spark.createDataFrame([(i, "x", f"s{i % 3}") for i in range(3000)], "doc_id long, text string, source string")
+    out = mixing.replicate(many).withColumn("p", F.spark_partition_id()).collect()
+    assert len({r["p"] for r in out}) == 4
+    assert [r["_mix_key"] for r in sorted(out, key=lambda r: r["p"])] == sorted(r["_mix_key"] for r in out)
+
+
+def test_mixing_with_names_of_its_own_and_a_shuffled_join(spark, docs, monkeypatch):
+    clash = docs.selectExpr("*", "1 as _mix_rate", "'a' as _mix_copy", "2 as _mix_of", "3 as _mix_u")
+    want = mixing.replicate(docs).select(*docs.columns)
+    assert mixing.replicate(clash).columns[: len(clash.columns)] == clash.columns
+    assert mixing.replicate(clash).select(*docs.columns).exceptAll(want).count() == 0
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert mixing.replicate(docs).select(*docs.columns).exceptAll(want).count() == 0
+
+
 def test_mixing(spark, docs, crowded, empty):
     many = spark.createDataFrame([(i, "x" * 100, "big" if i % 10 else "small") for i in range(20_000)], "doc_id long, text string, source string")
     out = mixing.replicate(many)
@@ -295,6 +379,55 @@ def test_shards_are_even_and_hold_equal_texts_together(spark):
     assert out.where(F.col("text_crc32") != hot).groupBy("text_crc32").agg(F.count_distinct("shard").alias("n")).where("n > 1").count() == 0
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_shards_of_the_test_tables(spark, sf):
+    """Near-equal bytes also where one document weighs half a shard, and no group of equal texts is torn."""
+    path = f"/root/testdata/sf{sf}/documents.parquet"
+    if not Path(path).exists():
+        pytest.skip("no test tables")
+    shards = 40 if sf == "0.01" else 8
+    out = sharding.kd_shards(spark.read.parquet(path), shards).toPandas()
+    weights = out.groupby("shard")["size"].sum()
+    assert len(weights) == shards and weights.max() / weights.mean() < 1.03 and weights.min() / weights.mean() > 0.97
+    assert out.groupby(["text_crc32", "size"])["shard"].nunique().max() == 1
+
+
+def test_the_tree_cuts_at_the_weighted_median(spark):
+    """Two shards of light texts: a cut of the widest dimension at the nearest bin to half of the weight, by brute force."""
+    r = np.random.default_rng(2)
+    texts = [(i, "x" * int(n) + "\n" * int(n % 3)) for i, n in enumerate(r.integers(1, 4000, 3000))]
+    out = sharding.kd_shards(spark.createDataFrame(texts, "doc_id long, text string"), 2).toPandas()
+    size = {s: g["size"] for s, g in out.groupby("shard")}
+    assert size[0].max() <= size[1].min() + 4 and abs(size[0].sum() - size[1].sum()) <= 2 * 4020
+
+
+def test_value_classes_are_ordered(spark):
+    df = spark.range(0, 70_000).select(F.col("id").alias("v")).union(spark.createDataFrame([((1 << k) + d,) for k in range(17, 31) for d in (-1, 0, 1)], "v long"))
+    got = [tuple(r) for r in df.select("v", sharding.value_class("v").alias("c")).orderBy("v").collect()]
+    assert all(a[1] <= b[1] for a, b in zip(got, got[1:])) and len({c for _, c in got}) < 6000
+    assert [c for v, c in got[:256]] == list(range(256))
+
+
+def test_heavy_groups_fill_up_to_the_level():
+    group = lambda w, k, n=1: {"w": w, "n": n, "_kd_crc": k, "_kd_bytes": 1}
+    given, wants = sharding._deal_heavy([group(90, 0), group(60, 1), group(30, 2), group(500, 3, 50)], 1000, 4)
+    assert [g for g in given if g[0] == 3] == [(3, 1, 0, 25, 0), (3, 1, 25, 50, 1)] and (0, 1, 0, 1, 2) in given
+    assert wants == [0.0, 0.0, 160.0, 160.0]
+    assert sharding._deal_heavy([], 0, 3) == ([], [0.0, 0.0, 0.0])
+    assert sharding._deal_heavy([group(10, 1)], 12, 1) == ([(1, 1, 0, 1, 0)], [2.0])
+    given, wants = sharding._deal_heavy([group(900, 1), group(50, 2, 5)], 1000, 2)  # one text heavier than a shard
+    assert given == [(1, 1, 0, 1, 0), (2, 1, 0, 5, 1)] and wants == [0.0, 50.0]
+
+
+def test_one_row_many_times(spark):
+    """A group that outweighs a shard is torn evenly, even if its rows are all the same."""
+    df = spark.createDataFrame([(5, "same " * 20)] * 4000 + [(i, prose(i, 8)) for i in range(100)], "doc_id long, text string")
+    out = sharding.kd_shards(df, 8).toPandas()
+    weights = out.groupby("shard")["size"].sum()
+    assert len(weights) == 8 and weights.max() / weights.mean() < 1.03 and weights.min() / weights.mean() > 0.97
+    assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in out.groupby("shard"))
+
+
 def test_write_shards(docs, tmp_path, spark):
     path = str(tmp_path / "shards")
     sharding.write_shards(docs, path, 4)

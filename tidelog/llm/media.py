@@ -4,8 +4,9 @@ Writing: each task appends PNG members (8-bit grey, 576 samples a row) to archiv
 member's place and checksum, and a manifest table, committed by Spark, names the archives that count.
 
 Reading (`format("tidelog_media")`): the planner cuts archives into byte ranges from their sizes alone; a reader takes
-the members that start in its range, streams them as Arrow batches of about BATCH_BYTES, and fetches a member again, at
-its own offset, when a read fails or its checksum differs, without touching its neighbours.
+the members that start in its range in one forward pass over one open file, streams them as Arrow batches of about
+BATCH_BYTES, and fetches a member again, at its own offset, when a read fails or its checksum differs, without touching
+its neighbours.
 
 Options: path; rangeBytes (64 MB); retries (3); onError = fail (the default: after the retries the task fails, and Spark
 repeats it) or record (a row with `error` set and no content).
@@ -22,6 +23,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -89,8 +91,21 @@ def feature(payload: bytes) -> str:
     return f"{len(x) // ROW}x{ROW}:{x.mean():.3f}:{x.std():.3f}:{-(p * np.log2(p)).sum():.4f}:{bits}"
 
 
+def member_name(doc: object) -> str:
+    """The id as text, `null` for a null one; an id that reads `null`, or starts with =, gets a = before it."""
+    if doc is None:
+        return "null"
+    name = str(doc)
+    return "=" + name if name == "null" or name.startswith("=") else name
+
+
+def member_id(name: str) -> str | None:
+    """The id that a member was named by."""
+    return None if name == "null" else name.removeprefix("=")
+
+
 def write_archives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> str:
-    """Write each text's payload as one member, named by its id; returns the folder. No shuffle.
+    """Write each text's payload as one member, named by its id (of 100 UTF-8 bytes at most); returns the folder. No shuffle.
 
     Null ids make members named `null`; null and empty texts make one row of padding; repeated rows make a member each;
     an empty table makes a folder without archives. Other columns are not read.
@@ -116,7 +131,7 @@ def write_archives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     name = f"{uuid.uuid4().hex}.tar"
                     out = files.create(name)
                 image = to_image(to_payload(text))
-                info = tarfile.TarInfo("null" if doc is None else str(doc))
+                info = tarfile.TarInfo(member_name(doc))
                 info.size = len(image)
                 out.write(info.tobuf(tarfile.USTAR_FORMAT))
                 out.write(image)
@@ -174,34 +189,60 @@ class ArchiveReader(DataSourceReader):
                 entries = [(m.offset_data, m.size, None) for m in tar]
         return [e for e in entries if start <= e[0] < end]
 
+    @staticmethod
+    def _take(stream: BinaryIO, offset: int, size: int, crc: int | None) -> tuple[str, bytes]:
+        """A member's name and content; the stream only moves if the member is not where it stands."""
+        if stream.tell() != offset - 512:
+            stream.seek(offset - 512)
+        data = stream.read(512 + size)
+        if len(data) != 512 + size or crc not in (None, zlib.crc32(data[512:])):
+            raise OSError("checksum or length differs")
+        stream.read(-size % 512)
+        return tarfile.TarInfo.frombuf(data[:512], "utf-8", "surrogateescape").name, data[512:]
+
     def _fetch(self, files: Files, archive: str, offset: int, size: int, crc: int | None) -> tuple[str | None, bytes | None, str | None]:
+        """One member alone, by an open file of its own each time."""
         error = ""
-        for attempt in range(self.retries + 1):
+        for attempt in range(self.retries):
             if attempt:
                 time.sleep(min(5.0, 0.1 * 2**attempt))
             try:
                 with files.open(archive) as f:
-                    f.seek(offset - 512)
-                    data = f.read(512 + size)
-                member = tarfile.TarInfo.frombuf(data[:512], "utf-8", "surrogateescape").name
-                if len(data) == 512 + size and crc in (None, zlib.crc32(data[512:])):
-                    return member, data[512:], None
-                error = "checksum or length differs"
+                    return *self._take(f, offset, size, crc), None
             except (OSError, tarfile.TarError) as e:
                 error = f"{type(e).__name__}: {e}"
-        if self.fail:
-            raise OSError(f"{archive} at {offset}: {error}")
         return None, None, error
 
+    def _stream(self, files: Files, archive: str, entries: list[tuple[int, int, int | None]]) -> Iterator[tuple[int, str | None, bytes | None, str | None]]:
+        """(offset, member, content, error) in order. A failed read closes the stream; the next member opens it anew."""
+        stream: BinaryIO | None = None
+        for offset, size, crc in entries:
+            try:
+                stream = stream or files.open(archive)
+                yield offset, *self._take(stream, offset, size, crc), None
+                continue
+            except (OSError, tarfile.TarError) as e:
+                error = f"{type(e).__name__}: {e}"
+            if stream is not None:
+                stream.close()
+                stream = None
+            member, content, again = self._fetch(files, archive, offset, size, crc)
+            error = again or error
+            if content is None and self.fail:
+                raise OSError(f"{archive} at {offset}: {error}")
+            yield offset, member, content, None if content is not None else error
+        if stream is not None:
+            stream.close()
+
     def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # how Spark reads a folder without archives
             return
         schema = pa.schema([("member", pa.string()), ("archive", pa.string()), ("offset", pa.int64()), ("content", pa.binary()), ("error", pa.string())])
         files, rows, held = Files(self.root), [], 0
-        for offset, size, crc in self._members(files, partition.archive, partition.start, partition.end):
-            member, content, error = self._fetch(files, partition.archive, offset, size, crc)
+        entries = self._members(files, partition.archive, partition.start, partition.end)
+        for offset, member, content, error in self._stream(files, partition.archive, entries):
             rows.append((member, partition.archive, offset, content, error))
-            held += size
+            held += len(content or b"")
             if held >= BATCH_BYTES:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                 rows, held = [], 0
@@ -227,7 +268,7 @@ def read_archives(spark: SparkSession, path: str, **options: str) -> DataFrame:
 
 
 def features(members: DataFrame) -> DataFrame:
-    """Digests and the feature of each stored image, from its stored bytes."""
+    """Digests and the feature of each stored image, from its stored bytes; doc_id is the id as text."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,10 +276,10 @@ def features(members: DataFrame) -> DataFrame:
             rows = []
             for member, image in zip(batch.column("member").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 payload = from_image(image)
-                rows.append((None if member == "null" else int(member), len(payload.rstrip(bytes([PAD]))), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest(), feature(payload)))
+                rows.append((member_id(member), len(payload.rstrip(bytes([PAD]))), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest(), feature(payload)))
             if rows:
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return members.select("member", "content").mapInArrow(run, schema)

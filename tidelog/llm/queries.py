@@ -25,7 +25,7 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as an image and read back through the archive data source."""
     root = write_archives(read_table(spark, sf_dir, "documents"))
-    return features(read_archives(spark, root, rangeBytes=str(16 << 20)))
+    return features(read_archives(spark, root, rangeBytes=str(16 << 20))).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import lower_ascii
+from tidelog.llm.common import lower_ascii, materialize
 
 #: (pattern, verdict): host, then path prefix.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -22,6 +22,10 @@ THRESHOLD = 0.2
 Z = 1.645
 RHO = (0.0001, 0.5)
 RHO_UNKNOWN = 0.1
+#: A country's two letters and one of these before them are one suffix.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "govt", "mil", "ne", "net", "nom", "or", "org")
+#: The suffix of all numeric addresses, each of which is a domain of its own.
+ADDRESS = "(address)"
 
 
 def host_of(url: Column) -> Column:
@@ -36,6 +40,18 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
+def domain_of(host: Column) -> tuple[Column, Column]:
+    """Registered domain and suffix, without user, port and final dot. The suffix is the last label, or the last two as in
+    SECOND_LEVEL; the domain has one label more, if there is one. Addresses (four numbers, or in brackets) are domains."""
+    name = F.regexp_replace(F.regexp_replace(F.regexp_extract(host, "[^@]*$", 0), ":[0-9]*$", ""), r"\.$", "")
+    address = name.rlike(r"^([0-9]+\.){3}[0-9]+$") | name.startswith("[")
+    labels = F.split(name, r"\.")
+    n = F.size(labels)
+    two = (n >= 2) & (F.length(F.element_at(labels, -1)) == 2) & F.get(labels, n - 2).isin(*SECOND_LEVEL)
+    of = lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), F.lit(k)), ".")
+    return F.when(address, name).when(two, of(3)).otherwise(of(2)), F.when(address, ADDRESS).when(two, of(2)).otherwise(of(1))
+
+
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES) -> tuple[Column, Column]:
     """The longest rule that fits (the host or any parent domain, and the path's start), and its verdict."""
     rule = verdict = None
@@ -69,17 +85,19 @@ def _shrink(level: DataFrame) -> DataFrame:
 def reputation(outcomes: DataFrame) -> DataFrame:
     """host, n, k, mean, bound of every host in `outcomes` (host, n labelled, k bad; any number of rows a host).
 
-    A host without outcomes gets its domain's prior. The domain is a host's last two labels, the suffix its last.
+    A host without outcomes gets its domain's prior. Domains and suffixes are those of `domain_of`. Counts by host, then by
+    domain, are written to the shared folder, so that the outcomes are read once.
     """
-    labels = F.split("host", r"\.")
+    domain, suffix = domain_of(F.col("host"))
     hosts = outcomes.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    hosts = hosts.select("host", F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".").alias("domain"), "n", "k")
-    domains = hosts.groupBy("domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("suffix", F.element_at(F.split("domain", r"\."), -1))
+    hosts = materialize(hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "k"), "hosts")
+    domains = materialize(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "domains")
+    hosts = hosts.drop("suffix")
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     root = suffixes.agg(((F.sum("k") + 1) / (F.sum("n") + 2)).alias("m"))
-    suffixes = _shrink(suffixes.crossJoin(F.broadcast(root)))  # one row
-    domains = _shrink(domains.join(suffixes.select("suffix", F.col("mean").alias("m")), "suffix"))
-    hosts = _shrink(hosts.join(domains.select("domain", F.col("mean").alias("m")), "domain"))
+    suffixes = materialize(_shrink(suffixes.crossJoin(F.broadcast(root))), "suffix-rates")  # root: one row
+    domains = materialize(_shrink(materialize(domains.join(suffixes.select("suffix", F.col("mean").alias("m")), "suffix"), "domain-means")), "domain-rates")
+    hosts = _shrink(materialize(hosts.join(domains.select("domain", F.col("mean").alias("m")), "domain"), "host-means"))
     spread = F.sqrt(F.col("a") * F.col("b") / ((F.col("a") + F.col("b")) ** 2 * (F.col("a") + F.col("b") + 1)))
     return hosts.select("host", "n", "k", "mean", (F.col("mean") - Z * spread).alias("bound"))
 
@@ -96,7 +114,7 @@ def judge(pages: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rul
     known = labels.where(F.col("bad").isNotNull()).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("k"))
     counts = urls.select("page_id", "host").join(known, "page_id", "left")
     counts = counts.select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("k", F.lit(0)).alias("k"))
-    judged = urls.join(reputation(counts), "host", "left")
+    judged = urls.join(materialize(reputation(counts), "host-rates"), "host", "left")
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     verdict = F.coalesce(said, F.when(F.col("bound") >= threshold, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), F.round("mean", 6).alias("bad_mean"), F.round("bound", 6).alias("bad_bound"))
@@ -113,14 +131,17 @@ def _level_sql(name: str, source: str, key: str) -> str:
 _CASES = sorted(RULES, key=lambda r: -len(r[0]))
 _FITS = [(p, v, f"((host = '{p.partition('/')[0]}' OR ends_with(host, '.{p.partition('/')[0]}')) AND starts_with(path, '/{p.partition('/')[2]}'))") for p, v in _CASES]
 
-ORACLE = f"""
+ORACLE = rf"""
 WITH rests AS (SELECT page_id, CASE WHEN url IS NULL OR instr(url, '://') = 0 THEN '' ELSE substr(url, instr(url, '://') + 3) END AS rest FROM pages),
 urls AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
 known AS (SELECT doc_id AS page_id, count(*) AS n, sum(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS k FROM labels WHERE toxic IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 hosts0 AS (SELECT host, coalesce(sum(n), 0)::BIGINT AS n, coalesce(sum(k), 0)::BIGINT AS k FROM urls LEFT JOIN known USING (page_id) GROUP BY host),
-hosts1 AS (SELECT *, array_to_string(string_split(host, '.')[-2:], '.') AS domain FROM hosts0),
-domains0 AS (SELECT domain, string_split(domain, '.')[-1] AS suffix, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM hosts1 GROUP BY ALL),
+named AS (SELECT *, regexp_replace(regexp_replace(regexp_extract(host, '[^@]*$'), ':[0-9]*$', ''), '\.$', '') AS name FROM hosts0),
+labelled AS (SELECT *, string_split(name, '.') AS l, regexp_matches(name, '^([0-9]+\.){{3}}[0-9]+$') OR starts_with(name, '[') AS address FROM named),
+suffixed AS (SELECT *, CASE WHEN len(l) >= 2 AND strlen(l[-1]) = 2 AND l[-2] IN {SECOND_LEVEL} THEN 2 ELSE 1 END AS d FROM labelled),
+hosts1 AS (SELECT host, n, k, CASE WHEN address THEN name ELSE array_to_string(l[-(d + 1):], '.') END AS domain, CASE WHEN address THEN '{ADDRESS}' ELSE array_to_string(l[-d:], '.') END AS suffix FROM suffixed),
+domains0 AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM hosts1 GROUP BY ALL),
 suffixes0 AS (SELECT suffix, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM domains0 GROUP BY suffix),
 suffixes1 AS (SELECT *, (SELECT (sum(k) + 1.0)::DOUBLE / (sum(n) + 2)::DOUBLE FROM suffixes0) AS m FROM suffixes0),{_level_sql("suffixes2", "suffixes1", "suffix")},
 domains1 AS (SELECT d.*, x.mean AS m FROM domains0 d JOIN suffixes2 x USING (suffix)),{_level_sql("domains2", "domains1", "domain")},
