@@ -19,12 +19,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import free
 from tidelog.llm.tokens import small_batches
 
 #: Bounds of the labelled sample: documents and bytes for each language, and bytes in all.
 SAMPLE_DOCS = 64
 SAMPLE_BYTES = 16_384
 SAMPLE_TOTAL = 1 << 21
+#: Languages that are learned, the most frequent ones; each costs its automaton and a pass over every text.
+LANGUAGES = 256
 PIECE = 256
 SEGMENT = 1024
 BATCH = 2 << 20
@@ -150,10 +153,12 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """A bounded sample of labelled text for each language.
 
     Documents are drawn by a hash of their id, below a threshold that leaves about 2 * SAMPLE_DOCS for each language, and
-    give one piece of PIECE characters each, at a hashed place. Only these pieces reach the driver.
+    give one piece of PIECE characters each, at a hashed place. Only these pieces reach the driver, for LANGUAGES languages at
+    most (the most frequent; ties to the first by name). Null ids, texts and labels and empty texts teach nothing; of equal
+    ids each row counts; an empty table teaches nothing.
     """
     own = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where(F.col("l").isNotNull() & (F.length("t") > 0) & learnable(F.col("i")))
-    counts = {r["l"]: r["n"] for r in own.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["l"]: r["n"] for r in own.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()}
     if not counts:
         return {}
     each = max(1024, min(SAMPLE_BYTES, SAMPLE_TOTAL // len(counts)))
@@ -179,28 +184,35 @@ def _models(samples: dict[str, bytes]) -> dict[str, Model]:
     return _MODELS[key]
 
 
+def _predicted(models: dict[str, Model], texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """The language and score of each text."""
+    names = [*models, UNDETERMINED]
+    known = np.array([bool(models) and has_letter(t) for t in texts], bool)
+    best, score = np.full(len(texts), len(models)), np.zeros(len(texts))
+    if known.any():
+        found = rates(models, [t if k else None for t, k in zip(texts, known, strict=True)])
+        two = np.sort(found, axis=1)[:, :2]
+        sure = two[:, 1] / np.maximum(two.sum(axis=1), 1e-300) if found.shape[1] > 1 else np.ones(len(texts))
+        best, score = np.where(known, found.argmin(axis=1), len(models)), np.where(known, sure, 0.0)
+    return [names[i] for i in best.tolist()], score
+
+
 def predict(docs: DataFrame, samples: dict[str, bytes], text_col: str = "text") -> DataFrame:
-    """All columns of `docs` and _lid_lang, _lid_score, without a shuffle.
+    """All columns of `docs` and _lid_lang, _lid_score (with more underscores where `docs` has such columns), without a shuffle.
 
     The score is r2 / (r1 + r2) for the fewest and second-fewest bits a symbol (1 with one language). Null texts and
     texts without a letter are `und` with score 0, as are all when nothing was learned; ties go to the first language by
-    name; repeated rows come out as often as they went in; other columns are passed on unread.
+    name; repeated rows come out as often as they went in; an empty table gives an empty result; other columns are passed
+    on unread.
     """
-    schema = docs.select("*", F.lit("").alias("_lid_lang"), F.lit(0.0).alias("_lid_score")).schema
+    lang, sure = free(docs, "_lid_lang"), free(docs, "_lid_score")
+    schema = docs.select("*", F.lit("").alias(lang), F.lit(0.0).alias(sure)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = _models(samples)
-        names = [*models, UNDETERMINED]
         for batch in small_batches(batches, text_col, BATCH):
-            texts = batch.column(text_col).to_pylist()
-            known = np.array([bool(models) and has_letter(t) for t in texts])
-            best, score = np.full(len(texts), len(models)), np.zeros(len(texts))
-            if known.any():
-                found = rates(models, [t if k else None for t, k in zip(texts, known, strict=True)])
-                two = np.sort(found, axis=1)[:, :2]
-                sure = two[:, 1] / np.maximum(two.sum(axis=1), 1e-300) if found.shape[1] > 1 else np.ones(len(texts))
-                best, score = np.where(known, found.argmin(axis=1), len(models)), np.where(known, sure, 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([names[i] for i in best.tolist()]), pa.array(score)], [*batch.schema.names, "_lid_lang", "_lid_score"])
+            found, score = _predicted(models, batch.column(text_col).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found), pa.array(score)], [*batch.schema.names, lang, sure])
 
     return docs.mapInArrow(run, schema)
 
@@ -219,22 +231,24 @@ def _contradicts(models: dict[str, Model], text: str, label: str, other: str) ->
 
 
 def decide(docs: DataFrame, samples: dict[str, bytes], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The columns of `docs`, with the language of each text for its label; texts without a language are dropped.
+    """The columns of `docs`, with the language of each text for its label; texts without a language are dropped: null ones,
+    those without a letter, and all when nothing was learned.
 
     A null label becomes the prediction. A label is kept unless the text clearly contradicts it (see CLEARLY); a label of
     which no sample was learned cannot be judged and is kept, and a text that is itself in its label's sample speaks for it.
+    Rows with equal texts and labels fare alike, so repeated rows stay repeated. One pass, by one worker a task.
     """
-    found = predict(docs, samples, text_col).where(F.col("_lid_lang") != UNDETERMINED)
-    columns, schema = docs.columns, found.select(*docs.columns).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = _models(samples)
-        for batch in batches:
-            said, predicted = batch.column(lang_col).to_pylist(), batch.column("_lid_lang").to_pylist()
+        for batch in small_batches(batches, text_col, BATCH):
+            texts, said = batch.column(text_col).to_pylist(), batch.column(lang_col).to_pylist()
+            predicted, _ = _predicted(models, texts)
             for k, (label, other) in enumerate(zip(said, predicted, strict=True)):
-                if label is None or label != other and label in models and _contradicts(models, batch.column(text_col)[k].as_py(), label, other):
+                if other != UNDETERMINED and (label is None or label != other and label in models and _contradicts(models, texts[k], label, other)):
                     said[k] = other
             at = batch.schema.get_field_index(lang_col)
-            yield batch.set_column(at, batch.schema.field(at), pa.array(said, batch.schema.field(at).type)).select(columns)
+            out = batch.set_column(at, batch.schema.field(at), pa.array(said, batch.schema.field(at).type))
+            yield out.filter(pa.array([p != UNDETERMINED for p in predicted], pa.bool_()))
 
-    return found.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
