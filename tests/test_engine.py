@@ -1,13 +1,16 @@
+import random
+from itertools import product
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidelog.engine import Engine
 from tidelog.functions import morton, vectors
 from tidelog.model import EVENT, EntityId, EventId, Field, RecordSchema, TimeRange
-from tidelog.operators import admit, branches, causal, evolve, index, knowledge, replay, runtime, scan, transform
+from tidelog.operators import admit, branches, causal, evolve, index, knowledge, replay, runtime, scan, spans, transform
 from tidelog.plans.compile import AnalysisError
 from tidelog.plans.ir import Budget
-from tidelog.sources.events import backup_manifest, choose_encoding, columnar_export, seal, verify_backup, write_log
+from tidelog.sources.events import backup, backup_manifest, choose_encoding, columnar_export, media_reference, restore, retire, seal, verify_backup, verify_media, write_log
 from tidelog.streaming import subscribe
 
 
@@ -80,6 +83,27 @@ def test_pages_equal_the_whole(spark, two):
     assert ids(scan.page(later, flt, 50, first.cursor).rows) == [5, 7, 9]
 
 
+def test_page_budgets_and_foreign_cursors(spark, two):
+    flt = scan.HistoryFilter(EntityId(0, 2, 1))
+    size = two.select(scan.event_bytes(two).alias("b")).first()["b"]
+    first = scan.page(two, flt, 10, max_bytes=2 * size)
+    assert ids(first.rows) == [1, 3] and first.bytes == 2 * size and first.cursor.next == 5
+    with pytest.raises(scan.BudgetError):
+        scan.page(two, flt, 10, max_bytes=size - 1)
+    got, cursor, pages = [], None, 0
+    while True:
+        page = scan.page(two, flt, 10, cursor, max_scanned=1)
+        got, cursor, pages = got + ids(page.rows), page.cursor, pages + 1
+        assert page.scanned <= 1
+        if cursor is None:
+            break
+    assert got == [1, 3, 5, 7, 9] and pages == 10
+    other = two.withColumn("epoch", F.lit(2).cast("long"))
+    with pytest.raises(scan.CursorError):
+        scan.page(other, flt, 10, first.cursor)
+    assert ids(scan.page(two, flt, 2, scan.cursor_from(4, 10, flt)).rows) == [5, 7]
+
+
 def test_point_get(two):
     assert scan.get(two, EventId(1, 1, 3))["slot"] == 2
     with pytest.raises(scan.NotFoundError):
@@ -129,6 +153,85 @@ def test_stored_log_seal_backup_and_subscription(spark, two, tmp_path):
     assert sorted(seen)[-1] == (10, True) and len(seen) == 5
 
 
+def test_seal_retire_backup_and_restore(spark, two, tmp_path):
+    path, sealed = str(tmp_path / "log"), str(tmp_path / "sealed")
+    write_log(two, path, 4)  # buckets 0-3, 4-7 and 8-9, which is not complete
+    manifest = seal(spark, path, sealed, 4)
+    assert sorted((r["seq_bucket"], r["first"], r["last"]) for r in manifest.collect()) == [(0, 0, 3), (1, 4, 7)]
+    files = sorted(p.name for p in (tmp_path / "sealed").rglob("*.parquet"))
+    write_log(log(spark, [event(10), event(11)]), path, 4)
+    assert seal(spark, path, sealed, 4).count() == 3 and seal(spark, path, sealed, 4).count() == 3
+    assert set(files) < {p.name for p in (tmp_path / "sealed").rglob("*.parquet")}  # segments are never rewritten
+    assert backup(spark, path, str(tmp_path / "copy")).count() == 3
+    assert retire(spark, path, seal(spark, path, sealed, 4), [(5, 5)]) == [0]
+    assert spark.read.parquet(path).agg(F.min("sequence")).first()[0] == 4
+    back = restore(spark, str(tmp_path / "copy"), str(tmp_path / "back"))
+    assert back.count() == 12
+    with pytest.raises(FileExistsError):
+        restore(spark, str(tmp_path / "copy"), str(tmp_path / "back"))
+    victim = next((tmp_path / "copy").rglob("*.parquet"))
+    victim.write_bytes(victim.read_bytes()[:-1] + b"?")
+    (victim.parent / f".{victim.name}.crc").unlink()  # the local file system's own checksum
+    with pytest.raises(OSError, match="differs"):
+        restore(spark, str(tmp_path / "copy"), str(tmp_path / "again"))
+
+
+def test_subscriptions_project_and_refuse_limits(spark, two, tmp_path):
+    path = str(tmp_path / "log")
+    write_log(two, path, 4)
+    e = Engine(spark, spark.read.parquet(path), path)
+    seen = []
+    e.subscribe("SELECT entity, known_time FROM log WHERE sequence >= 8", lambda df, n: seen.extend(tuple(r) for r in df.collect()), str(tmp_path / "cp"), once=True).awaitTermination()
+    assert sorted(seen) == [(8, "0:1:1", 18, False), (9, "0:2:1", 19, False)]
+    with pytest.raises(ValueError):
+        e.subscribe("LIMIT 3", print, str(tmp_path / "cp2"), once=True)
+    late = []
+    e.subscribe("ENTITY 0:1:1", lambda df, n: late.extend(r["sequence"] for r in df.collect()), str(tmp_path / "cp3"), once=True, from_now=True).awaitTermination()
+    assert late == []
+
+
+def test_media_references(spark):
+    rows = spark.createDataFrame([(1, "one"), (2, "two"), (3, "three"), (4, "four")], "id long, body string")
+    refs = media_reference(rows, F.concat(F.lit("m/"), F.col("id").cast("string")), "body").select("uri", "content_hash", "byte_size")
+    now = spark.createDataFrame([("m/1", "one"), ("m/2", "2wo"), ("m/3", "thre")], "uri string, content string")
+    assert {r["uri"]: r["problem"] for r in verify_media(refs, now).collect()} == {"m/2": "hash differs", "m/3": "size differs", "m/4": "missing"}
+
+
+def test_spans(spark):
+    df = spark.createDataFrame([(i * 37 % 101, i % 3) for i in range(101)] + [(7, 0)], "v long, k long")
+    got = spans.numbered(df, F.expr("v div 10"), [F.col("v")], "at", ["k"])
+    for k in range(3):
+        own = sorted((r["at"], r["v"]) for r in got.where(F.col("k") == k).collect())
+        assert [a for a, _ in own] == list(range(len(own))) and [v for _, v in own] == sorted(v for _, v in own)
+    values = sorted(r["v"] for r in df.collect())
+    for n in (1, 9, 50, 102):
+        low, below = spans.nth_smallest(df, "v", n)
+        assert low == values[n - 1] and below == sum(v < low for v in values)
+    with pytest.raises(ValueError):
+        spans.nth_smallest(df, "v", 103)
+    points = spark.createDataFrame([(5, 90), (20, 30), (60, 61), (None, 99)], "first long, last long")
+    targets = spark.createDataFrame([(4, "a"), (5, "b"), (25, "c"), (25, "c"), (99, "d"), (None, "e")], "sequence long, what string")
+    found = spans.carried(targets, "sequence", points, "first", F.col("last"), "until", 10)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(4, "a", None), (5, "b", 90), (25, "c", 90), (25, "c", 90), (99, "d", 90), (None, "e", None)], key=str)
+
+
+def test_handles_run_out(spark):
+    df = spark.createDataFrame([(0, 1, 3), (0, 2, 5), (0, 1, 2)], "shard long, slot long, generation long")
+    assert {r["slot"]: (r["generation"], r["retired"]) for r in replay.next_handles(df, 5).collect()} == {1: (4, False), 2: (None, True)}
+
+
+def test_generic_reducer_keeps_only_the_state(spark):
+    """Histories longer than a batch, in order, and entities that end without a state."""
+    df = log(spark, [event(i, 1 + i % 3) for i in range(300)])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    step = lambda s, e: None if e["slot"] == 3 else {"seen": [*(s or {"seen": []})["seen"], int(e["sequence"])]}
+    try:
+        got = {r["slot"]: r["seen"] for r in replay.reduce_entities(df, step, ["schema_id"], "seen array<long>").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {1: list(range(0, 300, 3)), 2: list(range(1, 300, 3))}
+
+
 def test_typed_replay(spark):
     upsert = lambda i, slot, f: (0, slot, 0, i, 1, "upsert", f)
     rows = [upsert(i, i % 2, {"health": str(100 * i if i % 2 == 0 else 200 * i), "active": str(i % 2 == 0 or i > 5).lower()}) for i in range(10)]
@@ -196,7 +299,15 @@ def test_generator_resumes(spark):
     assert [r["value"] for r in replay.random_stream(spark, 42, 5).orderBy("step").collect()] == first
 
 
-def test_diamond(spark):
+def test_long_chains(spark, monkeypatch):
+    """Ancestry and provenance have no depth limit; a wide walk goes on as a table."""
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "cause long, effect long").persist()
+    assert causal.is_ancestor(chain, 0, 60) and not causal.is_ancestor(chain, 60, 0)
+    monkeypatch.setattr(causal, "FRONTIER_LIMIT", 3)
+    assert causal.is_ancestor(chain.where("effect <= 8"), 0, 8) and not causal.is_ancestor(chain.where("effect <= 8"), 77, 8)
+
+
+def test_diamond(spark, monkeypatch):
     graph = causal.edges(log(spark, [event(10), event(20, causes=[10]), event(30, causes=[10, 10]), event(40, causes=[20, 30])]))
     assert graph.count() == 4
     depth = {r["node"]: r["depth"] for r in causal.trace(graph, 40).collect()}
@@ -206,8 +317,19 @@ def test_diamond(spark):
     nodes = spark.createDataFrame([(x,) for x in (10, 20, 30, 40)], "node long")
     assert {r["node"]: r["level"] for r in causal.topological_levels(graph, nodes).collect()} == {10: 0, 20: 1, 30: 1, 40: 2}
     loop = graph.unionByName(spark.createDataFrame([(40, 10)], "cause long, effect long"))
+    for limit in (100_000, 0):  # peeled by the driver, and by joins
+        monkeypatch.setattr(causal, "FRONTIER_LIMIT", limit)
+        with pytest.raises(causal.CycleError):
+            causal.topological_levels(loop, nodes)
+        got = causal.topological_levels(graph, nodes.union(spark.createDataFrame([(99,)], "node long")))
+        assert {r["node"]: r["level"] for r in got.collect()} == {10: 0, 20: 1, 30: 1, 40: 2, 99: 0}
+    monkeypatch.setattr(causal, "FRONTIER_LIMIT", 100_000)
+    assert [r["node"] for r in causal.topological_order(graph, nodes, 15).orderBy("place").collect()] == [10, 20, 30, 40]
+    more = spark.createDataFrame([(40, 50), (10, 50), (40, 50)], "cause long, effect long")
+    assert causal.add_edges(graph, more).count() == 6
     with pytest.raises(causal.CycleError):
-        causal.topological_levels(loop, nodes)
+        causal.add_edges(graph, spark.createDataFrame([(40, 50), (50, 20)], "cause long, effect long"))
+    assert [(r["effect"], r["start"]) for r in causal.csr(graph, 15).orderBy("effect").collect()] == [(20, 0), (30, 1), (40, 2)]
     assert {r["effect"]: r["causes"] for r in causal.csr(graph).collect()}[40] == [20, 30]
     wide = causal._wide_trace(graph, spark.createDataFrame([(40, 0)], "node long, depth int"), "effect", "cause", 0, 9)
     assert {r["node"]: r["depth"] for r in wide.collect()} == depth
@@ -245,6 +367,17 @@ def test_branches(spark):
         branches.fork(retired, "x", 1, 3, 5)
     with pytest.raises(branches.BranchError):
         branches.check_append(retired, 1)
+    more = spark.createDataFrame([(30, "b"), (20, "a")], "known_ticks long, what string")
+    grown = branches.append(rows, known, 2, more, "known_ticks")
+    assert sorted((r["sequence"], r["what"]) for r in grown.where("branch = 2 and what is not null").collect()) == [(5, "a"), (6, "b")]
+    fresh = branches.append(rows.where("branch <> 1"), known, 1, more, "known_ticks")
+    assert sorted(r["sequence"] for r in fresh.where("branch = 1").collect()) == [3, 4]
+    with pytest.raises(branches.BranchError):
+        branches.append(rows, retired, 1, more, "known_ticks")
+    assert sorted(map(tuple, runtime.branch_holds(known).collect())) == [(0, 0, 2)]
+    deeper = branches.fork(known, "b3", 1, 4, 9)
+    assert sorted(map(tuple, runtime.branch_holds(deeper).collect())) == [(0, 0, 2), (1, 3, 4)]
+    assert runtime.branch_holds(branches.set_lifecycle(retired, 2, "retired")).count() == 0
 
 
 def test_block_pruning(spark):
@@ -267,6 +400,26 @@ def test_projections(spark):
     assert got(schema=1, times=TimeRange(100, 120)) == [0, 2] and got(schema=1, box=box) == [0, 2] and got(entity=e2, box=box) == [2] and got(entity=e1, schema=99) == []
 
 
+def test_boxes(spark):
+    r = random.Random(4)
+    for axes in (2, 3):
+        for _ in range(30):
+            low = [r.randrange(0, 90) for _ in range(axes)]
+            high = [a + r.randrange(0, 60) for a in low]
+            cells = sorted(morton.code_of(c) for c in product(*(range(a // 8, b // 8 + 1) for a, b in zip(low, high))))
+            found = morton.box_intervals(low, high, 8)
+            assert [c for a, b in found for c in range(a, b + 1)] == cells and all(x[1] + 1 < y[0] for x, y in zip(found, found[1:]))
+    assert morton.box_intervals((0, 0), ((1 << 30) - 1, (1 << 30) - 1), 16) == [(0, (1 << 52) - 1)]
+    df = spark.createDataFrame([((1 << 60) + 1,), ((1 << 60) - 1,), (17,)], "x long").select(morton.chunk(F.col("x"), 2).alias("c"))
+    assert [r["c"] for r in df.collect()] == [1 << 59, (1 << 59) - 1, 8]
+    boxes = spark.createDataFrame([(0, 0, 5, 5), (6, 0, 9, 9), (5, 5, 6, 6)], "a long, b long, c long, d long")
+    hit = morton.intersects([F.col("a"), F.col("b")], [F.col("c"), F.col("d")], [4, 4], [5, 5])
+    assert boxes.where(hit).count() == 2
+    e = Engine(spark, spark.createDataFrame([(i, i, i) for i in range(40)], "sequence long, x long, y long"))
+    got = e.query("BOX 0,0..20,20 CHUNK 8 LIMIT 5")
+    assert ids(got.rows) == [0, 1, 2, 3, 4] and got.truncated and e.query("BOX 0,0..20,20 CHUNK 8").rows.count() == 24
+
+
 def test_morton(spark):
     points = [(0, 0), (1, 0), (3, 5), (2**31 - 1, 12345), (65535, 65536)]
     df = spark.createDataFrame(points, "x long, y long").withColumn("c", morton.encode2(F.col("x"), F.col("y")))
@@ -288,6 +441,11 @@ def test_shards(spark):
 
 
 def test_tasks_and_pressure(spark):
+    with pytest.raises(LookupError):
+        runtime.check_tasks(spark.createDataFrame([(2, 0, "pending")], "id long, class int, status string"), spark.createDataFrame([(2, 9)], "id long, needs long"))
+    loop = spark.createDataFrame([(1, 2), (2, 1)], "id long, needs long")
+    with pytest.raises(causal.CycleError):
+        runtime.check_tasks(spark.createDataFrame([(1, 0, "pending"), (2, 0, "pending")], "id long, class int, status string"), loop)
     tasks = spark.createDataFrame([(1, 4, "completed"), (2, 0, "pending"), (3, 3, "pending"), (4, 4, "pending")], "id long, class int, status string")
     deps = spark.createDataFrame([(2, 1), (4, 3)], "id long, needs long")
     assert ids(runtime.ready_tasks(tasks, deps), "id") == [3, 2]
@@ -350,6 +508,27 @@ def test_contradictions_and_inference(spark):
     assert {r["id"]: r["status"] for r in knowledge.infer(df).select("id", "status").collect()} == status
 
 
+def test_inference_along_long_chains(spark):
+    """Every belief challenged by the next one: settled by doubling, not level by level."""
+    beliefs = [(i, "alive" if i % 2 else "dead") for i in range(150)] + [(200 + i, ("not " if i % 3 == 0 else "") + f"calm {i // 7}") for i in range(120)]
+    df = spark.createDataFrame(beliefs, "id long, proposition string")
+    status, pairs = brute_status(beliefs)
+    assert {r["id"]: r["status"] for r in knowledge.infer(df).select("id", "status").collect()} == status
+    first = {}
+    for i, j in sorted(pairs, reverse=True):
+        first[i] = min(j, first.get(i, j))
+    for span in (1_000_000, 16):
+        assert {r["id"]: r["by"] for r in knowledge.challengers(df, span).collect()} == first
+    pairs = spark.createDataFrame(sorted(pairs), "item_a long, item_b long")
+    assert {r["id"]: r["status"] for r in knowledge.infer(df, pairs).select("id", "status").collect()} == status
+
+
+def test_provenance_of_any_depth(spark):
+    beliefs = spark.createDataFrame([(i,) for i in range(80)], "id long")
+    premises = spark.createDataFrame([(i + 1, i) for i in range(79)], "id long, premise long")
+    assert knowledge.why(beliefs, premises, 79).agg(F.max("depth")).first()[0] == 79
+
+
 def test_retract_why_and_time(spark):
     beliefs = spark.createDataFrame([(i, "active", i * 10) for i in range(1, 6)], "id long, status string, learned_ticks long")
     premises = spark.createDataFrame([(2, 1), (3, 2), (4, 2), (4, 3), (4, 99)], "id long, premise long")
@@ -424,8 +603,16 @@ def test_record_schema(spark):
 
 
 def test_consumer_events(spark, two):
-    both = subscribe.convert(two, "percept", 101, "sequence").unionByName(subscribe.convert(two, "action", 103, "sequence"))
+    cause = F.array(F.struct(F.lit(1).cast("long").alias("source"), F.lit(1).cast("long").alias("epoch"), F.col("sequence")))
+    own = two.withColumns({"organ_id": F.lit("eye"), "action_id": F.col("sequence").cast("string"), "reward": F.lit(0.5)})
+    both = subscribe.convert(own, "percept", "known_ticks").unionByName(subscribe.convert(own, "outcome", "known_ticks", cause))
     assert both.count() == 20 and columnar_export(two).toArrow().num_columns == 7
+    rows = {(r["kind"], r["valid_ticks"]): r for r in both.collect()}
+    assert rows["percept", 12]["payload"] == b'{"organ_id":"eye"}' and rows["percept", 12]["schema_id"] == 101 and rows["percept", 12]["causes"] == []
+    assert rows["outcome", 13]["payload"] == b'{"action_id":"3","reward":0.5}' and rows["outcome", 13]["causes"][0]["sequence"] == 3 and rows["outcome", 13]["observed_ticks"] == 13
+    assert subscribe.convert(own, "action", "known_ticks").first()["observed_ticks"] is None
+    with pytest.raises(ValueError):
+        subscribe.convert(own, "outcome", "known_ticks")
     ticks = subscribe.cadence_ticks(spark.createDataFrame([(2.0,)], "s double"), "s")
     assert {r["clock"]: r["tick"] for r in ticks.collect()} == {1: 240, 2: 40, 3: 2, 4: 0}
 
@@ -447,6 +634,12 @@ def test_mirrored_sinks(spark, two, tmp_path):
     write = subscribe.dual_sink(str(tmp_path / "a"), str(tmp_path / "b"))
     write(two, 0)
     write(two, 0)
+    new_only = subscribe.mirror_sink(str(tmp_path / "c"), str(tmp_path / "d"), "new_only", 10)
+    new_only(two, 0)
+    assert not (tmp_path / "c").exists() and spark.read.parquet(str(tmp_path / "d")).count() == 10
+    with pytest.raises(subscribe.BackpressureError):
+        subscribe.mirror_sink(str(tmp_path / "e"), str(tmp_path / "f"), "shadow", 9)(two, 0)
+    assert not (tmp_path / "e").exists()
     assert spark.read.parquet(str(tmp_path / "a")).count() == spark.read.parquet(str(tmp_path / "b")).count() == 10
 
 
@@ -463,7 +656,7 @@ def test_metrics(spark, two, tmp_path):
     path = str(tmp_path / "log")
     write_log(two, path, 4)
     m = Engine(spark, spark.read.parquet(path), path).query("WHERE sequence < 3\nLIMIT 2").metrics()
-    assert m["rows"] == 2 and m["truncated"] and m["events_scanned"] <= 10
+    assert m["rows"] == 2 and m["truncated"] and 0 < m["events_scanned"] <= 10 and m["bytes_read"] > 0
 
 
 def test_encoding_choice(spark):

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,7 +45,7 @@ def chunk(coordinate: Column, size: int) -> Column:
     """The chunk of a non-negative coordinate."""
     if size < 1:
         raise ValueError("chunks need a positive size")
-    return F.floor(coordinate / F.lit(size)).cast("long")
+    return F.call_function("div", coordinate.cast("long"), F.lit(size).cast("long"))
 
 
 def in_box(coordinates: Sequence[Column], low: Sequence[int], high: Sequence[int]) -> Column:
@@ -62,15 +61,39 @@ def code_of(cell: Sequence[int]) -> int:
     return sum((v >> i & 1) << (axes * i + a) for a, v in enumerate(cell) for i in range(v.bit_length()))
 
 
+def intersects(low: Sequence[Column], high: Sequence[Column], box_low: Sequence[int], box_high: Sequence[int]) -> Column:
+    """Whether two boxes with inclusive corners share a point."""
+    out = F.lit(True)
+    for a, b, x, y in zip(low, high, box_low, box_high, strict=True):
+        out &= (a <= y) & (b >= x)
+    return out
+
+
 def box_intervals(low: Sequence[int], high: Sequence[int], size: int) -> list[tuple[int, int]]:
-    """Inclusive code intervals of the chunks that a box touches, neighbours merged."""
+    """Inclusive code intervals of the chunks that a box touches, neighbours merged.
+
+    Quadrants (octants) are taken down only where the box's edge crosses them, so the work follows the surface of the box,
+    not its volume.
+    """
     if any(a > b for a, b in zip(low, high, strict=True)):
         return []
-    cells = product(*(range(a // size, b // size + 1) for a, b in zip(low, high, strict=True)))
+    axes, first, last = len(low), [a // size for a in low], [b // size for b in high]
     out: list[tuple[int, int]] = []
-    for code in sorted(map(code_of, cells)):
-        if out and out[-1][1] + 1 == code:
-            out[-1] = (out[-1][0], code)
-        else:
-            out.append((code, code))
+    top = max(v.bit_length() for v in last)
+    stack = [(0, (0,) * axes, top)]  # code, corner and level of a cell: 2 ** level chunks an axis
+    while stack:
+        code, corner, level = stack.pop()
+        ends = [c + (1 << level) - 1 for c in corner]
+        if any(c > b or e < a for c, e, a, b in zip(corner, ends, first, last, strict=True)):
+            continue
+        if all(c >= a and e <= b for c, e, a, b in zip(corner, ends, first, last, strict=True)):
+            end = code + (1 << axes * level) - 1
+            if out and out[-1][1] + 1 == code:
+                out[-1] = (out[-1][0], end)
+            else:
+                out.append((code, end))
+            continue
+        for part in reversed(range(1 << axes)):  # in code order off the stack
+            step = 1 << level - 1
+            stack.append((code + (part << axes * (level - 1)), tuple(c + step * (part >> k & 1) for k, c in enumerate(corner)), level - 1))
     return out

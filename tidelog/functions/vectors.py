@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Queries that are broadcast at a time.
+BLOCK = 10_000
+
+
 def _sum(col: Column) -> Column:
     return F.aggregate(col, F.lit(0.0).cast("double"), lambda a, x: a + x)
 
@@ -30,10 +34,16 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 9) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best by cosine, rounded before ranking, ties to the smaller id.
 
-    queries (query_id, query) is a stated, small set: it is collected into every task's plan, and each task keeps its own
-    k best before the shuffle (Spark plans a window group limit).
+    queries (query_id, query) is a stated set, which meets all vectors in blocks of about BLOCK queries, one broadcast
+    each; every task keeps its own k best of a block before the shuffle (Spark plans a window group limit).
     """
-    pairs = vectors.select("vec_id", "embedding").crossJoin(F.broadcast(queries)).where("vec_id <> query_id")
-    scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), digits).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    blocks = max(1, -(-queries.count() // BLOCK))
+    out = None
+    for block in range(blocks):
+        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        pairs = vectors.select("vec_id", "embedding").crossJoin(F.broadcast(own)).where("vec_id <> query_id")
+        scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), digits).alias("score"))
+        best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        out = best if out is None else out.unionByName(best)
+    return out

@@ -6,9 +6,11 @@ to its effect.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators.spans import numbered
+
 FRONTIER_LIMIT = 100_000
 
 
@@ -44,8 +46,8 @@ def trace(graph: DataFrame, root: int, direction: str = "causes", depth: int = 1
     return walk(graph, {root}, direction, depth)
 
 
-def walk(graph: DataFrame, roots: set[int], direction: str = "causes", depth: int = 16) -> DataFrame:
-    """node, depth: breadth-first from several roots at once.
+def walk(graph: DataFrame, roots: set[int], direction: str = "causes", depth: int | None = 16) -> DataFrame:
+    """node, depth: breadth-first from several roots at once, to the end if `depth` is None.
 
     The frontier stays with the driver while it is small (FRONTIER_LIMIT nodes) and filters the edges as literals; beyond
     that it is a checkpointed DataFrame that Spark joins. Every level is one job over the edges; a graph partitioned by
@@ -54,7 +56,7 @@ def walk(graph: DataFrame, roots: set[int], direction: str = "causes", depth: in
     spark = graph.sparkSession
     here, there = ("effect", "cause") if direction == "causes" else ("cause", "effect")
     seen, frontier, level = dict.fromkeys(roots, 0), set(roots), 0
-    while frontier and level < depth and len(seen) <= FRONTIER_LIMIT:
+    while frontier and (depth is None or level < depth) and len(seen) <= FRONTIER_LIMIT:
         level += 1
         found = _step(graph, frontier, here, there) - seen.keys()
         if len(found) > FRONTIER_LIMIT:
@@ -62,15 +64,15 @@ def walk(graph: DataFrame, roots: set[int], direction: str = "causes", depth: in
         frontier = found
         seen |= dict.fromkeys(found, level)
     out = spark.createDataFrame(sorted(seen.items()), "node long, depth int")
-    return _wide_trace(graph, out, here, there, level, depth) if frontier and level < depth else out
+    return _wide_trace(graph, out, here, there, level, depth) if frontier and (depth is None or level < depth) else out
 
 
-def _wide_trace(graph: DataFrame, seen: DataFrame, here: str, there: str, level: int, depth: int) -> DataFrame:
-    """The same walk with the visited set as a checkpointed table."""
+def _wide_trace(graph: DataFrame, seen: DataFrame, here: str, there: str, level: int, depth: int | None, until: int | None = None) -> DataFrame:
+    """The same walk with the visited set as a checkpointed table; to the end if `depth` is None, or until a node is met."""
     if not seen.sparkSession.sparkContext.getCheckpointDir():
         raise ValueError("a trace of this width needs spark.checkpoint.dir")
     seen = seen.checkpoint()
-    while level < depth:
+    while depth is None or level < depth:
         level += 1
         frontier = seen.where(F.col("depth") == level - 1).select(F.col("node").alias(here))
         found = graph.join(frontier, here, "left_semi").select(F.col(there).alias("node")).distinct()
@@ -78,6 +80,8 @@ def _wide_trace(graph: DataFrame, seen: DataFrame, here: str, there: str, level:
         if fresh.isEmpty():
             break
         seen = seen.unionByName(fresh).checkpoint()
+        if until is not None and fresh.where(F.col("node") == until).take(1):
+            break
     return seen
 
 
@@ -87,55 +91,114 @@ def traced_edges(graph: DataFrame, visited: DataFrame, depth: int, direction: st
     return graph.join(visited.where(F.col("depth") < depth).select(F.col("node").alias(here)), here, "left_semi").select("cause", "effect")
 
 
-def is_ancestor(graph: DataFrame, ancestor: int, event: int, bound: int = 10_000) -> bool:
-    """Whether `ancestor` is `event` or one of its direct or indirect causes. Stops at the level that finds it; a walk
-    that grows beyond FRONTIER_LIMIT nodes goes on as a table."""
+def is_ancestor(graph: DataFrame, ancestor: int, event: int) -> bool:
+    """Whether `ancestor` is `event` or one of its direct or indirect causes, however far. Stops at the level that finds it,
+    or when no new cause is left; a walk that grows beyond FRONTIER_LIMIT nodes goes on as a table."""
     if ancestor == event:
         return True
     frontier, seen = {event}, {event}
-    for _ in range(bound):
-        if not frontier:
-            return False
+    while frontier:
         found = _step(graph, frontier, "effect", "cause") - seen
         if ancestor in found:
             return True
+        if len(seen) + len(found) > FRONTIER_LIMIT:  # the last step may have been cut short: it is taken again below
+            rows = [(x, 1) for x in sorted(seen - frontier)] + [(x, 2) for x in sorted(frontier)]
+            start = graph.sparkSession.createDataFrame(rows, "node long, depth int")
+            return bool(_wide_trace(graph, start, "effect", "cause", 2, None, ancestor).where(F.col("node") == ancestor).take(1))
         seen |= found
         frontier = found
-        if len(seen) > FRONTIER_LIMIT:
-            start = graph.sparkSession.createDataFrame([(x, 0) for x in sorted(seen)], "node long, depth int")
-            return bool(_wide_trace(graph, start, "effect", "cause", 0, bound).where(F.col("node") == ancestor).take(1))
     return False
 
 
+def _peel(edges: list[tuple[int, int]]) -> dict[int, int] | None:
+    """Level of every node of the edges (cause, effect); None if there is a cycle."""
+    effects: dict[int, list[int]] = {}
+    waiting: dict[int, int] = {}
+    for c, e in edges:
+        effects.setdefault(c, []).append(e)
+        waiting[e] = waiting.get(e, 0) + 1
+    front, level, out = [c for c in effects if c not in waiting], 0, {}
+    while front:
+        out |= dict.fromkeys(front, level)
+        level, following = level + 1, []
+        for c in front:
+            for e in effects.get(c, ()):
+                waiting[e] -= 1
+                if not waiting[e]:
+                    following.append(e)
+        front = following
+    return out if len(out) == len(effects.keys() | waiting.keys()) else None
+
+
 def topological_levels(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, level: longest path from a root, so every cause has a smaller level than its effects. nodes: node.
 
-    Relaxation by levels, checkpointed now and then; a graph with a cycle never settles and raises CycleError once more
-    levels than nodes have been seen.
+    Roots are peeled off, level by level, and their edges with them; edges that remain when nothing can be peeled are a
+    cycle, and raise CycleError at once. A graph of FRONTIER_LIMIT edges or less is peeled by the driver; a larger one by
+    joins that read the remaining edges only, which are checkpointed each round (persisted, and released, where no
+    checkpoint folder is set).
     """
     spark = graph.sparkSession
-    levels = nodes.select("node", F.lit(0).alias("level"))
-    limit, rounds, before = None, 0, None
-    while True:
-        raised = graph.join(levels, graph["cause"] == levels["node"]).groupBy("effect").agg((F.max("level") + 1).alias("up"))
-        levels = levels.join(raised, levels["node"] == raised["effect"], "left").select("node", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level"))
-        rounds += 1
-        if spark.sparkContext.getCheckpointDir():
-            levels = levels.checkpoint()
-        else:
-            levels = levels.persist()
-        total = levels.agg(F.sum("level")).first()[0]
-        if total == before:
-            return levels
-        before = total
-        limit = limit if limit is not None else nodes.count()
-        if rounds > limit + 1:
+    few = graph.select("cause", "effect").distinct().limit(FRONTIER_LIMIT + 1).collect()
+    if len(few) <= FRONTIER_LIMIT:
+        levels = _peel([(r["cause"], r["effect"]) for r in few])
+        if levels is None:
+            raise CycleError("the graph has a cycle")
+        found = spark.createDataFrame(list(levels.items()), "node long, level int")
+        return nodes.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("level", F.lit(0)).alias("level"))
+    durable, level = bool(spark.sparkContext.getCheckpointDir()), 0
+    keep = lambda df: df.checkpoint() if durable else df.persist()
+    left, rest = keep(nodes.select("node").distinct()), keep(graph.select("cause", "effect").distinct())
+    out, held = None, []
+    while not rest.isEmpty():
+        roots = keep(left.join(rest.select(F.col("effect").alias("node")).distinct(), "node", "left_anti"))
+        causes = rest.select("cause").distinct().join(rest.select(F.col("effect").alias("cause")).distinct(), "cause", "left_anti")
+        later = keep(rest.join(causes, "cause", "left_anti"))
+        if causes.isEmpty():
             raise CycleError("the graph has a cycle")
+        out = roots.withColumn("level", F.lit(level)) if out is None else out.unionByName(roots.withColumn("level", F.lit(level)))
+        held += [left, rest]
+        left, rest, level = keep(left.join(roots, "node", "left_anti")), later, level + 1
+    last = left.withColumn("level", F.lit(level))
+    out = keep(last if out is None else out.unionByName(last))
+    if not durable:
+        out.count()
+        for df in held:
+            df.unpersist()
+    return out
 
 
-def csr(graph: DataFrame) -> DataFrame:
-    """effect, causes (ascending): the adjacency rows of a compressed sparse matrix; a running sum of sizes gives offsets."""
-    return graph.groupBy("effect").agg(F.array_sort(F.collect_set("cause")).alias("causes"))
+def topological_order(graph: DataFrame, nodes: DataFrame, span: int = 1_000_000) -> DataFrame:
+    """node, level, place: an order from 0 in which every cause comes before its effects: by level, then by id."""
+    levels = topological_levels(graph, nodes)
+    return numbered(levels, F.struct("level", F.expr(f"node div {span}").alias("part")), [F.col("node")], "place")
+
+
+def add_edges(graph: DataFrame, new: DataFrame) -> DataFrame:
+    """The graph with new edges (cause, effect; repeated ones count once), or a CycleError that names none of them added.
+
+    A new cycle runs through a new edge, so only what the new effects reach is examined.
+    """
+    both = graph.select("cause", "effect").unionByName(new.select("cause", "effect")).distinct()
+    start = {r[0] for r in new.select("effect").distinct().limit(FRONTIER_LIMIT + 1).collect()}
+    if len(start) > FRONTIER_LIMIT:
+        raise ValueError(f"add the causes of {FRONTIER_LIMIT} events at most at a time")
+    reached = walk(both, start, "effects", None)
+    inner = both.join(reached.select(F.col("node").alias("cause")), "cause", "left_semi")
+    topological_levels(inner, reached.select("node"))
+    return both
+
+
+def csr(graph: DataFrame, span: int = 1_000_000) -> DataFrame:
+    """effect, causes (ascending), start: the rows of a compressed sparse matrix, and where each begins in the array of all
+    causes in order of their effects. Offsets are summed within spans of effects and shifted by the spans' totals."""
+    rows = graph.groupBy("effect").agg(F.array_sort(F.collect_set("cause")).alias("causes")).withColumn("_span", F.expr(f"effect div {span}"))
+    totals = rows.groupBy("_span").agg(F.sum(F.size("causes")).alias("n"))
+    ahead = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_span", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_first"))  # one row a span
+    inside = Window.partitionBy("_span").orderBy("effect").rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.withColumn("_before", F.coalesce(F.sum(F.size("causes")).over(inside), F.lit(0))).join(starts, "_span")
+    return own.select("effect", "causes", (F.col("_first") + F.col("_before")).alias("start"))
 
 
 #: Fixed schema ids of the consumer's events.

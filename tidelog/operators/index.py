@@ -42,12 +42,18 @@ def block_summaries(events: DataFrame, block: Column, bloom: bool = False) -> Da
 
 
 def segment_summaries(blocks: DataFrame, segment: Column) -> DataFrame:
-    """Blocks rolled up into segments."""
-    return blocks.withColumn("segment", segment).groupBy("segment").agg(
+    """Blocks rolled up into segments: every range, clock, mask and, if the blocks have them, Bloom filter, so that
+    `must_scan` applies to segments as it does to blocks."""
+    own = blocks.withColumn("segment", segment)
+    out = own.groupBy("segment").agg(
         F.count(F.lit(1)).alias("blocks"), F.sum("records").alias("records"), F.min("first").alias("first"), F.max("last").alias("last"),
-        F.min("valid_min").alias("valid_min"), F.max("valid_max").alias("valid_max"), F.min("known_min").alias("known_min"), F.max("known_max").alias("known_max"),
+        *[f(f"{axis}_{n}").alias(f"{axis}_{n}") for axis in ("valid", "known", "valid_clock", "known_clock", "entity") for n, f in (("min", F.min), ("max", F.max))],
         F.bit_or("schema_mask").alias("schema_mask"),
     )
+    if "bloom" not in blocks.columns:
+        return out
+    blooms = own.select("segment", F.explode("bloom").alias("bit")).groupBy("segment").agg(F.collect_set("bit").alias("bloom"))
+    return out.join(blooms, "segment")
 
 
 def must_scan(flt: HistoryFilter, blooms: bool = False) -> Column:
@@ -77,18 +83,27 @@ def pruned_history(events: DataFrame, block: Column, summaries: DataFrame, flt:
     return events.withColumn("block", block).join(kept, "block", "left_semi").where(flt.column()).drop("block")
 
 
-def by_entity(events: DataFrame) -> DataFrame:
-    """entity, sequences (ascending)."""
-    return events.groupBy("shard", "slot", "generation").agg(F.array_sort(F.collect_list("sequence")).alias("sequences"))
+#: Sequences that one row of a posting list covers, so that a key's share of a long log never is one row.
+LIST_SPAN = 1 << 17
 
 
-def by_schema(events: DataFrame) -> DataFrame:
-    return events.groupBy("schema_id").agg(F.array_sort(F.collect_list("sequence")).alias("sequences"))
+def _lists(events: DataFrame, span: int, *keys: Column | str) -> DataFrame:
+    return events.groupBy(*keys, F.expr(f"sequence div {span}").alias("span")).agg(F.array_sort(F.collect_list("sequence")).alias("sequences"))
 
 
-def by_chunk(events: DataFrame, x: str, y: str, size: int) -> DataFrame:
-    """chunk_code, sequences: the posting lists of a chunked plane, in Z order when sorted by code."""
-    return events.groupBy(chunk_code(F.col(x), F.col(y), size).alias("chunk_code")).agg(F.array_sort(F.collect_list("sequence")).alias("sequences"))
+def by_entity(events: DataFrame, span: int = LIST_SPAN) -> DataFrame:
+    """entity, span, sequences (ascending): the posting lists of entities, one row for each span of sequences."""
+    return _lists(events, span, "shard", "slot", "generation")
+
+
+def by_schema(events: DataFrame, span: int = LIST_SPAN) -> DataFrame:
+    """schema_id, span, sequences."""
+    return _lists(events, span, "schema_id")
+
+
+def by_chunk(events: DataFrame, x: str, y: str, size: int, span: int = LIST_SPAN) -> DataFrame:
+    """chunk_code, span, sequences: the posting lists of a chunked plane, in Z order when sorted by code."""
+    return _lists(events, span, chunk_code(F.col(x), F.col(y), size).alias("chunk_code"))
 
 
 def at_times(events: DataFrame, clock: int, start: int, end: int) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators.admit import MAX_RECORDS
 from tidelog.operators.causal import FRONTIER_LIMIT, walk
+from tidelog.operators.spans import SPAN, nth_smallest
 
 #: Fixed antonyms; matched as substrings, so "inactive" also holds "active".
 ANTONYMS = (("true", "false"), ("alive", "dead"), ("active", "inactive"), ("healthy", "critical"), ("open", "closed"))
@@ -22,7 +24,10 @@ def checked_confidence(confidence: Column) -> Column:
 
 
 def record(items: DataFrame, new: DataFrame, order: str) -> DataFrame:
-    """A batch of new observations, claims or rules appended with the next ids, in the order of a column (new: one batch)."""
+    """A batch of new observations, claims or rules appended with the next ids, in the order of a column. new: one batch, of
+    MAX_RECORDS rows at most, which one task numbers."""
+    if len(new.select(order).limit(MAX_RECORDS + 1).collect()) > MAX_RECORDS:
+        raise ValueError(f"record {MAX_RECORDS} items at most at a time")
     last = items.agg(F.max("id")).first()[0]
     numbered = new.withColumn("id", F.row_number().over(Window.orderBy(order)) + F.lit(0 if last is None else last).cast("long"))
     return items.unionByName(numbered.select(*items.columns))
@@ -42,32 +47,69 @@ def contradictions(beliefs: DataFrame) -> DataFrame:
     Pairs are never formed blindly: negations meet by equality of the proposition, and antonyms by the words they hold, so
     a pair is only compared if it contradicts. (Contradicting pairs themselves are the output and may be many.)
     """
-    own = beliefs.select("id", normal(F.col("proposition")).alias("p"))
-    tags = F.concat(F.array(F.concat(F.lit("="), F.col("p"))), F.array_compact(F.array(*[F.when(F.col("p").contains(w), F.lit(f"#{w}")) for pair in ANTONYMS for w in pair])))
-    asks = F.concat(F.array(F.concat(F.lit("=not "), F.col("p"))), F.array_compact(F.array(*[F.when(F.col("p").contains(x), F.lit(f"#{y}")) for x, y in ANTONYMS])))
-    left = own.select(F.col("id").alias("a"), F.explode(asks).alias("tag"))
-    right = own.select(F.col("id").alias("b"), F.explode(tags).alias("tag"))
+    rows = _tagged(beliefs)
+    left = rows.where("asks").select(F.col("id").alias("a"), "tag")
+    right = rows.where("not asks").select(F.col("id").alias("b"), "tag")
     pairs = left.join(right, "tag").where("a <> b")
     return pairs.select(F.least("a", "b").alias("item_a"), F.greatest("a", "b").alias("item_b")).distinct()
 
 
+def _tagged(beliefs: DataFrame) -> DataFrame:
+    """id, tag, asks: two beliefs contradict each other if one asks for a tag that the other holds."""
+    own = beliefs.select("id", normal(F.col("proposition")).alias("p"))
+    tags = F.concat(F.array(F.concat(F.lit("="), F.col("p"))), F.array_compact(F.array(*[F.when(F.col("p").contains(w), F.lit(f"#{w}")) for w in sorted({w for pair in ANTONYMS for w in pair})])))
+    asks = F.concat(F.array(F.concat(F.lit("=not "), F.col("p"))), F.array_compact(F.array(*[F.when(F.col("p").contains(x), F.lit(f"#{y}")) for x, y in ANTONYMS])))
+    return own.select("id", F.explode(tags).alias("tag"), F.lit(False).alias("asks")).unionByName(own.select("id", F.explode(asks).alias("tag"), F.lit(True).alias("asks")))
+
+
+def challengers(beliefs: DataFrame, span: int = SPAN) -> DataFrame:
+    """id, by: the first later belief that contradicts each belief that has one.
+
+    No pair is formed: for each tag, ids are looked through in spans, and a span's first asker and holder serve all spans
+    before it. A tag that every belief holds costs as many rows as there are beliefs.
+    """
+    rows = _tagged(beliefs).withColumn("span", F.expr(f"id div {span}"))
+    rows = rows.withColumns({"asker": F.when(F.col("asks"), F.col("id")), "holder": F.when(~F.col("asks"), F.col("id"))})
+    later = Window.partitionBy("tag", "span").orderBy(F.col("id").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    beyond = Window.partitionBy("tag").orderBy(F.col("span").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = rows.groupBy("tag", "span").agg(F.min("asker").alias("asker"), F.min("holder").alias("holder"))
+    firsts = firsts.select("tag", "span", F.min("asker").over(beyond).alias("next_asker"), F.min("holder").over(beyond).alias("next_holder"))
+    seen = rows.select("id", "tag", "span", "asks", F.min("asker").over(later).alias("asker"), F.min("holder").over(later).alias("holder")).join(firsts, ["tag", "span"])
+    by = F.when(F.col("asks"), F.coalesce("holder", "next_holder")).otherwise(F.coalesce("asker", "next_asker"))
+    return seen.groupBy("id").agg(F.min(by).alias("by")).where("by is not null")
+
+
 def infer(beliefs: DataFrame, conflicts: DataFrame | None = None) -> DataFrame:
     """Adds status after inferring all beliefs in order of their ids, each against those active by then.
 
     A belief stays active until the first later one that conflicts with it (its challenger); a new belief starts
-    contradicted exactly if it is the challenger of one that started active. Challengers form a forest, whose nodes are
-    settled from the leaves, a level a round; every step is a join, and beliefs without conflicts take no part.
+    contradicted exactly if it is the challenger of one that started active. Challengers form a forest. A node with a
+    child that began active is settled, and one whose children all began contradicted; a node that waits for one child
+    only began as the opposite of that child, and such chains are followed by doubling, so rounds grow with the logarithm
+    of the forest's depth. Beliefs without conflicts take no part. conflicts: (item_a < item_b), else contradictions.
     """
-    pairs = contradictions(beliefs) if conflicts is None else conflicts
-    challenger = pairs.groupBy("item_a").agg(F.min("item_b").alias("by")).withColumnRenamed("item_a", "id")
-    nodes = pairs.select(F.explode(F.array("item_a", "item_b")).alias("id")).distinct().join(challenger, "id", "left")
+    if conflicts is None:
+        challenger = challengers(beliefs)
+    else:
+        challenger = conflicts.groupBy("item_a").agg(F.min("item_b").alias("by")).withColumnRenamed("item_a", "id")
     durable = bool(beliefs.sparkSession.sparkContext.getCheckpointDir())
     keep = lambda df: df.checkpoint() if durable else df.persist()
-    state = keep(nodes.withColumn("began", F.lit(None).cast("boolean")))
+    challenger = keep(challenger)
+    nodes = challenger.select("id").unionByName(challenger.select(F.col("by").alias("id"))).distinct().join(challenger, "id", "left")
+    none = F.lit(None)
+    state = keep(nodes.withColumns({"began": none.cast("boolean"), "of": none.cast("long"), "flip": none.cast("boolean")}))
     while not state.where("began is null").isEmpty():
-        below = state.where("by is not null").groupBy(F.col("by").alias("id")).agg(F.max("began").alias("any"), F.max(F.col("began").isNull()).alias("open"))
-        settled = F.when(F.coalesce("any", F.lit(False)), F.lit(False)).when(~F.coalesce("open", F.lit(False)), F.lit(True))
-        state = keep(state.join(below, "id", "left").select("id", "by", F.coalesce("began", settled).alias("began")))
+        open_ = F.col("began").isNull()
+        kids = state.where("by is not null").groupBy(F.col("by").alias("id")).agg(F.max("began").alias("any"), F.sum(open_.cast("int")).alias("open"), F.min(F.when(open_, F.col("id"))).alias("only"))
+        state = state.join(kids, "id", "left")
+        settled = F.when(F.coalesce("any", F.lit(False)), F.lit(False)).when(F.coalesce("open", F.lit(0)) == 0, F.lit(True))
+        chain = F.col("of").isNull() & (F.col("open") == 1)
+        state = keep(state.select("id", "by", F.coalesce("began", settled).alias("began"), F.when(chain, F.col("only")).otherwise(F.col("of")).alias("of"), F.when(chain, F.lit(True)).otherwise(F.col("flip")).alias("flip")))
+        ends = state.select(F.col("id").alias("of"), F.col("began").alias("end_began"), F.col("of").alias("end_of"), F.col("flip").alias("end_flip"))
+        turn = lambda c: F.when(F.col("flip"), ~c).otherwise(c)
+        on = F.col("end_of").isNotNull()
+        joined = state.join(ends, "of", "left")
+        state = keep(joined.select("id", "by", F.coalesce("began", turn(F.col("end_began"))).alias("began"), F.when(on, F.col("end_of")).otherwise(F.col("of")).alias("of"), F.when(on, turn(F.col("end_flip"))).otherwise(F.col("flip")).alias("flip")))
     lost = state.where(~F.col("began") | F.col("by").isNotNull()).select("id", F.lit(True).alias("_hit"))
     return beliefs.join(lost, "id", "left").withColumn("status", F.when(F.col("_hit"), "contradicted").otherwise("active")).drop("_hit")
 
@@ -83,28 +125,30 @@ def retract(beliefs: DataFrame, premises: DataFrame, ids: DataFrame) -> DataFram
     start = {r[0] for r in ids.select("node").distinct().limit(FRONTIER_LIMIT + 1).collect()}
     if len(start) > FRONTIER_LIMIT:
         raise ValueError(f"retract at most {FRONTIER_LIMIT} beliefs at a time")
-    gone = walk(links, start, "effects", beliefs.count() + 1)
+    gone = walk(links, start, "effects", None)
     links.unpersist()
     return beliefs.join(gone.withColumn("_gone", F.lit(True)), beliefs["id"] == gone["node"], "left").withColumn("status", F.when(F.col("_gone"), "retracted").otherwise(F.col("status"))).drop("_gone", "node", "depth")
 
 
-def why(beliefs: DataFrame, premises: DataFrame, target: int, depth: int = 64) -> DataFrame:
-    """node, parent, depth, path: the provenance tree of a belief; a shared premise occurs on each path to it.
+def why(beliefs: DataFrame, premises: DataFrame, target: int) -> DataFrame:
+    """node, parent, depth, path: the provenance tree of a belief, however deep; a shared premise occurs on each path to it.
 
-    Only premises that are beliefs are followed, and a path never repeats a node.
+    Only premises that are beliefs are followed, and a path never repeats a node. Each level is checkpointed where a
+    folder is set for that.
     """
     root = beliefs.where(F.col("id") == target).select(F.col("id").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(0).alias("depth"), F.array("id").alias("path"))
     if root.isEmpty():
         raise LookupError(f"no belief {target}")
     known = premises.join(beliefs.select(F.col("id").alias("premise")), "premise", "left_semi")
-    out = level = root
-    for d in range(1, depth + 1):
+    durable, d, out, level = bool(beliefs.sparkSession.sparkContext.getCheckpointDir()), 0, root, root
+    while True:
+        d += 1
         level = level.join(known, level["node"] == known["id"]).where(~F.array_contains("path", F.col("premise")))
-        level = level.select(F.col("premise").alias("node"), F.col("node").alias("parent"), F.lit(d).alias("depth"), F.concat("path", F.array("premise")).alias("path")).persist()
+        level = level.select(F.col("premise").alias("node"), F.col("node").alias("parent"), F.lit(d).alias("depth"), F.concat("path", F.array("premise")).alias("path"))
+        level = level.checkpoint() if durable else level.persist()
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
-    return out
 
 
 def active_as_of(beliefs: DataFrame, cutoff: int) -> DataFrame:
@@ -128,12 +172,16 @@ def brier(predictions: DataFrame, cutoff: int) -> DataFrame:
 
 
 def evict(items: DataFrame, most: int) -> DataFrame:
-    """Adds tier: of the active items (id, accesses) the least used, then lowest ids, above `most` go to the archive."""
+    """Adds tier: of the active items (id, accesses) the least used, then lowest ids, above `most` go to the archive.
+
+    The last one to go is found by counts, so nothing is sorted."""
     total = items.count()
     if total <= most:
         return items.withColumn("tier", F.lit("active"))
-    cut = items.orderBy("accesses", "id").limit(total - most).select("id", F.lit(True).alias("_out"))
-    return items.join(cut, "id", "left").withColumn("tier", F.when(F.col("_out"), "archive").otherwise("active")).drop("_out")
+    used, below = nth_smallest(items, "accesses", total - most)
+    last, _ = nth_smallest(items.where(F.col("accesses") == used), "id", total - most - below)
+    out = (F.col("accesses") < used) | ((F.col("accesses") == used) & (F.col("id") <= last))
+    return items.withColumn("tier", F.when(out, "archive").otherwise("active"))
 
 
 def consolidate(observations: DataFrame, label: str, signature: str, pattern: int) -> tuple[DataFrame, DataFrame]:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.model import ENTITY
+from tidelog.operators.spans import carried
 
 _MASK = (1 << 64) - 1
 
@@ -72,17 +73,9 @@ def load_snapshot(spark: SparkSession, path: str, target: int) -> tuple[int, Dat
 def checkpoints_as_of(targets: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """target, checkpoint: the as-of join of many targets with a table of checkpoints (null: none before).
 
-    Both are put on one axis and cut into spans; within a span the last checkpoint seen is carried forward, and each span
-    starts from the largest checkpoint of the spans before it, so no task orders the whole axis.
+    Both are put on one axis and cut into spans (see spans.carried), so no task orders the whole axis.
     """
-    span = 1_000_000
-    both = targets.select("target", F.col("target").alias("at"), F.lit(None).cast("long").alias("cp")).unionByName(checkpoints.select(F.lit(None).cast("long").alias("target"), F.col("checkpoint").alias("at"), F.col("checkpoint").alias("cp")))
-    both = both.withColumn("span", F.expr(f"at div {span}"))
-    inside = Window.partitionBy("span").orderBy("at", F.col("cp").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    starts = both.groupBy("span").agg(F.max("cp").alias("most")).select("span", F.max("most").over(ahead).alias("carried"))  # one row a span
-    seen = both.withColumn("here", F.max("cp").over(inside)).join(starts, "span")
-    return seen.where("target is not null").select("target", F.coalesce("here", "carried").alias("checkpoint"))
+    return carried(targets.select("target"), "target", checkpoints, "checkpoint", F.col("checkpoint"), "checkpoint")
 
 
 def resolve_handles(entities: DataFrame, handles: DataFrame) -> DataFrame:
@@ -108,22 +101,41 @@ def state_from_checkpoint(state: DataFrame, checkpoint: int, events: DataFrame,
 def reduce_entities(events: DataFrame, reducer: Callable[[dict | None, dict], dict | None], columns: list[str], schema: str) -> DataFrame:
     """A user's fold over each entity's events in sequence order; the state after the last event, unless it is None.
 
-    One entity's events are one task's unit and are read in Arrow batches; the state is all that is kept.
+    Events are dealt by entity and sorted within partitions, then read in batches; of an entity only the state is kept, so
+    a history may be longer than a task's memory.
     """
+    names = [f.strip().split()[0] for f in schema.split(",")]
 
-    def fold(key: tuple, batches) -> pd.DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: tuple | None = None
         state: dict | None = None
         for pdf in batches:
-            for row in pdf.sort_values("sequence").to_dict("records"):
+            rows = []
+            for row in pdf.to_dict("records"):
+                key = tuple(row[c] for c in ENTITY)
+                if key != now:
+                    if state is not None:
+                        rows.append(dict(zip(ENTITY, now, strict=True)) | state)
+                    now, state = key, None
                 state = reducer(state, row)
-        return pd.DataFrame([] if state is None else [dict(zip(ENTITY, key, strict=True)) | state], columns=[*ENTITY, *names])
+            yield pd.DataFrame(rows, columns=[*ENTITY, *names])
+        if state is not None:
+            yield pd.DataFrame([dict(zip(ENTITY, now, strict=True)) | state], columns=[*ENTITY, *names])
+
+    dealt = events.select(*ENTITY, "sequence", *columns).repartition(*ENTITY).sortWithinPartitions(*ENTITY, "sequence")
+    return dealt.mapInPandas(run, f"shard long, slot long, generation long, {schema}")
 
-    names = [f.strip().split()[0] for f in schema.split(",")]
 
-    def whole(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return fold(key, [pdf])
+#: Fixed: the last generation of a slot.
+LAST_GENERATION = (1 << 32) - 1
 
-    return events.select(*ENTITY, "sequence", *columns).groupBy(*ENTITY).applyInPandas(whole, f"shard long, slot long, generation long, {schema}")
+
+def next_handles(entities: DataFrame, last: int = LAST_GENERATION) -> DataFrame:
+    """shard, slot, generation, retired: the handle that each slot's next entity gets; a slot whose generations are used up
+    is retired and has none."""
+    newest = entities.groupBy("shard", "slot").agg(F.max("generation").alias("newest"))
+    retired = F.col("newest") >= last
+    return newest.select("shard", "slot", F.when(~retired, F.col("newest") + 1).alias("generation"), retired.alias("retired"))
 
 
 class SplitMix:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators.causal import topological_levels
+from tidelog.operators.spans import carried, nth_smallest, numbered
+
 #: Fixed task classes, by priority, and pressure thresholds in percent.
 CLASSES = {"maintenance": 0, "summary": 1, "index": 2, "compress": 3, "seal": 4}
 LEVELS = (("critical", 90), ("high", 70), ("moderate", 40))
@@ -25,11 +28,7 @@ def partition_sequences(routed: DataFrame, span: int = 1_000_000) -> DataFrame:
     Rows are ranked within spans of the global sequence and shifted by the counts of earlier spans, so a shard may be any
     size without one task ordering it.
     """
-    own = routed.withColumn("_span", F.expr(f"sequence div {span}"))
-    before = Window.partitionBy("vshard").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    starts = own.groupBy("vshard", "_span").agg(F.count(F.lit(1)).alias("_n")).select("vshard", "_span", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    ranked = own.withColumn("_rank", F.row_number().over(Window.partitionBy("vshard", "_span").orderBy("sequence")) - 1)
-    return ranked.join(starts, ["vshard", "_span"]).withColumn("local_sequence", F.col("_start") + F.col("_rank")).drop("_span", "_rank", "_start")
+    return numbered(routed, F.expr(f"sequence div {span}"), [F.col("sequence")], "local_sequence", ["vshard"])
 
 
 def shard_filter(entity: Column | None = None, schema: int | None = None, clock: int | None = None, low: int | None = None, high: int | None = None) -> Column:
@@ -51,6 +50,12 @@ def fan_out(routed: DataFrame, predicate: Column) -> DataFrame:
     return routed.where(predicate).orderBy("valid_clock", "valid_ticks", "source", "epoch", "sequence", "vshard")
 
 
+def merge_places(merged: DataFrame, span: int) -> DataFrame:
+    """Adds place: the position of each row of `fan_out` in its order, numbered within spans of valid ticks."""
+    order = [F.col(c) for c in ("valid_ticks", "source", "epoch", "sequence", "vshard")]
+    return numbered(merged, F.struct("valid_clock", F.expr(f"valid_ticks div {span}").alias("part")), order, "place")
+
+
 def ready_tasks(tasks: DataFrame, dependencies: DataFrame) -> DataFrame:
     """Pending tasks (id, class, status) whose dependencies (id, needs) are all completed; highest class first, then id."""
     done = tasks.where("status = 'completed'").select(F.col("id").alias("needs"))
@@ -58,6 +63,13 @@ def ready_tasks(tasks: DataFrame, dependencies: DataFrame) -> DataFrame:
     return tasks.where("status = 'pending'").join(blocked, "id", "left_anti").orderBy(F.col("class").desc(), "id")
 
 
+def check_tasks(tasks: DataFrame, dependencies: DataFrame) -> None:
+    """Raises if a task depends on one that does not exist, or, through others, on itself."""
+    if missing := missing_dependencies(tasks, dependencies).take(1):
+        raise LookupError(f"task {missing[0]['id']} needs {missing[0]['needs']}, which does not exist")
+    topological_levels(dependencies.select(F.col("needs").alias("cause"), F.col("id").alias("effect")), tasks.select(F.col("id").alias("node")))
+
+
 def missing_dependencies(tasks: DataFrame, dependencies: DataFrame) -> DataFrame:
     """Dependencies on tasks that do not exist: none may be registered."""
     return dependencies.join(tasks.select(F.col("id").alias("needs")), "needs", "left_anti")
@@ -110,7 +122,7 @@ def reclaimable(events: DataFrame, now: int, max_age: int | None = None, max_eve
     """Sequences past the age limit (on valid time) or among the oldest above the count limit, less the held ranges.
 
     The cut for the count is one sequence number: logs are contiguous, so it follows from the count and the smallest one;
-    otherwise an approximate quantile would be no proof, and the exact one is selected by a range-partitioned sort.
+    otherwise it is narrowed down by counts.
     """
     out = F.lit(False)
     if max_age is not None:
@@ -122,8 +134,7 @@ def reclaimable(events: DataFrame, now: int, max_age: int | None = None, max_eve
             if facts["last"] - facts["first"] + 1 == facts["n"]:
                 out |= F.col("sequence") < facts["first"] + excess
             else:
-                cut = events.select("sequence").orderBy("sequence").limit(excess).agg(F.max("sequence")).first()[0]
-                out |= F.col("sequence") <= cut
+                out |= F.col("sequence") <= nth_smallest(events.select("sequence"), "sequence", excess)[0]
     kept = F.lit(False)
     for first, last in holds or []:
         kept |= F.col("sequence").between(first, last)
@@ -131,8 +142,26 @@ def reclaimable(events: DataFrame, now: int, max_age: int | None = None, max_eve
 
 
 def held(events: DataFrame, holds: DataFrame) -> DataFrame:
-    """Sequences that a table of holds (first, last) covers, for more holds than a condition should list."""
-    return events.join(holds, F.col("sequence").between(F.col("first"), F.col("last")), "left_semi").select("sequence")
+    """Sequences that a table of holds (first, last) covers, for more holds than a condition should list: those up to the
+    furthest end of the holds that begin at or before them."""
+    ends = carried(events.select("sequence"), "sequence", holds, "first", F.col("last"), "until")
+    return ends.where("sequence <= until").select("sequence")
+
+
+def branch_holds(branches: DataFrame) -> DataFrame:
+    """branch, first, last: what living branches need of their ancestors' events, up to each fork. One row a branch."""
+    rows = {r["id"]: r for r in branches.collect()}  # the branch table is a small control table
+    out = set()
+    for row in rows.values():
+        at, end = row, None
+        while row["lifecycle"] != "retired" and at["parent"] is not None:
+            end = at["fork_sequence"] if end is None else min(end, at["fork_sequence"])
+            parent = rows[at["parent"]]
+            first = 0 if parent["parent"] is None else parent["fork_sequence"] + 1
+            if first <= end:
+                out.add((at["parent"], first, end))
+            at = parent
+    return branches.sparkSession.createDataFrame(sorted(out), "branch long, first long, last long")
 
 
 def retired_prefix(frames: DataFrame, holds: list[tuple[int, int]] | None = None) -> DataFrame:
@@ -145,5 +174,7 @@ def retired_prefix(frames: DataFrame, holds: list[tuple[int, int]] | None = None
 
 
 def segment_of(sequences: DataFrame, manifest: DataFrame) -> DataFrame:
-    """The sealed segment (segment, first, last) that holds each sequence."""
-    return sequences.join(manifest, F.col("sequence").between(F.col("first"), F.col("last")), "left")
+    """The sealed segment (segment, first, last; segments do not overlap) that holds each sequence, or nulls."""
+    found = carried(sequences, "sequence", manifest, "first", F.struct("first", "last", "segment"), "_found")
+    hit = F.col("sequence") <= F.col("_found.last")
+    return found.select(*sequences.columns, *[F.when(hit, F.col(f"_found.{c}")).alias(c) for c in ("segment", "first", "last")])

@@ -79,7 +79,7 @@ Query = Scan | CausalTrace | SpatialScan
 
 @dataclass(frozen=True)
 class Budget:
-    """rows limits results; the others are advisory, since Spark spills instead of stopping."""
+    """rows limits results; pages enforce the others (see scan.page), whole queries do not, since Spark spills."""
 
     rows: int = 1000
     scanned: int = 100_000

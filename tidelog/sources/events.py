@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.model import EVENT
+from tidelog.operators.runtime import retired_prefix
 
 SCHEMA_IDS = {"click": 1, "error": 2, "purchase": 3, "signup": 4, "view": 5}
 SKEW_TICKS = 60_000_000
+SPAN = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,11 +51,20 @@ def bind_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_causes(events: DataFrame) -> DataFrame:
-    """Adds declared causes: the entity's previous event, and the event at half the sequence; both are earlier."""
-    previous = F.lag("sequence").over(Window.partitionBy("shard", "slot", "generation").orderBy("sequence"))
+    """Adds declared causes: the entity's previous event, and the event at half the sequence; both are earlier.
+
+    Previous events are found within spans of sequences, and across them by each span's last one, so that no task orders a
+    whole entity."""
+    span = F.expr(f"sequence div {SPAN}")
+    entity = ["shard", "slot", "generation"]
+    ends = events.groupBy(*entity, span.alias("_span")).agg(F.max("sequence").alias("_end"))
+    ends = ends.withColumn("_carried", F.lag("_end").over(Window.partitionBy(*entity).orderBy("_span"))).drop("_end")  # one row an entity and span
+    events = events.withColumn("_span", span).withColumn("_previous", F.lag("sequence").over(Window.partitionBy(*entity, "_span").orderBy("sequence")))
+    events = events.join(ends, [*entity, "_span"]).select(*[c for c in events.columns if c not in ("_span", "_previous")], F.coalesce("_previous", "_carried").alias("_previous"))
+    previous = F.col("_previous")
     half = F.when(F.col("sequence") > 0, F.expr("sequence div 2"))
     ids = F.array_sort(F.array_distinct(F.array_compact(F.array(previous, half))))
-    return events.withColumn("causes", F.transform(ids, lambda s: F.struct(F.lit(1).cast("long").alias("source"), F.lit(1).cast("long").alias("epoch"), s.alias("sequence"))))
+    return events.withColumn("causes", F.transform(ids, lambda s: F.struct(F.lit(1).cast("long").alias("source"), F.lit(1).cast("long").alias("epoch"), s.alias("sequence")))).drop("_previous")
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -63,7 +73,8 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 def write_log(events: DataFrame, path: str, bucket: int = 1_000_000, mode: str = "append") -> None:
     """Append in sequence order, partitioned by sequence bucket: time slices and sequence ranges skip files and row groups,
-    entity lookups skip pages by Bloom filter. Spark's commit makes the append atomic."""
+    entity lookups skip pages by Bloom filter. A failed append leaves nothing behind; readers that list the folder while
+    files are being committed may see some of them."""
     out = events.withColumn("seq_bucket", F.expr(f"sequence div {bucket}"))
     (
         out.repartitionByRange("seq_bucket", "sequence")
@@ -75,11 +86,89 @@ def write_log(events: DataFrame, path: str, bucket: int = 1_000_000, mode: str =
     )
 
 
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path for it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    own = jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(conf), own, jvm, conf
+
+
 def seal(spark: SparkSession, path: str, out: str, bucket: int = 1_000_000) -> DataFrame:
-    """Compact a log into sealed segments, one per sequence bucket, and return their manifest. Idempotent."""
-    write_log(read_log(spark, path).drop("seq_bucket"), out, bucket, "overwrite")
-    sealed = read_log(spark, out)
-    return sealed.groupBy("seq_bucket").agg(F.min("sequence").alias("first"), F.max("sequence").alias("last"), F.count(F.lit(1)).alias("records"))
+    """Write each complete sequence bucket of a log that is not sealed yet as one segment, and return the manifest of all.
+
+    A segment, once written, is never touched again; sealing twice does nothing. Buckets that still miss sequences stay.
+    """
+    log = read_log(spark, path).drop("seq_bucket").withColumn("seq_bucket", F.expr(f"sequence div {bucket}"))
+    full = log.groupBy("seq_bucket").agg(F.count_distinct("sequence").alias("n")).where(F.col("n") == bucket).select("seq_bucket")
+    fs, own, _, _ = _files(spark, out)
+    if fs.exists(own):
+        full = full.join(read_log(spark, out).select("seq_bucket").distinct(), "seq_bucket", "left_anti")
+    todo = [r[0] for r in full.collect()]  # buckets sealed by one call
+    if todo:
+        write_log(log.where(F.col("seq_bucket").isin(todo)).drop("seq_bucket"), out, bucket)
+    if not fs.exists(own):
+        return spark.createDataFrame([], "seq_bucket int, first long, last long, records long")
+    return read_log(spark, out).groupBy("seq_bucket").agg(F.min("sequence").alias("first"), F.max("sequence").alias("last"), F.count(F.lit(1)).alias("records"))
+
+
+def retire(spark: SparkSession, path: str, sealed: DataFrame, holds: list[tuple[int, int]] | None = None) -> list[int]:
+    """Delete the leading buckets of a log that are sealed (see `seal`; with the log's own bucket size) and not held, and name
+    them. What is deleted stays readable in its segments."""
+    fs, own, jvm, _ = _files(spark, path)
+    frames = read_log(spark, path).groupBy(F.col("seq_bucket").cast("long").alias("frame")).agg(F.min("sequence").alias("first"), F.max("sequence").alias("last"), F.count(F.lit(1)).alias("n"))
+    known = sealed.select(F.col("seq_bucket").cast("long").alias("frame"), F.col("records").alias("kept"))
+    frames = frames.join(known, "frame", "left").withColumn("sealed", F.coalesce(F.col("kept") >= F.col("n"), F.lit(False)))
+    gone = sorted(r["frame"] for r in retired_prefix(frames, holds).select("frame").collect())
+    for bucket in gone:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(own, f"seq_bucket={bucket}"), True)
+    return gone
+
+
+def backup(spark: SparkSession, path: str, out: str) -> DataFrame:
+    """Copy a log's files to a new folder, file by file through Hadoop, and write its manifest beside it (`out`.manifest),
+    which is returned; a copy that differs from its source is an error."""
+    fs, own, jvm, conf = _files(spark, path)
+    to, target, _, _ = _files(spark, out)
+    if to.exists(target):
+        raise FileExistsError(out)
+    if not jvm.org.apache.hadoop.fs.FileUtil.copy(fs, own, to, target, False, conf):
+        raise OSError(f"{path} could not be copied")
+    backup_manifest(spark, path).write.parquet(f"{out}.manifest")
+    made = spark.read.parquet(f"{out}.manifest")
+    if bad := verify_backup(made, backup_manifest(spark, out)).take(1):
+        raise OSError(f"{bad[0]['file']}: {bad[0]['problem']}")
+    return made
+
+
+def restore(spark: SparkSession, copy: str, path: str) -> DataFrame:
+    """Bring a backup back to a folder that does not exist yet, after checking it against its manifest, and read it."""
+    fs, own, jvm, conf = _files(spark, copy)
+    to, target, _, _ = _files(spark, path)
+    if to.exists(target):
+        raise FileExistsError(path)
+    if bad := verify_backup(spark.read.parquet(f"{copy}.manifest"), backup_manifest(spark, copy)).take(1):
+        raise OSError(f"{bad[0]['file']}: {bad[0]['problem']}")
+    if not jvm.org.apache.hadoop.fs.FileUtil.copy(fs, own, to, target, False, conf):
+        raise OSError(f"{copy} could not be copied")
+    return read_log(spark, path)
+
+
+def media_reference(rows: DataFrame, uri: Column, content: str) -> DataFrame:
+    """Adds uri, content_hash (SHA-256, lowercase hex) and byte_size of a content column (a string counts as UTF-8)."""
+    data = F.col(content).cast("binary")
+    return rows.withColumns({"uri": uri, "content_hash": F.sha2(data, 256), "byte_size": F.octet_length(data).cast("long")})
+
+
+def verify_media(references: DataFrame, contents: DataFrame, content: str = "content") -> DataFrame:
+    """uri, problem: referenced contents (uri, `content`) that are missing, or differ in size or hash."""
+    data = F.col(content).cast("binary")
+    own = contents.select("uri", F.sha2(data, 256).alias("_hash"), F.octet_length(data).cast("long").alias("_size"))
+    problem = (
+        F.when(F.col("_size").isNull(), "missing")
+        .when(F.col("_size") != F.col("byte_size"), "size differs")
+        .when(F.col("_hash") != F.col("content_hash"), "hash differs")
+    )
+    return references.join(own, "uri", "left").select("uri", problem.alias("problem")).where("problem is not null")
 
 
 def backup_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -112,7 +201,3 @@ def choose_encoding(measured: DataFrame) -> DataFrame:
 def columnar_export(events: DataFrame) -> DataFrame:
     """The seven integer columns of the Arrow interchange; call toArrow() on it."""
     return events.select("sequence", "shard", "slot", "generation", "schema_id", "valid_ticks", "known_ticks")
-
-
-def empty_log(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], EVENT)
