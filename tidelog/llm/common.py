@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Whole texts go to Python in batches of this many rows, unless the session asks for less: Spark's usual 10,000 texts at a
+#: time are held several times over, outside the heap and in each worker.
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -86,4 +90,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     here = str(Path(__file__).resolve().parents[2])
     if spark.sparkContext.master.startswith("local["):  # workers must find this package wherever the session was started
         spark.sparkContext.environment.setdefault("PYTHONPATH", here)
+    if not 0 < int(spark.conf.get(BATCH_KEY)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
