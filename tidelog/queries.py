@@ -5,7 +5,7 @@ All run on whole tables. `EV` is the SQL twin of tidelog.sources.events.bind_eve
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.engine import Engine
@@ -235,7 +235,13 @@ def slab_handles(spark, sf_dir):
     return replay.resolve_handles(events, handles)
 
 
-@query(None)
+_M64 = "18446744073709551616::UHUGEINT"
+
+
+@query(f"""WITH s0 AS (SELECT i::BIGINT AS step, ((42::UHUGEINT + {replay.SplitMix.GAMMA}::UHUGEINT * (i + 2)::UHUGEINT) % {_M64})::UBIGINT AS z FROM range(0, 1000) t(i)),
+s1 AS (SELECT step, ((xor(z, z >> 30)::UHUGEINT * {replay.SplitMix.FIRST}::UHUGEINT) % {_M64})::UBIGINT AS z FROM s0),
+s2 AS (SELECT step, ((xor(z, z >> 27)::UHUGEINT * {replay.SplitMix.SECOND}::UHUGEINT) % {_M64})::UBIGINT AS z FROM s1)
+SELECT step, (xor(z, z >> 31) >> 11)::DOUBLE / {1 << 53} AS value FROM s2""")
 def random_stream(spark, sf_dir):
     return replay.random_stream(spark, 42, 1000)
 
@@ -246,11 +252,22 @@ def block_summary(spark, sf_dir):
     return blocks.select("block", "records", "first", "last", "valid_min", "valid_max", "known_min", "known_max", F.col("entity_min.shard").alias("shard_min"), F.col("entity_max.shard").alias("shard_max"), "schema_mask")
 
 
-@query(f"WITH {EV} SELECT sequence // 2500 AS segment, count(DISTINCT sequence // 250) AS blocks, count(*) AS records, min(sequence) AS first, max(sequence) AS last, min(valid_ticks) AS valid_min, max(valid_ticks) AS valid_max, min(known_ticks) AS known_min, max(known_ticks) AS known_max, bit_or(1::BIGINT << schema_id::INT) AS schema_mask FROM ev GROUP BY segment")
+@query(f"""WITH {EV} SELECT sequence // 2500 AS segment, count(DISTINCT sequence // 250) AS blocks, count(*) AS records, min(sequence) AS first, max(sequence) AS last, min(valid_ticks) AS valid_min, max(valid_ticks) AS valid_max, min(known_ticks) AS known_min, max(known_ticks) AS known_max,
+  min(valid_clock) AS valid_clock_min, max(known_clock) AS known_clock_max, min(shard * 1000000 + slot) AS entity_min, max(shard * 1000000 + slot) AS entity_max, bit_or(1::BIGINT << schema_id::INT) AS schema_mask FROM ev GROUP BY segment""")
 def segment_summary(spark, sf_dir):
     blocks = index.block_summaries(bind_events(spark, sf_dir), F.expr("sequence div 250"))
-    out = index.segment_summaries(blocks, F.expr("block div 10"))
-    return out.withColumn("records", F.col("records").cast("long"))
+    out = index.segment_summaries(blocks, F.expr("block div 10")).withColumn("records", F.col("records").cast("long"))
+    ends = {f"entity_{n}": F.col(f"entity_{n}.shard") * 1000000 + F.col(f"entity_{n}.slot") for n in ("min", "max")}
+    return out.withColumns(ends).drop("valid_clock_max", "known_clock_min")
+
+
+@query(f"WITH {EV}, {SPAN} SELECT sequence, slot FROM ev, span WHERE shard = 5 AND slot = 13 AND known_ticks <= b")
+def segment_pruning(spark, sf_dir):
+    """A scan through the Bloom filters and ranges of segments; equal to the full scan."""
+    _, b, _ = _span(spark, sf_dir)
+    events = bind_events(spark, sf_dir)
+    segments = index.segment_summaries(index.block_summaries(events, F.expr("sequence div 250"), bloom=True), F.expr("block div 4")).withColumnRenamed("segment", "block")
+    return index.pruned_history(events, F.expr("sequence div 250 div 4"), segments, scan.HistoryFilter(EntityId(5, 13, 0), known_as_of=b)).select("sequence", "slot")
 
 
 @query(f"WITH {EV}, {SPAN} SELECT sequence, slot FROM ev, span WHERE shard = 4 AND slot = 12 AND valid_ticks >= a AND valid_ticks < b AND known_ticks <= b")
@@ -296,15 +313,15 @@ def bbox_chunk(spark, sf_dir):
     return spatial_frame(e, SpatialScan(((20, 100), (75, 300)))).select("sequence")
 
 
-@query(f"WITH {EV} SELECT shard, slot, generation, string_agg(sequence::VARCHAR, ',' ORDER BY sequence) AS sequences FROM ev GROUP BY shard, slot, generation")
+@query(f"WITH {EV} SELECT shard, slot, generation, sequence // 4000 AS span, string_agg(sequence::VARCHAR, ',' ORDER BY sequence) AS sequences FROM ev GROUP BY ALL")
 def posting_entity(spark, sf_dir):
-    return index.by_entity(bind_events(spark, sf_dir)).withColumn("sequences", F.concat_ws(",", F.col("sequences").cast("array<string>")))
+    return index.by_entity(bind_events(spark, sf_dir), 4000).withColumn("sequences", F.concat_ws(",", F.col("sequences").cast("array<string>")))
 
 
-@query(f"WITH p AS (SELECT event_id AS sequence, user_id // 16 AS cx, (event_id % 500) // 16 AS cy FROM events) SELECT {_interleave_sql('cx', 'cy', 20)} AS chunk_code, string_agg(sequence::VARCHAR, ',' ORDER BY sequence) AS sequences FROM p GROUP BY 1")
+@query(f"WITH p AS (SELECT event_id AS sequence, user_id // 16 AS cx, (event_id % 500) // 16 AS cy FROM events) SELECT {_interleave_sql('cx', 'cy', 20)} AS chunk_code, sequence // 4000 AS span, string_agg(sequence::VARCHAR, ',' ORDER BY sequence) AS sequences FROM p GROUP BY ALL")
 def posting_chunk(spark, sf_dir):
     e = bind_events(spark, sf_dir).withColumns({"x": F.col("slot"), "y": F.col("sequence") % 500})
-    return index.by_chunk(e, "x", "y", 16).withColumn("sequences", F.concat_ws(",", F.col("sequences").cast("array<string>")))
+    return index.by_chunk(e, "x", "y", 16, 4000).withColumn("sequences", F.concat_ws(",", F.col("sequences").cast("array<string>")))
 
 
 @query(f"WITH {EV}, {SPAN} SELECT sequence FROM ev, span WHERE valid_ticks BETWEEN a AND b")
@@ -313,10 +330,10 @@ def posting_time(spark, sf_dir):
     return index.at_times(bind_events(spark, sf_dir), 1, a, b)
 
 
-@query(f"WITH {EV} SELECT schema_id, count(*) AS n, md5(string_agg(sequence::VARCHAR, ',' ORDER BY sequence)) AS digest FROM ev GROUP BY schema_id")
+@query(f"WITH {EV} SELECT schema_id, sequence // 4000 AS span, count(*) AS n, md5(string_agg(sequence::VARCHAR, ',' ORDER BY sequence)) AS digest FROM ev GROUP BY schema_id, span")
 def posting_schema(spark, sf_dir):
-    lists = index.by_schema(bind_events(spark, sf_dir))
-    return lists.select("schema_id", F.size("sequences").cast("long").alias("n"), F.md5(F.concat_ws(",", F.col("sequences").cast("array<string>")).cast("binary")).alias("digest"))
+    lists = index.by_schema(bind_events(spark, sf_dir), 4000)
+    return lists.select("schema_id", "span", F.size("sequences").cast("long").alias("n"), F.md5(F.concat_ws(",", F.col("sequences").cast("array<string>")).cast("binary")).alias("digest"))
 
 
 @query(f"WITH {EV}, {SPAN} SELECT sequence FROM ev, span WHERE shard = 6 AND schema_id = 5 AND valid_ticks BETWEEN a AND b AND slot // 16 BETWEEN 0 AND 6 AND (sequence % 500) // 16 BETWEEN 0 AND 25 AND slot = 14")
@@ -367,25 +384,34 @@ def trace_edges(spark, sf_dir):
     return causal.traced_edges(graph, causal.trace(graph, 900, "causes", 3), 3)
 
 
-@query("SELECT true AS ancestor_of_900, false AS descendant_of_900")
+@query(f"WITH RECURSIVE {EV}, {GRAPH}, {_walk_sql('900', 'effect', 'cause', 1 << 30).replace(', 0 AS depth', '').replace(', w.depth + 1', '').split(' WHERE w.depth')[0]}), pairs AS (SELECT * FROM (VALUES (3), (450), (449), (901), (900)) t(event)) SELECT event::BIGINT AS event, event IN (SELECT node FROM walk) AS ancestor FROM pairs")
 def is_ancestor(spark, sf_dir):
+    """Whether each of some events is among the causes of event 900, however far."""
     graph = _graph(spark, sf_dir).persist()
-    out = spark.createDataFrame([(causal.is_ancestor(graph, 3, 900), causal.is_ancestor(graph, 901, 900))], "ancestor_of_900 boolean, descendant_of_900 boolean")
+    out = spark.createDataFrame([(e, causal.is_ancestor(graph, e, 900)) for e in (3, 450, 449, 901, 900)], "event long, ancestor boolean")
     graph.unpersist()
     return out
 
 
-@query(f"WITH {EV} SELECT sequence AS node, bit_length(sequence::BIT::VARCHAR) * 0 + CASE WHEN sequence = 0 THEN 0 ELSE floor(log2(sequence))::INT + 1 END AS level FROM ev")
+LEVELS = "walk AS (SELECT sequence AS node, 0 AS level FROM ev WHERE sequence NOT IN (SELECT effect FROM links) UNION SELECT l.effect, w.level + 1 FROM walk w JOIN links l ON l.cause = w.node), levels AS (SELECT node, max(level) AS level FROM walk GROUP BY node)"
+
+
+@query(f"WITH RECURSIVE {EV}, {GRAPH}, {LEVELS} SELECT node, level, row_number() OVER (ORDER BY level, node) - 1 AS place FROM levels")
+def topo_order(spark, sf_dir):
+    """Every event after all its declared causes."""
+    events = with_causes(bind_events(spark, sf_dir))
+    return causal.topological_order(causal.edges(events), events.select(F.col("sequence").alias("node")), 1000)
+
+
+@query(f"WITH RECURSIVE {EV}, {GRAPH}, {LEVELS} SELECT node, level FROM levels")
 def topo_levels(spark, sf_dir):
-    """Levels of the halving tree: each event's cause is the event at half its sequence."""
-    nodes = bind_events(spark, sf_dir).select(F.col("sequence").alias("node"))
-    halves = nodes.where("node > 0").select(F.expr("node div 2").alias("cause"), F.col("node").alias("effect"))
-    return causal.topological_levels(halves, nodes)
+    events = with_causes(bind_events(spark, sf_dir))
+    return causal.topological_levels(causal.edges(events), events.select(F.col("sequence").alias("node")))
 
 
-@query(f"WITH {EV}, {GRAPH} SELECT effect, string_agg(cause::VARCHAR, ',' ORDER BY cause) AS causes FROM links GROUP BY effect")
+@query(f"WITH {EV}, {GRAPH}, r AS (SELECT effect, string_agg(cause::VARCHAR, ',' ORDER BY cause) AS causes, count(*) AS n FROM links GROUP BY effect) SELECT effect, causes, coalesce(sum(n) OVER (ORDER BY effect ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM r")
 def csr(spark, sf_dir):
-    return causal.csr(_graph(spark, sf_dir)).withColumn("causes", F.concat_ws(",", F.col("causes").cast("array<string>")))
+    return causal.csr(_graph(spark, sf_dir), 1000).withColumn("causes", F.concat_ws(",", F.col("causes").cast("array<string>")))
 
 
 @query(f"""WITH RECURSIVE {EV}, {GRAPH}, act AS (SELECT min(sequence) AS s FROM ev WHERE schema_id = 3 AND sequence >= 500), {_walk_sql('(SELECT s FROM act)', 'effect', 'cause', 32)},
@@ -400,39 +426,71 @@ def action_trace(spark, sf_dir):
     return causal.action_trace(events, causal.edges(events).persist(), action, {"percept": 5, "intention": 1, "action": 3, "outcome": 2, "belief": 4, "gap": 6})
 
 
-def _branches(spark: SparkSession) -> DataFrame:
-    known = branches.fork(branches.open_branches(spark), "what-if", 0, 300, 1000)
-    known = branches.fork(known, "deeper", 1, 500, 1000)
-    return branches.set_lifecycle(known, 1, "candidate")
+def _branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A branch for each region off the main line, and one for each nation of region 2 off that region's branch."""
+    known = branches.open_branches(spark)
+    for r in table(spark, sf_dir, "region").orderBy("r_regionkey").collect():
+        known = branches.fork(known, r["r_name"], 0, 100 * (r["r_regionkey"] + 1), 1000)
+    for n in table(spark, sf_dir, "nation").where("n_regionkey = 2").orderBy("n_nationkey").collect():
+        known = branches.fork(known, n["n_name"], 3, 400 + n["n_nationkey"], 1000)
+    return branches.set_lifecycle(branches.set_lifecycle(known, 1, "candidate"), 2, "retired")
 
 
-TIMELINE = "(VALUES (0, 0, 300), (1, 301, 500), (2, 501, NULL)) t(branch, first, last)"
-OWNED = "owned AS (SELECT *, CASE WHEN sequence % 3 = 0 THEN 0 WHEN sequence % 3 = 1 THEN 1 ELSE 2 END AS branch FROM ev)"
+BRANCHES = """branches AS (SELECT 0::BIGINT AS id, 'main' AS name, NULL::BIGINT AS parent, NULL::BIGINT AS fork_sequence UNION ALL SELECT r_regionkey + 1, r_name, 0, 100 * (r_regionkey + 1) FROM region
+  UNION ALL SELECT 5 + row_number() OVER (ORDER BY n_nationkey), n_name, 3, 400 + n_nationkey FROM nation WHERE n_regionkey = 2)"""
+LINE = """chain AS (SELECT id, parent, fork_sequence, NULL::BIGINT AS until FROM branches WHERE id = (SELECT max(id) FROM branches) UNION ALL SELECT b.id, b.parent, b.fork_sequence, c.fork_sequence FROM chain c JOIN branches b ON b.id = c.parent),
+timeline AS (SELECT id AS branch, coalesce(fork_sequence + 1, 0) AS first, until AS last FROM chain)"""
+#: A third of the events on the main line, on region 2's branch and on that of its last nation.
+OWNED = "owned AS (SELECT *, CASE WHEN sequence % 3 = 0 THEN 0 WHEN sequence % 3 = 1 THEN 3 ELSE (SELECT max(id) FROM branches) END AS branch FROM ev)"
+ON_LINE = "owned o JOIN timeline t ON o.branch = t.branch AND sequence >= first AND (last IS NULL OR sequence <= last)"
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT, 'main', NULL::BIGINT, 'active'), (1, 'what-if', 0, 'candidate'), (2, 'deeper', 1, 'active')) t(id, name, parent, lifecycle)")
+@query(f"WITH {BRANCHES} SELECT id, name, parent, CASE id WHEN 1 THEN 'candidate' WHEN 2 THEN 'retired' ELSE 'active' END AS lifecycle FROM branches")
 def branch_list(spark, sf_dir):
-    return _branches(spark).select("id", "name", "parent", "lifecycle")
+    return _branches(spark, sf_dir).select("id", "name", "parent", "lifecycle")
 
 
-@query(f"SELECT branch::BIGINT AS branch, first::BIGINT AS first, last::BIGINT AS last FROM {TIMELINE}")
+def _timeline(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    known = _branches(spark, sf_dir)
+    last = known.agg(F.max("id")).first()[0]
+    return branches.timeline(known, last), last
+
+
+@query(f"WITH RECURSIVE {BRANCHES}, {LINE} SELECT branch, first, last FROM timeline")
 def timeline(spark, sf_dir):
-    return branches.timeline(_branches(spark), 2)
+    return _timeline(spark, sf_dir)[0]
+
 
+@query(f"""WITH RECURSIVE {BRANCHES}, up AS (SELECT b.id, b.parent, b.fork_sequence AS until FROM branches b WHERE id <> 2 AND parent IS NOT NULL UNION ALL SELECT u.id, b.parent, least(u.until, b.fork_sequence) FROM up u JOIN branches b ON b.id = u.parent WHERE b.parent IS NOT NULL)
+SELECT DISTINCT u.parent AS branch, coalesce(b.fork_sequence + 1, 0) AS first, until AS last FROM up u JOIN branches b ON b.id = u.parent WHERE coalesce(b.fork_sequence + 1, 0) <= until""")
+def branch_holds(spark, sf_dir):
+    return runtime.branch_holds(_branches(spark, sf_dir))
 
-def _owned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bind_events(spark, sf_dir).withColumn("branch", (F.col("sequence") % 3).cast("long"))
 
+def _owned(spark: SparkSession, sf_dir: str, last: int) -> DataFrame:
+    third = F.col("sequence") % 3
+    return bind_events(spark, sf_dir).withColumn("branch", F.when(third == 0, 0).when(third == 1, 3).otherwise(last).cast("long"))
 
-@query(f"WITH {EV}, {OWNED} SELECT sequence, o.branch::BIGINT AS branch FROM owned o JOIN {TIMELINE} ON o.branch = t.branch AND sequence >= first AND (last IS NULL OR sequence <= last)")
+
+@query(f"WITH RECURSIVE {EV}, {BRANCHES}, {LINE}, {OWNED} SELECT sequence, o.branch FROM {ON_LINE}")
 def branch_scan(spark, sf_dir):
-    return branches.branch_events(_owned(spark, sf_dir), branches.timeline(_branches(spark), 2)).select("sequence", "branch")
+    line, last = _timeline(spark, sf_dir)
+    return branches.branch_events(_owned(spark, sf_dir, last), line).select("sequence", "branch")
 
 
-@query(f"WITH {EV}, {OWNED} SELECT shard, slot, generation, max(sequence) AS sequence, arg_max(k, sequence) AS state FROM owned o JOIN {TIMELINE} ON o.branch = t.branch AND sequence >= first AND (last IS NULL OR sequence <= last) WHERE sequence <= 800 GROUP BY shard, slot, generation")
+@query(f"WITH RECURSIVE {EV}, {BRANCHES}, {LINE}, {OWNED} SELECT shard, slot, generation, max(sequence) AS sequence, arg_max(k, sequence) AS state FROM {ON_LINE} WHERE sequence <= 800 GROUP BY shard, slot, generation")
 def branch_state(spark, sf_dir):
-    own = branches.branch_events(_owned(spark, sf_dir), branches.timeline(_branches(spark), 2))
-    return replay.raw_state(own, 800, F.col("k"))
+    line, last = _timeline(spark, sf_dir)
+    return replay.raw_state(branches.branch_events(_owned(spark, sf_dir, last), line), 800, F.col("k"))
+
+
+@query(f"WITH {EV}, {BRANCHES}, {OWNED}, start AS (SELECT greatest(max(sequence), (SELECT fork_sequence FROM branches WHERE id = 4)) AS s FROM owned WHERE branch = 4) SELECT 4::BIGINT AS branch, coalesce(s, (SELECT fork_sequence FROM branches WHERE id = 4)) + row_number() OVER (ORDER BY p_partkey) AS sequence, p_partkey AS known_ticks FROM part, start")
+def branch_append(spark, sf_dir):
+    """Parts recorded as a batch of events on region 3's branch, numbered after its fork."""
+    known = _branches(spark, sf_dir)
+    batch = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("known_ticks"))
+    grown = branches.append(_owned(spark, sf_dir, 10).select("branch", "sequence", "known_ticks"), known, 4, batch, "known_ticks")
+    return grown.where("branch = 4").select("branch", "sequence", "known_ticks")
 
 
 @query(f"WITH {EV} SELECT sequence, shard % 3 AS vshard, row_number() OVER (PARTITION BY shard % 3 ORDER BY sequence) - 1 AS local_sequence FROM ev")
@@ -445,12 +503,11 @@ def shard_route_map(spark, sf_dir):
     return runtime.route(bind_events(spark, sf_dir), 3, {1: 2, 5: 1}).groupBy("vshard").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {EV}, {SPAN} SELECT shard % 3 AS vshard, valid_ticks, sequence, row_number() OVER (ORDER BY valid_clock, valid_ticks, source, epoch, sequence) AS place FROM ev, span WHERE schema_id = 4 AND valid_ticks BETWEEN a AND b")
+@query(f"WITH {EV}, {SPAN} SELECT shard % 3 AS vshard, valid_ticks, sequence, row_number() OVER (ORDER BY valid_clock, valid_ticks, source, epoch, sequence) - 1 AS place FROM ev, span WHERE schema_id = 4 AND valid_ticks BETWEEN a AND b")
 def shard_fanout(spark, sf_dir):
     a, b, _ = _span(spark, sf_dir)
     merged = runtime.fan_out(runtime.route(bind_events(spark, sf_dir), 3), runtime.shard_filter(schema=4, clock=1, low=a, high=b))
-    order = Window.orderBy("valid_clock", "valid_ticks", "source", "epoch", "sequence")
-    return merged.select("vshard", "valid_ticks", "sequence", F.row_number().over(order).cast("long").alias("place"))
+    return runtime.merge_places(merged, 3_600_000_000).select("vshard", "valid_ticks", "sequence", "place")
 
 
 TASKS = "tasks AS (SELECT p_partkey AS id, p_size % 5 AS class, CASE WHEN p_partkey % 3 = 0 THEN 'completed' ELSE 'pending' END AS status FROM part), deps AS (SELECT p_partkey AS id, p_partkey // 2 AS needs FROM part WHERE p_partkey > 1 UNION SELECT p_partkey, p_partkey - 1 FROM part WHERE p_partkey > 1 AND p_size > 25)"
@@ -503,24 +560,33 @@ def retire_prefix(spark, sf_dir):
     return runtime.retired_prefix(frames, [(455, 455)]).select("frame", "first", "last")
 
 
-@query(f"WITH {EV} SELECT sequence, sequence // 300 AS segment FROM ev WHERE sequence % 50 = 7")
+@query(f"WITH {EV} SELECT sequence, sequence // 300 AS segment, sequence // 300 * 300 AS first FROM ev")
 def segment_lookup(spark, sf_dir):
+    """The segment of every event."""
     events = bind_events(spark, sf_dir)
     manifest = events.groupBy(F.expr("sequence div 300").alias("segment")).agg(F.min("sequence").alias("first"), F.max("sequence").alias("last"))
-    return runtime.segment_of(events.where("sequence % 50 = 7").select("sequence"), manifest).select("sequence", "segment")
+    return runtime.segment_of(events.select("sequence"), manifest).select("sequence", "segment", "first")
+
+
+@query(f"WITH {EV} SELECT sequence FROM ev WHERE EXISTS (SELECT 1 FROM part WHERE p_partkey % 40 = 0 AND sequence BETWEEN p_partkey * 3 AND p_partkey * 3 + p_size)")
+def held_events(spark, sf_dir):
+    """Events that a table of holds covers."""
+    holds = table(spark, sf_dir, "part").where("p_partkey % 40 = 0").select((F.col("p_partkey") * 3).alias("first"), (F.col("p_partkey") * 3 + F.col("p_size")).alias("last"))
+    return runtime.held(bind_events(spark, sf_dir), holds)
 
 
 WORDS = "['alive', 'not alive', 'dead', 'door open', 'door closed', 'healthy', 'critical', 'inactive', 'calm', 'not calm']"
-WORD = f"CASE WHEN p_partkey % 40 = 0 THEN {WORDS}[(1 + (p_partkey // 40 * 37 + p_size) % 10)::INT] ELSE 'note' END || ' ' || (p_partkey // 400)"
+WORD = f"CASE WHEN p_partkey % 40 = 0 THEN {WORDS}[(1 + (p_partkey // 40 * 37 + p_size) % 10)::INT] || ' ' || (p_partkey // 400) ELSE CASE WHEN p_size % 3 = 0 THEN 'Not ' ELSE '' END || 'calm ' || (p_partkey // 12) END"
 BELIEFS = f"beliefs AS (SELECT p_partkey AS id, {WORD} AS proposition, lower(trim({WORD})) AS p FROM part)"
 
 
 def _beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One proposition in forty says something that others may contradict."""
+    """Every part says something: one in forty a word with antonyms, the others that their dozen is calm, or not."""
     words = F.array(*[F.lit(w) for w in ("alive", "not alive", "dead", "door open", "door closed", "healthy", "critical", "inactive", "calm", "not calm")])
     k = F.col("p_partkey")
-    word = F.when(k % 40 == 0, F.get(words, ((F.expr("p_partkey div 40") * 37 + F.col("p_size")) % 10).cast("int"))).otherwise("note")
-    return table(spark, sf_dir, "part").select(k.alias("id"), F.concat_ws(" ", word, F.expr("p_partkey div 400").cast("string")).alias("proposition"))
+    word = F.concat_ws(" ", F.get(words, ((F.expr("p_partkey div 40") * 37 + F.col("p_size")) % 10).cast("int")), F.expr("p_partkey div 400").cast("string"))
+    calm = F.concat(F.when(F.col("p_size") % 3 == 0, "Not ").otherwise(""), F.lit("calm "), F.expr("p_partkey div 12").cast("string"))
+    return table(spark, sf_dir, "part").select(k.alias("id"), F.when(k % 40 == 0, word).otherwise(calm).alias("proposition"))
 
 
 CLASH = "(a.p = 'not ' || b.p OR b.p = 'not ' || a.p" + "".join(f" OR (contains(a.p, '{x}') AND contains(b.p, '{y}')) OR (contains(a.p, '{y}') AND contains(b.p, '{x}'))" for x, y in knowledge.ANTONYMS) + ")"
@@ -594,14 +660,14 @@ def tier_evict(spark, sf_dir):
     return knowledge.evict(items, 100).select("id", "tier")
 
 
-TOP = "SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score FROM embeddings q JOIN embeddings v ON v.vec_id <> q.vec_id WHERE q.vec_id < 5"
+TOP = "SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score FROM embeddings q JOIN embeddings v ON v.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0"
 
 
 @query(f"WITH s AS ({TOP}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, rank::INT AS rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 10")
 def topk_cosine(spark, sf_dir):
-    """The ten nearest vectors of the five query vectors."""
+    """The ten nearest vectors of every vector whose id is divisible by 50."""
     e = table(spark, sf_dir, "embeddings")
-    queries = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return vectors.nearest(e, queries, 10).withColumn("score", F.round("score", 6))
 
 
@@ -679,32 +745,55 @@ def media_sha256(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2(F.col("text"), 256).alias("digest"))
 
 
-@query("SELECT 'NOT NOT active' AS condition, 'active' AS simplified, 6 AS cost_before, 2 AS cost_after UNION ALL SELECT '(status AND true) OR (status AND false)', 'status', 15, 2 UNION ALL SELECT '(5 = 5) AND (10 < 20)', 'true', 13, 1")
+@query("""WITH n AS (SELECT n_nationkey AS k FROM nation), t AS (SELECT k, unnest([1, 2, 3, 4]) AS rule FROM n)
+SELECT CASE rule WHEN 1 THEN 'NOT NOT slot > ' || k WHEN 2 THEN '(slot = ' || k || ' OR false) AND (slot = ' || k || ' AND true)' WHEN 3 THEN k || ' < ' || (k + 1) || ' AND late' ELSE 'late AND ' || k || ' > ' || (k + 1) END AS condition,
+  CASE rule WHEN 1 THEN '(slot > ' || k || ')' WHEN 2 THEN '(slot = ' || k || ')' WHEN 3 THEN 'late' ELSE 'false' END AS simplified, CASE rule WHEN 1 THEN 10 WHEN 2 THEN 23 ELSE 10 END AS cost_before, CASE rule WHEN 1 THEN 6 WHEN 2 THEN 6 WHEN 3 THEN 2 ELSE 1 END AS cost_after FROM t""")
 def rewrite(spark, sf_dir):
+    """Four conditions about each nation's number, simplified."""
     from tidelog.plans.ir import show
 
     rows = []
-    for text in ("NOT NOT active", "(status AND true) OR (status AND false)", "(5 = 5) AND (10 < 20)"):
-        r = Engine.rewrite(text)
-        rows.append((text, show(r.expr), r.cost_before, r.cost_after))
+    for (k,) in table(spark, sf_dir, "nation").select("n_nationkey").collect():
+        for text in (f"NOT NOT slot > {k}", f"(slot = {k} OR false) AND (slot = {k} AND true)", f"{k} < {k + 1} AND late", f"late AND {k} > {k + 1}"):
+            r = Engine.rewrite(text)
+            rows.append((text, show(r.expr), r.cost_before, r.cost_after))
     return spark.createDataFrame(rows, "condition string, simplified string, cost_before int, cost_after int")
 
 
-@query(None)
+@query("""SELECT 'tn:#' || n_regionkey || ':' || n_nationkey || ':0@v' || n_nationkey || '..' || (n_nationkey + 10) || '?schema=5>sequence!' || (n_regionkey + 1) AS query,
+  'StorageScan (cost=10)|  entity=' || n_regionkey || ':' || n_nationkey || ':0|  valid_range=' || n_nationkey || '..' || (n_nationkey + 10) || '|  pushdown_filter=(schema = 5)|  projection=[sequence]|  limit=' || (n_regionkey + 1) || '|  pushdown_zone_maps=true, pushdown_bloom=true' AS plan FROM nation""")
 def explain_plan(spark, sf_dir):
-    text = Engine(spark, bind_events(spark, sf_dir)).explain("tn:#1:9:0@v10..20?schema=5>sequence!20")
-    return spark.createDataFrame([(i, line) for i, line in enumerate(text.split("\n")[:6])], "line int, text string")
+    """The logical plan of a query about each nation; Engine.explain puts Spark's own plan under it."""
+    from tidelog.plans.compile import explain
+
+    rows = []
+    for r, n in table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey").collect():
+        text = f"tn:#{r}:{n}:0@v{n}..{n + 10}?schema=5>sequence!{r + 1}"
+        rows.append((text, "|".join(explain(parse(text)).split("\n"))))
+    return spark.createDataFrame(rows, "query string, plan string")
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh folder that executors share: under spark.checkpoint.dir, or, in a local session without one, a temporary one."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tidelog-")
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 @query(f"WITH {EV} SELECT shard, slot, generation, max(sequence) AS sequence, arg_max(k, sequence) AS k FROM ev WHERE schema_id = 5 AND sequence >= 100 GROUP BY shard, slot, generation")
 def subscribe_state(spark, sf_dir):
     """A subscription over a stored log, read as a stream into the last value of each entity."""
-    import tempfile
     import uuid
 
     from tidelog.streaming import subscribe as s
 
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()) + f"/stream-{uuid.uuid4().hex}"
+    folder = scratch(spark, "stream")
     bind_events(spark, sf_dir).repartitionByRange(4, "sequence").write.parquet(f"{folder}/log")
     log = spark.read.parquet(f"{folder}/log")
     matches = s.subscription(s.stream_log(spark, f"{folder}/log", log.schema, 2), "WHERE schema = 5", 100)
@@ -712,3 +801,6 @@ def subscribe_state(spark, sf_dir):
     run = s.last_values(matches, "k").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name)
+
+
+from tidelog import queries_log  # noqa: E402, F401  (registers the queries about stored logs, admission and control)
