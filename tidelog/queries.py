@@ -597,11 +597,13 @@ def contradictions(spark, sf_dir):
     return knowledge.contradictions(_beliefs(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {BELIEFS}, pairs AS (SELECT a.id AS item_a, b.id AS item_b FROM beliefs a JOIN beliefs b ON a.id < b.id AND {CLASH}),
-steps AS (SELECT item_b AS id, list(item_a) AS earlier, row_number() OVER (ORDER BY item_b) AS n FROM pairs GROUP BY item_b),
-fold AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS marked UNION ALL SELECT s.n, CASE WHEN len(list_filter(s.earlier, lambda x: NOT list_contains(f.marked, x))) > 0 THEN list_concat(f.marked, list_concat(list_filter(s.earlier, lambda x: NOT list_contains(f.marked, x)), [s.id])) ELSE f.marked END FROM fold f JOIN steps s ON s.n = f.n + 1)
-SELECT id, CASE WHEN list_contains((SELECT marked FROM fold ORDER BY n DESC LIMIT 1), id) THEN 'contradicted' ELSE 'active' END AS status FROM beliefs""")
+@query(f"""WITH RECURSIVE {BELIEFS}, pairs AS (SELECT CASE WHEN contains(a.p, 'calm') THEN regexp_extract(a.p, '[0-9]+$') ELSE 'words' END AS part, a.id AS item_a, b.id AS item_b FROM beliefs a JOIN beliefs b ON a.id < b.id AND {CLASH}),
+steps AS (SELECT part, item_b AS id, list(item_a) AS earlier, row_number() OVER (PARTITION BY part ORDER BY item_b) AS n FROM pairs GROUP BY part, item_b),
+fold AS (SELECT DISTINCT part, 0::BIGINT AS n, []::BIGINT[] AS marked FROM steps UNION ALL SELECT f.part, s.n, CASE WHEN len(list_filter(s.earlier, lambda x: NOT list_contains(f.marked, x))) > 0 THEN list_concat(f.marked, list_concat(list_filter(s.earlier, lambda x: NOT list_contains(f.marked, x)), [s.id])) ELSE f.marked END FROM fold f JOIN steps s ON s.part = f.part AND s.n = f.n + 1),
+ends AS (SELECT part, unnest(arg_max(marked, n)) AS id FROM fold GROUP BY part)
+SELECT id, CASE WHEN id IN (SELECT id FROM ends) THEN 'contradicted' ELSE 'active' END AS status FROM beliefs""")
 def infer_status(spark, sf_dir):
+    """The SQL folds each number's calm beliefs, and the words with antonyms, by themselves: no others conflict."""
     return knowledge.infer(_beliefs(spark, sf_dir)).select("id", "status")
 
 
