@@ -7,6 +7,8 @@ their ends. `encode` equals `Tokenizer.encode(text, add_special_tokens=False)`.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 from collections.abc import Iterator
 
@@ -107,8 +109,27 @@ class WordTokenizer:
         return np.insert(ids, by_text[1:], END_ID), by_text + np.arange(len(by_text))
 
 
+_RETURNED = False
+
+
+def return_memory() -> None:
+    """Let this worker give large freed blocks back to the system at once. Workers live on from task to task, and what one
+    operator's batches took would else stay with them, beside what the next one needs."""
+    global _RETURNED
+    if not _RETURNED:
+        _RETURNED = True
+        pa.set_memory_pool(pa.system_memory_pool())
+        with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+            ctypes.CDLL("libc.so.6").mallopt(_MMAP_THRESHOLD, 1 << 20)
+
+
+#: glibc's name for the size from which a block is mapped by itself; setting it also stops glibc from raising it.
+_MMAP_THRESHOLD = -3
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of about `limit` bytes of text (one row at least), whatever the size of the batches that Spark sends."""
+    return_memory()
     for batch in batches:
         sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         group = np.cumsum(sizes) // limit
