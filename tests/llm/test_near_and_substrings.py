@@ -184,5 +184,79 @@ def test_remove_duplicates_keeps_other_columns(crowded):
     assert kept[20] == "" and kept[0] == rows()[0][1] and kept[26] is None
 
 
-def test_factors():
-    assert substrings.factors([0, 1, 2, 20, 33, 50]) == [(0, 15), (20, 46), (50, 63)]
+def test_pieces_become_factors():
+    """Pieces that go on from each other are one factor; others begin where their first window does; twice counts once."""
+    got = substrings.joined_factors([0, 3, 3, 5, 20, 40], [3, 2, 2, 4, 1, 1], [1, 1, 1, 2, 2, 9], [7, 10, 10, 0, 15, 0])
+    assert got == [(0, 17, 1, 7), (5, 16, 2, 0), (20, 13, 2, 15), (40, 13, 9, 0)]
+    assert substrings.kept_words(" ".join(map(str, range(60))), got)[1] == [b"33", b"34", b"35", b"36", b"37", b"38", b"39", *[str(k).encode() for k in range(53, 60)]]
+
+
+def longest_factors(source, window):
+    """Greedy parse by brute force: from the first word that starts a repeated window, the longest match in one earlier
+    document; then from the first repeated window that is not inside the factor."""
+    words = {d: (t or "").split() for d, t in source}
+    out = []
+    for d, w in words.items():
+        s = 0
+        while s + window <= len(w):
+            best = (0, 0, 0)
+            for r, v in words.items():
+                if r < d:
+                    for p in range(len(v) - window + 1):
+                        n = 0
+                        while s + n < len(w) and p + n < len(v) and w[s + n] == v[p + n]:
+                            n += 1
+                        best = max(best, (n, -r, -p))
+            if best[0] >= window:
+                out.append((d, s, best[0], -best[1], -best[2]))
+                s += best[0] - window + 1
+            else:
+                s += 1
+    return sorted(out)
+
+
+@pytest.mark.parametrize("held", [1 << 18, 16])
+def test_factors_are_the_longest_matches(spark, held, monkeypatch):
+    """Passages with one source each: the parse equals the greedy one by brute force, boundaries included."""
+    monkeypatch.setattr(substrings, "HELD", held)
+    p = {k: prose(f"p{k}", 40).split() for k in "abcde"}
+    texts = [
+        " ".join(p["a"] + ["x0"] + p["b"]), " ".join(p["c"] + p["d"]), prose("own", 60), " ".join(["y"] + p["a"][5:30] + ["z"] + p["c"][10:40] + p["d"][:25]),
+        " ".join(p["a"][20:40] + ["x0"] + p["b"][:7]), " ".join(p["e"]), " ".join(p["b"][30:] + p["e"][:13] + p["d"][27:]), None, "",
+    ]
+    source = list(enumerate(texts))
+    df = spark.createDataFrame(source, "doc_id long, text string").repartition(5)
+    assert sorted(map(tuple, substrings.parse(df).collect())) == longest_factors(source, 13)
+
+
+def test_factors_copy_their_reference(docs):
+    """Of any documents: a factor's words stand in its reference, which has a smaller id, and factors cover the repeated windows."""
+    texts = {}
+    for d, t, *_ in rows():
+        texts.setdefault(d, []).append((t or "").split())
+    found = substrings.parse(docs).collect()
+    assert found
+    for f in found:
+        assert f["ref_id"] < f["doc_id"] and f["length"] >= 13
+        mine = [w[f["start"] : f["start"] + f["length"]] for w in texts[f["doc_id"]]]
+        theirs = [w[f["ref_start"] : f["ref_start"] + f["length"]] for w in texts[f["ref_id"]]]
+        assert any(len(m) == f["length"] and m in theirs for m in mine)
+
+
+def test_partitions_follow_the_bytes(spark, docs, monkeypatch):
+    monkeypatch.setattr(substrings, "PART_BYTES", 20_000)
+    assert substrings._parts(docs, "text") > 4
+    assert Counter(map(tuple, substrings.digests(docs).collect())) == brute_removal(rows(), 13)
+
+
+def test_names_of_its_own_in_the_input(docs):
+    clash = docs.selectExpr("*", "1 as _sub_id", "'a' as _sub_blob", "2 as _SUB_bucket", "3 as own_5")
+    out = substrings.remove_duplicates(clash)
+    assert out.columns == clash.columns
+    assert out.select(*docs.columns).exceptAll(substrings.remove_duplicates(docs)).count() == 0 and out.where("_sub_id = 1 and _sub_blob = 'a' and own_5 = 3").count() == clash.count()
+
+
+def test_keep_one_with_names_of_its_own(docs):
+    clash = docs.selectExpr("*", "1 as sim_id", "'a' as sim_crc", "2 as sim_of", "3 as _sim_of")
+    out = simhash.keep_one(clash)
+    assert out.columns == clash.columns and out.count() == simhash.keep_one(docs).count()

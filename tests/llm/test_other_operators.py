@@ -171,6 +171,13 @@ def test_member_names_carry_any_id(spark):
     assert Counter(r["doc_id"] for r in media.features(media.read_archives(spark, media.write_archives(df))).collect()) == Counter(ids)
 
 
+def test_folders_by_sparks_names():
+    from tidelog.llm.storage import plain_uri
+
+    names = ["s3a://b/x y", "s3://b/x", "dbfs:/mnt/a", "file:///tmp/a", "/tmp/a", "abfss://c@h/x", "wasbs://c@h/x", "hdfs://n/x"]
+    assert [plain_uri(u) for u in names] == ["s3://b/x y", "s3://b/x", "/dbfs/mnt/a", "file:///tmp/a", "/tmp/a", "abfss://c@h/x", "abfss://c@h/x", "hdfs://n/x"]
+
+
 # --- nearest neighbours
 
 

@@ -6,10 +6,24 @@ from typing import BinaryIO
 from urllib.parse import urlparse
 
 
+#: Spark's names of object stores, and those that the file library knows.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
+
+
+def plain_uri(uri: str) -> str:
+    """A folder as the file library names it. A dbfs: folder is a mounted local one."""
+    scheme, colon, rest = uri.partition(":")
+    if colon and scheme == "dbfs":
+        return "/dbfs/" + rest.lstrip("/")
+    return SCHEMES.get(scheme, scheme) + colon + rest
+
+
 class Files:
-    """Binary files under a folder given as a URI or a plain path. Local paths need no extra library."""
+    """Binary files under a folder given as a URI or a plain path. Local paths need no extra library; the libraries'
+    own settings (environment, instance roles) give access to object stores."""
 
     def __init__(self, uri: str) -> None:
+        uri = plain_uri(uri)
         parsed = urlparse(uri)
         if parsed.scheme in ("", "file"):
             self._remote, self.root = None, parsed.path
