@@ -15,29 +15,35 @@ from tidelog.llm.common import materialize, read_table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language (null text, or no letter in it); fills a null lang with the prediction, and
-    replaces a lang that the text clearly contradicts."""
+    """Drops documents without a language (null or empty text, or no letter in it); fills a null lang with the prediction,
+    and replaces a lang that the text clearly contradicts. Ties go to the first language by name; repeated rows stay
+    repeated; where no label is known at all, nothing is learned and every document is dropped."""
     return langid.decide(docs, langid.learn(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near-duplicates (five-word shingles, similarity 0.8 or more)."""
+    """Keeps the smallest id of each group of near-duplicates (five-word shingles, similarity 0.8 or more). SimHash links
+    come first, and the shingle sets decide. Texts without words are one group; of repeated rows one stays; rows without
+    an id stay unless a row with an id is in their group."""
     return simhash.keep_one(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of 13 words or more that start in a document with a smaller id; drops documents left empty."""
+    """Cuts passages of 13 words or more that stand in a document with a smaller id; drops documents left empty (and null
+    ones). Repeated rows are no references of each other; rows without an id keep their text."""
     out = substrings.remove_duplicates(docs).where(F.length("text") > 0)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents at random towards the square-root weights of their sources, globally shuffled."""
+    """Repeats or drops documents at random towards the square-root weights of their sources, globally shuffled. A null source
+    is a source; rows with one id, repeated ones too, get the same number of copies."""
     return mixing.replicate(docs).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 tokens."""
+    """Pieces of documents in sequences of at most 2048 tokens. Null and empty texts are an end token; repeated rows are
+    packed as often as they occur."""
     return packing.pack(docs)
 
 

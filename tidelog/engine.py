@@ -116,7 +116,7 @@ class Engine:
         if self.path is None:
             self.events = self.events.unionByName(checked, allowMissingColumns=True)
         else:
-            write_log(checked, self.path)
+            write_log(checked.coalesce(1), self.path, ordered=True)  # a batch is one task's work
             self.events = self.spark.read.schema(self.events.schema).parquet(self.path)
 
     def state(self, sequence: int) -> DataFrame:

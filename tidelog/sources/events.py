@@ -71,13 +71,14 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_log(events: DataFrame, path: str, bucket: int = 1_000_000, mode: str = "append") -> None:
+def write_log(events: DataFrame, path: str, bucket: int = 1_000_000, mode: str = "append", ordered: bool = False) -> None:
     """Append in sequence order, partitioned by sequence bucket: time slices and sequence ranges skip files and row groups,
     entity lookups skip pages by Bloom filter. A failed append leaves nothing behind; readers that list the folder while
-    files are being committed may see some of them."""
+    files are being committed may see some of them. ordered: the events come in sequence order already, as from another
+    log, so that tasks sort what they read and nothing is sampled or shuffled."""
     out = events.withColumn("seq_bucket", F.expr(f"sequence div {bucket}"))
     (
-        out.repartitionByRange("seq_bucket", "sequence")
+        (out if ordered else out.repartitionByRange("seq_bucket", "sequence"))
         .sortWithinPartitions("seq_bucket", "sequence")
         .write.mode(mode)
         .partitionBy("seq_bucket")
