@@ -50,15 +50,17 @@ def release(spark: SparkSession) -> int:
     return done
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, tidy: bool = True) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    Collecting garbage afterwards lets Spark delete the shuffle files of the stages that produced the table.
+    tidy: let Spark delete the shuffle files of the stages that produced the table at once; steps that shuffle little leave
+    that to the next one.
     """
     spark = df.sparkSession
     path = shared_dir(spark, label)
     df.write.parquet(path)
-    free_shuffles(spark)
+    if tidy:
+        free_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

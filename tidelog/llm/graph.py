@@ -10,7 +10,7 @@ from tidelog.llm.common import materialize
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")  # so that Spark may split the join
+    least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least", False)  # so that Spark may split the join
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
@@ -30,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     seen = None
     while True:
-        now = materialize(now, "edges")
+        now = materialize(now, "edges", False)
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == seen or not state[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -157,26 +157,31 @@ def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
     return same.unionByName(near.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))).distinct()
 
 
-def _rooted(entries: DataFrame, edges: DataFrame) -> DataFrame:
-    """Entries with the `root` of their node in the components of `edges`."""
-    roots = components(edges).toDF("node", "root")
+def _rooted(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """Entries with the `root` of their node."""
     return materialize(entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
 
 
-def _links(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """a, b: edges with the same components as all links between nodes."""
-    edges = _confirmed(_fingerprint_pairs(nodes), nodes, texts, words)
+def _joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, root: the components after more edges. Those so far are stars, which settle at once."""
+    return components(roots.toDF("a", "b").unionByName(edges))
+
+
+def _roots(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """node, root of every node that is not itself a root: the components of all links between nodes."""
+    roots = components(_confirmed(_fingerprint_pairs(nodes), nodes, texts, words))
     entries = nodes.select("node", "n", F.explode("prefix").alias("h"))
     times = entries.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     shared = materialize(entries.join(times, "h").select("h", "m", "node", "n"), "shared")
-    edges = edges.unionByName(_confirmed(_all_pairs(_rooted(shared.where(F.col("m") <= FEW), edges)), nodes, texts, words))
+    few = _rooted(shared.where(F.col("m") <= FEW), roots)
+    roots = _joined(roots, _confirmed(_all_pairs(few), nodes, texts, words))
     many = shared.where(F.col("m") > FEW)
     if many.isEmpty():
-        return edges
+        return roots
     share = shared.groupBy("node").agg((F.count(F.lit(1)) / (F.expr("first(n) div 5") + 1)).alias("share"))
     many = materialize(many.join(share, "node").select("h", "node", "n", "share"), "many")
     for turn in range(ROUNDS + 1):
-        now = _rooted(many, edges)
+        now = _rooted(many, roots)
         apart = now.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y")
         apart = materialize(apart.select("h", "m"), "apart")
         pairs, rows = apart.agg(F.sum(F.col("m").cast("double") * F.col("m") / 2), F.sum("m")).first()
@@ -184,10 +189,10 @@ def _links(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
             break
         last = turn == ROUNDS or pairs <= FEW * rows
         now = now.join(apart.select("h"), "h", "left_semi")
-        edges = edges.unionByName(_confirmed(_all_pairs(now) if last else _pivot_pairs(now, turn), nodes, texts, words))
+        roots = _joined(roots, _confirmed(_all_pairs(now) if last else _pivot_pairs(now, turn), nodes, texts, words))
         if last:
             break
-    return edges
+    return roots
 
 
 def similar_groups(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,7 +208,7 @@ def similar_groups(docs: DataFrame, words: int, id_col: str = "doc_id", text_col
     rep = F.min(F.struct("doc_id", "text_crc32")).alias("rep")
     nodes = rows.groupBy("key").agg(F.min("doc_id").alias("first"), rep, F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "distinct-sets")
-    joined = nodes.join(components(_links(nodes, texts, words)), "node", "left").select("key", "first", F.coalesce("root", "node").alias("root"))
+    joined = nodes.join(_roots(nodes, texts, words), "node", "left").select("key", "first", F.coalesce("root", "node").alias("root"))
     joined = materialize(joined, "roots")
     groups = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     named = joined.join(groups, "root").select("key", "component_id")
