@@ -190,6 +190,22 @@ def test_subscriptions_project_and_refuse_limits(spark, two, tmp_path):
     assert late == []
 
 
+def test_two_writers_of_one_log(spark, two, tmp_path):
+    path = str(tmp_path / "log")
+    write_log(two, path)
+    first, second = (Engine(spark, spark.read.parquet(path), path) for _ in range(2))
+    first.append(log(spark, [event(10, ticks=30)]))
+    with pytest.raises(admit.AdmissionError, match="another writer"):
+        second.append(log(spark, [event(10, ticks=31)]))
+    again = Engine(spark, spark.read.parquet(path), path)
+    again.append(log(spark, [event(11, ticks=31)]))
+    assert sorted(ids(again.events)) == list(range(12))
+    with pytest.raises(admit.AdmissionError):
+        again.append(log(spark, [event(15, ticks=40)]))
+    again.append(log(spark, [event(12, ticks=40)]))
+    assert again.events.count() == 13
+
+
 def test_media_references(spark):
     rows = spark.createDataFrame([(1, "one"), (2, "two"), (3, "three"), (4, "four")], "id long, body string")
     refs = media_reference(rows, F.concat(F.lit("m/"), F.col("id").cast("string")), "body").select("uri", "content_hash", "byte_size")

@@ -15,7 +15,7 @@ from tidelog.plans import compile as plans
 from tidelog.plans.ir import Budget, CausalTrace, Query, Scan, SpatialScan
 from tidelog.plans.parse import parse, parse_expr
 from tidelog.plans.rewrite import Rewritten, simplify
-from tidelog.sources.events import write_log
+from tidelog.sources.events import claim, release_claim, write_log
 from tidelog.streaming.subscribe import deliver, stream_log, subscription
 
 
@@ -109,14 +109,22 @@ class Engine:
         return scan.get(self.events, EventId.parse(event))
 
     def append(self, batch: DataFrame) -> None:
-        """Check a batch and add it to the log, as a whole or not at all."""
+        """Check a batch and add it to the log, as a whole or not at all. Of two writers of a stored log that saw the same
+        end, the second is refused, and must open the log anew."""
         last = self.events.agg(F.max("sequence").alias("s"), F.max_by(F.struct("known_clock", "known_ticks"), "sequence").alias("k")).first()
         known = None if last["k"] is None else (last["k"]["known_clock"], last["k"]["known_ticks"])
-        checked = admit.admit(batch, 0 if last["s"] is None else last["s"] + 1, known)
+        first = 0 if last["s"] is None else last["s"] + 1
+        checked = admit.admit(batch, first, known)
         if self.path is None:
             self.events = self.events.unionByName(checked, allowMissingColumns=True)
         else:
-            write_log(checked.coalesce(1), self.path, ordered=True)  # a batch is one task's work
+            if not claim(self.spark, self.path, first):
+                raise admit.AdmissionError(f"another writer appends from {first}")
+            try:
+                write_log(checked.coalesce(1), self.path, ordered=True)  # a batch is one task's work
+            except BaseException:
+                release_claim(self.spark, self.path, first)
+                raise
             self.events = self.spark.read.schema(self.events.schema).parquet(self.path)
 
     def state(self, sequence: int) -> DataFrame:

@@ -144,16 +144,17 @@ def batch_verdicts(spark, sf_dir):
     return spark.createDataFrame(rows, "batch string, answer string")
 
 
-@query(f"WITH RECURSIVE {EV}, {GRAPH}, want AS (SELECT * FROM (VALUES (900, 3), (3, 900), (450, 900), (7, 8), (900, 900)) t(cause, effect)), reach AS (SELECT cause, effect, effect::BIGINT AS node FROM want UNION SELECT r.cause, r.effect, l.effect FROM reach r JOIN links l ON l.cause = r.node) SELECT cause::BIGINT AS cause, effect::BIGINT AS effect, NOT bool_or(node = cause) AS accepted FROM reach GROUP BY ALL")
+@query(f"WITH RECURSIVE {EV}, {GRAPH}, want AS (SELECT n - a AS cause, n - b AS effect FROM (SELECT max(sequence) AS n FROM ev), (VALUES (0, 200), (200, 0), (2, 3), (5, 5), (100, 450)) t(a, b)), reach AS (SELECT cause, effect, effect AS node FROM want UNION SELECT r.cause, r.effect, l.effect FROM reach r JOIN links l ON l.cause = r.node) SELECT cause, effect, NOT bool_or(node = cause) AS accepted FROM reach GROUP BY ALL")
 def cycle_check(spark, sf_dir):
-    """Declared causes that would close a cycle are refused."""
+    """Declared causes among the last events that would close a cycle are refused."""
+    _, _, n = _span(spark, sf_dir)
     graph, rows = causal.edges(with_causes(bind_events(spark, sf_dir))).persist(), []
-    for cause, effect in ((900, 3), (3, 900), (450, 900), (7, 8), (900, 900)):
+    for a, b in ((0, 200), (200, 0), (2, 3), (5, 5), (100, 450)):
         try:
-            causal.add_edges(graph, spark.createDataFrame([(cause, effect)], "cause long, effect long"))
-            rows.append((cause, effect, True))
+            causal.add_edges(graph, spark.createDataFrame([(n - a, n - b)], "cause long, effect long"))
+            rows.append((n - a, n - b, True))
         except causal.CycleError:
-            rows.append((cause, effect, False))
+            rows.append((n - a, n - b, False))
     graph.unpersist()
     return spark.createDataFrame(rows, "cause long, effect long, accepted boolean")
 

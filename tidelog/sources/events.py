@@ -94,6 +94,18 @@ def _files(spark: SparkSession, path: str):
     return own.getFileSystem(conf), own, jvm, conf
 
 
+def claim(spark: SparkSession, path: str, first: int) -> bool:
+    """Whether this writer is the only one that may append from a sequence: the first to make the claim's file is. The folder
+    is not read as data. A claim without data, left by a writer that was lost, is taken back by `release_claim`."""
+    fs, own, jvm, _ = _files(spark, path)
+    return fs.createNewFile(jvm.org.apache.hadoop.fs.Path(own, f"_claims/{first:020d}"))
+
+
+def release_claim(spark: SparkSession, path: str, first: int) -> None:
+    fs, own, jvm, _ = _files(spark, path)
+    fs.delete(jvm.org.apache.hadoop.fs.Path(own, f"_claims/{first:020d}"), False)
+
+
 def seal(spark: SparkSession, path: str, out: str, bucket: int = 1_000_000) -> DataFrame:
     """Write each complete sequence bucket of a log that is not sealed yet as one segment, and return the manifest of all.
 
