@@ -163,8 +163,13 @@ def _rooted(entries: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, root: the components after more edges. Those so far are stars, which settle at once."""
-    return components(roots.toDF("a", "b").unionByName(edges))
+    """node, root: the components after more edges. Only the groups that the edges join take part: each group is one node."""
+    ends = roots.toDF("node", "top")
+    for end in ("a", "b"):
+        edges = edges.join(ends.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("top", end)).drop("top")
+    more = materialize(components(edges.where("a <> b").select("a", "b")), "joined-groups")
+    moved = roots.join(more.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return materialize(moved.unionByName(more), "groups-so-far")
 
 
 def _roots(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
