@@ -128,22 +128,27 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int)
 
 #: Jaccard similarity of 4/5 or more, in whole numbers: what the sizes allow, and what the sets say.
 _SIZES = "5 * least(n, n_b) >= 4 * greatest(n, n_b)"
+#: What the places allow: of the first shingle that two sets share, all others that they share come after it in both.
+_PLACES = "9 * least(n - pos, n_b - pos_b) >= 4 * (n + n_b)"
 _SIMILAR = "9 * size(array_intersect(own_a, own_b)) >= 4 * (size(own_a) + size(own_b))"
 
 
 def _all_pairs(entries: DataFrame) -> DataFrame:
-    """a, b: nodes of one shingle (h, node, n, root) that are not in one group yet."""
-    other = entries.select("h", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    met = entries.join(other, "h").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")) & F.expr(_SIZES))
+    """a, b: nodes of one shingle (h, node, n, pos, root) that are not in one group yet and may be similar if it is the first
+    one that they share; a similar pair passes at that one. Texts that are mostly one common passage, each with a rest of
+    its own, do not become pairs unless their rests are short enough."""
+    other = entries.select("h", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("root").alias("root_b"))
+    met = entries.join(other, "h").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")) & F.expr(_SIZES) & F.expr(_PLACES))
     return met.select(F.col("node").alias("a"), "b").distinct()
 
 
 def _pivot_pairs(entries: DataFrame, turn: int) -> DataFrame:
     """a, b: each node of a shingle and the shingle's pivot. First that is the node with the largest share of its prefix
     in common with others, as the origin of edited copies has; later, another one each time."""
-    order = F.struct("share", "node", "n", "root") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "node").alias("share"), "node", "n", "root")
-    pivots = materialize(entries.groupBy("h").agg(F.max(order).alias("p")).select("h", F.col("p.node").alias("b"), F.col("p.n").alias("n_b"), F.col("p.root").alias("root_b")), "pivots")
-    met = entries.join(pivots, "h").where((F.col("root") != F.col("root_b")) & F.expr(_SIZES))
+    rank = F.col("share") if turn == 0 else F.xxhash64(F.lit(turn), "node").alias("share")
+    order = F.struct(rank, "node", "n", "pos", "root")
+    pivots = materialize(entries.groupBy("h").agg(F.max(order).alias("p")).select("h", F.col("p.node").alias("b"), F.col("p.n").alias("n_b"), F.col("p.pos").alias("pos_b"), F.col("p.root").alias("root_b")), "pivots")
+    met = entries.join(pivots, "h").where((F.col("root") != F.col("root_b")) & F.expr(_SIZES) & F.expr(_PLACES))
     return met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
@@ -175,16 +180,16 @@ def _joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
 def _roots(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """node, root of every node that is not itself a root: the components of all links between nodes."""
     roots = components(_confirmed(_fingerprint_pairs(nodes), nodes, texts, words))
-    entries = nodes.select("node", "n", F.explode("prefix").alias("h"))
+    entries = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "h"))
     times = entries.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    shared = materialize(entries.join(times, "h").select("h", "m", "node", "n"), "shared")
+    shared = materialize(entries.join(times, "h").select("h", "m", "node", "n", "pos"), "shared")
     few = _rooted(shared.where(F.col("m") <= FEW), roots)
     roots = _joined(roots, _confirmed(_all_pairs(few), nodes, texts, words))
     many = shared.where(F.col("m") > FEW)
     if many.isEmpty():
         return roots
     share = shared.groupBy("node").agg((F.count(F.lit(1)) / (F.expr("first(n) div 5") + 1)).alias("share"))
-    many = materialize(many.join(share, "node").select("h", "node", "n", "share"), "many")
+    many = materialize(many.join(share, "node").select("h", "node", "n", "pos", "share"), "many")
     for turn in range(ROUNDS + 1):
         now = _rooted(many, roots)
         apart = now.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y")
