@@ -250,6 +250,35 @@ def test_near_ties_are_ordered_exactly(spark):
     assert got == [(i, scores[i]) for i in sorted(scores, key=lambda i: (-scores[i], i))[:20]]
 
 
+def test_the_sample_reaches_the_driver_projected(spark, monkeypatch):
+    """The driver's share of a fit does not grow with the vectors' width."""
+    width, count, seen = 300, 400, []
+    X = np.random.default_rng(9).standard_normal((count, width))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "id long, w array<double>").cache()
+    kind = type(rows)
+    collect, arrow = kind.collect, kind.toArrow
+
+    def collected(self):
+        got = collect(self)
+        seen.append(8 * sum(len(r["w"]) for r in got))
+        return got
+
+    def as_arrow(self):
+        got = arrow(self)
+        seen.append(got.nbytes)
+        return got
+
+    monkeypatch.setattr(kind, "collect", collected)
+    monkeypatch.setattr(kind, "toArrow", as_arrow)
+    largest = float(np.sqrt((X**2).sum(axis=1)).max())
+    tree = ann.fit(rows, count, width, largest, 8, 64)
+    assert 0 < sum(seen) <= count * 8 * 8 and tree.leaves == 4
+    points = ann.Tree(tree.directions, largest, []).project(X, True)
+    dim, value = tree.splits[0]
+    assert dim == np.argmax(np.ptp(points, axis=0)) and value == pytest.approx(np.median(points[:, dim]))
+    assert np.bincount(tree.leaf(points), minlength=4).tolist() == [100] * 4
+
+
 def test_chi_square():
     assert ann.chi2_quantile(0.95, 8) == pytest.approx(15.507, abs=1e-3) and ann.chi2_quantile(0.5, 2) == pytest.approx(1.386, abs=1e-3)
 

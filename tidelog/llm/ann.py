@@ -118,10 +118,17 @@ def fit(rows: DataFrame, count: int, width: int, largest: float, dims: int, bloc
     most as many as the sample can tell apart (INNER_LEAF sample rows each)."""
     directions = np.random.default_rng(SEED).standard_normal((width + 1, dims))
     share = min(1.0, SAMPLE_ROWS / max(1, count))
-    drawn = rows.where(F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53)) < share).select("w").limit(2 * SAMPLE_ROWS)
-    sample = np.array([r["w"] for r in drawn.collect()], dtype=np.float64).reshape(-1, width)
+    drawn = rows.where(F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53)) < share).select("w")
     tree = Tree(directions, largest, [])
-    points = tree.project(sample, True)
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = batch.column("w").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, tree.project(w, True).T)], names)
+
+    names = [f"p{d}" for d in range(dims)]  # the driver gets these only, however wide the vectors are
+    sample = drawn.mapInArrow(project, ", ".join(f"{n} double" for n in names)).limit(2 * SAMPLE_ROWS).toArrow()
+    points = np.column_stack([sample.column(n).to_numpy() for n in names])
     parts, splits = [points], []
     while len(parts) * block_rows < count and len(parts) * 2 * INNER_LEAF <= len(points):
         halves = []
