@@ -1,5 +1,8 @@
 from collections import Counter
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 import __spark_entry__ as entry
 
@@ -28,6 +31,29 @@ def test_stages(spark, docs):
     assert ends == want
 
 
+def test_a_stage_run_alone_bounds_what_goes_to_python(spark, docs):
+    """Stages do not need `run` for it: neither whole texts nor packed columns travel 10,000 rows at a time."""
+    from tidelog.llm.common import BATCH_KEY, BATCH_ROWS, BYTES_KEY
+
+    def batches(found):
+        for b in found:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    for _, stage in pipeline.STAGES[:3] + pipeline.STAGES[4:]:
+        spark.conf.unset(BATCH_KEY)
+        spark.conf.unset(BYTES_KEY)
+        stage(spark, docs, "")
+        for rows_, length in ((3000, 1), (200, 50_000)):
+            texts = spark.range(0, rows_, 1, 1).select(F.repeat(F.lit("x"), length).alias("text"))
+            got = texts.mapInArrow(batches, "n long, size long").collect()
+            assert max(r["n"] for r in got) <= BATCH_ROWS and max(r["size"] for r in got) <= 5 << 20
+    spark.conf.set(BATCH_KEY, "7")  # a session that asks for less gets it
+    pipeline.STAGES[2][1](spark, docs, "")
+    assert spark.conf.get(BATCH_KEY) == "7"
+    spark.conf.unset(BATCH_KEY)
+    spark.conf.unset(BYTES_KEY)
+
+
 def test_empty_input(spark, empty):
     assert stages(spark, empty)[-1].count() == 0
 

@@ -15,6 +15,9 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 #: time are held several times over, outside the heap and in each worker.
 BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 1000
+#: Rows of packed columns are much larger than texts, so bytes are bounded too.
+BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = "4m"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -88,10 +91,22 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def bound_rows(spark: SparkSession) -> None:
+    """At most BATCH_ROWS rows go to Python at a time."""
+    if not 0 < int(spark.conf.get(BATCH_KEY)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """At most BATCH_ROWS rows go to Python at a time, and at most about BATCH_BYTES where the session names no bound."""
+    bound_rows(spark)
+    if spark.conf.get(BYTES_KEY, None) is None:
+        spark.conf.set(BYTES_KEY, BATCH_BYTES)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     here = str(Path(__file__).resolve().parents[2])
     if spark.sparkContext.master.startswith("local["):  # workers must find this package wherever the session was started
         spark.sparkContext.environment.setdefault("PYTHONPATH", here)
-    if not 0 < int(spark.conf.get(BATCH_KEY)) <= BATCH_ROWS:
-        spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
+    bound_rows(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
