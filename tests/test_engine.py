@@ -581,6 +581,27 @@ def test_vectors(spark):
     assert odd["d"] == 0 and odd["e"] == float("inf")
 
 
+def test_nearest_vectors_are_dealt_to_tasks_and_scored_in_full(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([0.0, 1.0, 2.0, -1.0]) for _ in range(3)]) for i in range(90)] + [(90, None), (91, [1.0, None, 2.0]), (92, [1.0, 2.0]), (7, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    q = df.where("vec_id % 4 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    pairs = df.crossJoin(q).where("vec_id <> query_id").select("query_id", "vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("query")), 9).alias("score"))
+    want = {}
+    for r in sorted(pairs.collect(), key=lambda r: (-r["score"], r["vec_id"])):
+        want.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for tile, rows_at_once in ((1024, 4096), (3, 5)):
+        monkeypatch.setattr(vectors, "TILE", tile)
+        monkeypatch.setattr(vectors, "ROWS", rows_at_once)
+        found = vectors.nearest(df, q, 5)
+        got = {}
+        for r in found.orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+        assert got == {k: v[:5] for k, v in want.items()}
+    plan = found._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan  # no expression is evaluated a pair
+
+
 def test_transformations(spark, two):
     registry = transform.Registry()
     tight = transform.Manifest("x", "1.0.0", "event_to_observation", transform.Budget(steps=11))
