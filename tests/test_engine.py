@@ -602,6 +602,21 @@ def test_nearest_vectors_are_dealt_to_tasks_and_scored_in_full(spark, monkeypatc
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan  # no expression is evaluated a pair
 
 
+def test_appends_and_records_have_no_most(spark):
+    n = admit.MAX_RECORDS + 10
+    known = branches.fork(branches.open_branches(spark), "b1", 0, 2, 5)
+    rows = spark.createDataFrame([(0, s, 0) for s in range(5)], "branch long, sequence long, known_ticks long")
+    batch = spark.range(n).select((F.lit(3 * n) - F.col("id") * 3).alias("known_ticks")).repartition(7)
+    got = branches.append(rows, known, 1, batch, "known_ticks").where("branch = 1")
+    facts = got.agg(F.count(F.lit(1)), F.min("sequence"), F.max("sequence"), F.sum(F.abs(F.col("known_ticks") - (F.col("sequence") - 2) * 3))).first()
+    assert tuple(facts) == (n, 3, n + 2, 0)
+    new = spark.range(n).select(F.format_string("%07d", "id").alias("what")).repartition(7)
+    items = knowledge.record(spark.createDataFrame([(4, "a")], "id long, what string"), new, "what").where("id > 4")
+    assert tuple(items.agg(F.count(F.lit(1)), F.max("id"), F.sum(F.abs(F.col("id") - 5 - F.col("what").cast("long")))).first()) == (n, n + 4, 0)
+    few = spark.createDataFrame([("b", 1), ("a", 2), (None, 3)], "w string, x int")
+    assert [tuple(r) for r in spans.in_order(few, "w", "at").orderBy("at").collect()] == [(None, 3, 0), ("a", 2, 1), ("b", 1, 2)]
+
+
 def test_transformations(spark, two):
     registry = transform.Registry()
     tight = transform.Manifest("x", "1.0.0", "event_to_observation", transform.Budget(steps=11))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators.spans import free_name, in_order
+
 #: Fixed limits of a batch.
 MAX_RECORDS, MAX_PAYLOAD, MAX_CAUSES = 65_536, 1 << 20, 64
 
@@ -76,5 +78,6 @@ def admit(batch: DataFrame, next_sequence: int, last_known: tuple[int, int] | No
 
 
 def assign_sequences(batch: DataFrame, next_sequence: int, order: str) -> DataFrame:
-    """Number a bounded batch (MAX_RECORDS rows at most) from `next_sequence` in the order of a column."""
-    return batch.withColumn("sequence", F.row_number().over(Window.orderBy(order)) - 1 + F.lit(next_sequence).cast("long"))
+    """Number rows from `next_sequence` in the order of a column, whether they make one batch or many that follow each other."""
+    at = free_name(batch, "_place")
+    return in_order(batch, order, at).withColumn("sequence", F.col(at) + F.lit(next_sequence).cast("long")).drop(at)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.operators.admit import MAX_RECORDS, assign_sequences
+from tidelog.operators.admit import assign_sequences
 
 BRANCHES = "id long, name string, parent long, fork_sequence long, lifecycle string, created_at_ms long"
 LIFECYCLES = ("active", "temporary", "candidate", "promoted", "retired")
@@ -48,15 +48,13 @@ def check_append(branches: DataFrame, branch: int) -> None:
 
 
 def append(events: DataFrame, branches: DataFrame, branch: int, batch: DataFrame, order: str) -> DataFrame:
-    """The events with a batch (of MAX_RECORDS rows at most) added to a branch, numbered from its next sequence: after its
-    last own event, or after its fork."""
+    """The events with a batch added to a branch, numbered from its next sequence: after its last own event, or after its
+    fork. Rows of any number are numbered in one go, as batches of MAX_RECORDS that follow each other would be."""
     check_append(branches, branch)
     row = branches.where(F.col("id") == branch).first()
     last = events.where(F.col("branch") == branch).agg(F.max("sequence")).first()[0]
     start = -1 if row["fork_sequence"] is None else row["fork_sequence"]
     following = max(start, -1 if last is None else last) + 1
-    if len(batch.select(order).limit(MAX_RECORDS + 1).collect()) > MAX_RECORDS:
-        raise BranchError(f"append {MAX_RECORDS} events at most at a time")
     own = assign_sequences(batch.drop("sequence", "branch"), following, order).withColumn("branch", F.lit(branch).cast("long"))
     return events.unionByName(own, allowMissingColumns=True)
 

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.operators.admit import MAX_RECORDS
 from tidelog.operators.causal import FRONTIER_LIMIT, walk
-from tidelog.operators.spans import SPAN, nth_smallest
+from tidelog.operators.spans import SPAN, free_name, in_order, nth_smallest
 
 #: Fixed antonyms; matched as substrings, so "inactive" also holds "active".
 ANTONYMS = (("true", "false"), ("alive", "dead"), ("active", "inactive"), ("healthy", "critical"), ("open", "closed"))
@@ -24,12 +23,9 @@ def checked_confidence(confidence: Column) -> Column:
 
 
 def record(items: DataFrame, new: DataFrame, order: str) -> DataFrame:
-    """A batch of new observations, claims or rules appended with the next ids, in the order of a column. new: one batch, of
-    MAX_RECORDS rows at most, which one task numbers."""
-    if len(new.select(order).limit(MAX_RECORDS + 1).collect()) > MAX_RECORDS:
-        raise ValueError(f"record {MAX_RECORDS} items at most at a time")
-    last = items.agg(F.max("id")).first()[0]
-    numbered = new.withColumn("id", F.row_number().over(Window.orderBy(order)) + F.lit(0 if last is None else last).cast("long"))
+    """New observations, claims or rules appended with the next ids, in the order of a column."""
+    last, at = items.agg(F.max("id")).first()[0], free_name(new, "_place")
+    numbered = in_order(new, order, at).withColumn("id", F.col(at) + F.lit(1 if last is None else last + 1).cast("long"))
     return items.unionByName(numbered.select(*items.columns))
 
 
