@@ -271,7 +271,7 @@ def mirrored(spark, sf_dir):
     """A stream in shadow mode: the old folder and its mirror hold each event once."""
     path, old, new = scratch(spark, "log"), scratch(spark, "old"), scratch(spark, "new")
     log_files.write_log(_canonical(spark, sf_dir), path, 500)
-    stream = subscribe.stream_log(spark, path, EVENT)
+    stream = subscribe.stream_log(spark, path, EVENT, subscribe.files_within(1_000_000, 500))
     matches = subscribe.subscription(stream, "SELECT sequence FROM log WHERE schema = 2")
     subscribe.deliver(matches, subscribe.mirror_sink(old, new, "shadow", 1_000_000), scratch(spark, "offsets"), once=True).awaitTermination()
     read = lambda folder, name: spark.read.parquet(folder).select(F.lit(name).alias("copy"), "sequence")

@@ -21,6 +21,12 @@ def stream_log(spark: SparkSession, path: str, schema: StructType, files_per_bat
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def files_within(capacity: int, bucket: int) -> int:
+    """How many files a micro-batch of a log may have (see `stream_log`) so that it never holds over `capacity` events: a file
+    holds a bucket of sequences at most (see `write_log`)."""
+    return max(1, capacity // bucket)
+
+
 def subscription(stream: DataFrame, text: str, from_sequence: int = 0, snapshot_end: int | None = None, limit_ignored: bool = False) -> DataFrame:
     """Matching events of a stream, past ones and new ones under the same predicates, with is_live.
 
