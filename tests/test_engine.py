@@ -10,7 +10,7 @@ from tidelog.model import EVENT, EntityId, EventId, Field, RecordSchema, TimeRan
 from tidelog.operators import admit, branches, causal, evolve, index, knowledge, replay, runtime, scan, spans, transform
 from tidelog.plans.compile import AnalysisError
 from tidelog.plans.ir import Budget
-from tidelog.sources.events import backup, backup_manifest, choose_encoding, columnar_export, media_reference, restore, retire, seal, verify_backup, verify_media, write_log
+from tidelog.sources.events import backup, backup_manifest, choose_encoding, columnar_export, media_reference, read_log, restore, retire, seal, verify_backup, verify_media, write_log
 from tidelog.streaming import subscribe
 
 
@@ -617,6 +617,25 @@ def test_appends_and_records_have_no_most(spark):
     assert [tuple(r) for r in spans.in_order(few, "w", "at").orderBy("at").collect()] == [(None, 3, 0), ("a", 2, 1), ("b", 1, 2)]
 
 
+def test_small_buckets_make_small_files(spark, two, tmp_path):
+    path, copy = str(tmp_path / "log"), str(tmp_path / "copy")
+    write_log(two, path, 2)
+    assert max(p.stat().st_size for p in (tmp_path / "log").rglob("*.parquet")) < 50_000  # not a mebibyte of Bloom filter
+    assert read_log(spark, path).where("slot = 1").count() == 5
+    assert backup(spark, path, copy).count() == 5 and restore(spark, copy, str(tmp_path / "back")).count() == 10
+    names = lambda folder: sorted(str(p.relative_to(tmp_path / folder)) for p in (tmp_path / folder).rglob("*") if p.is_file())
+    assert names("log") == names("copy") == names("back")
+
+
+def test_a_mirror_reads_as_many_files_as_it_may_hold(spark, two, tmp_path):
+    assert subscribe.files_within(1_000_000, 500) == 2000 and subscribe.files_within(10, 500) == 1
+    path, sizes = str(tmp_path / "log"), []
+    write_log(two, path, 2)
+    stream = subscribe.subscription(subscribe.stream_log(spark, path, EVENT, subscribe.files_within(4, 2)), "WHERE sequence >= 0")
+    subscribe.deliver(stream, lambda df, n: sizes.append(df.count()), str(tmp_path / "cp"), once=True).awaitTermination()
+    assert sum(sizes) == 10 and max(sizes) == 4 and len(sizes) == 3
+
+
 def test_transformations(spark, two):
     registry = transform.Registry()
     tight = transform.Manifest("x", "1.0.0", "event_to_observation", transform.Budget(steps=11))

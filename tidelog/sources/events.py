@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,6 +14,8 @@ from tidelog.operators.runtime import retired_prefix
 SCHEMA_IDS = {"click": 1, "error": 2, "purchase": 3, "signup": 4, "view": 5}
 SKEW_TICKS = 60_000_000
 SPAN = 1_000_000
+#: Files that the driver has copied at a time, and tasks that list a log's folders.
+COPIERS, LISTERS = 16, 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,15 +71,29 @@ def with_causes(events: DataFrame) -> DataFrame:
     return events.withColumn("causes", F.transform(ids, lambda s: F.struct(F.lit(1).cast("long").alias("source"), F.lit(1).cast("long").alias("epoch"), s.alias("sequence")))).drop("_previous")
 
 
+@contextmanager
+def _few_listers(spark: SparkSession):
+    """Spark lists a log of many buckets with up to 10,000 tasks, whose overhead is most of the time and of what they send."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), LISTERS)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    with _few_listers(spark):
+        return spark.read.parquet(path)
 
 
 def write_log(events: DataFrame, path: str, bucket: int = 1_000_000, mode: str = "append", ordered: bool = False) -> None:
     """Append in sequence order, partitioned by sequence bucket: time slices and sequence ranges skip files and row groups,
     entity lookups skip pages by Bloom filter. A failed append leaves nothing behind; readers that list the folder while
-    files are being committed may see some of them. ordered: the events come in sequence order already, as from another
-    log, so that tasks sort what they read and nothing is sampled or shuffled."""
+    files are being committed may see some of them. A filter is sized for the entities that a bucket can hold, since Parquet
+    would give each file a mebibyte. ordered: the events come in sequence order already, as from another log, so that tasks
+    sort what they read and nothing is sampled or shuffled."""
     out = events.withColumn("seq_bucket", F.expr(f"sequence div {bucket}"))
     (
         (out if ordered else out.repartitionByRange("seq_bucket", "sequence"))
@@ -83,6 +101,7 @@ def write_log(events: DataFrame, path: str, bucket: int = 1_000_000, mode: str =
         .write.mode(mode)
         .partitionBy("seq_bucket")
         .option("parquet.bloom.filter.enabled#slot", "true")
+        .option("parquet.bloom.filter.expected.ndv#slot", str(min(bucket, SPAN)))
         .parquet(path)
     )
 
@@ -137,15 +156,29 @@ def retire(spark: SparkSession, path: str, sealed: DataFrame, holds: list[tuple[
     return gone
 
 
+def _copy(spark: SparkSession, path: str, out: str) -> None:
+    """Copy a folder to a new one, COPIERS of its entries at a time."""
+    fs, own, jvm, conf = _files(spark, path)
+    to, target, _, _ = _files(spark, out)
+    entries, util = jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(fs.listStatus(own)), jvm.org.apache.hadoop.fs.FileUtil
+    if not to.mkdirs(target):
+        raise OSError(f"{out} could not be made")
+    n = len(entries)
+    cuts = sorted({n * i // COPIERS for i in range(COPIERS + 1)})
+    parts = [entries[a:b] for a, b in zip(cuts, cuts[1:])]
+    with ThreadPoolExecutor(COPIERS) as pool:
+        done = pool.map(lambda part: util.copy(fs, part, to, target, False, False, conf), parts)
+    if not all(done):
+        raise OSError(f"{path} could not be copied")
+
+
 def backup(spark: SparkSession, path: str, out: str) -> DataFrame:
     """Copy a log's files to a new folder, file by file through Hadoop, and write its manifest beside it (`out`.manifest),
     which is returned; a copy that differs from its source is an error."""
-    fs, own, jvm, conf = _files(spark, path)
     to, target, _, _ = _files(spark, out)
     if to.exists(target):
         raise FileExistsError(out)
-    if not jvm.org.apache.hadoop.fs.FileUtil.copy(fs, own, to, target, False, conf):
-        raise OSError(f"{path} could not be copied")
+    _copy(spark, path, out)
     backup_manifest(spark, path).write.parquet(f"{out}.manifest")
     made = spark.read.parquet(f"{out}.manifest")
     if bad := verify_backup(made, backup_manifest(spark, out)).take(1):
@@ -155,14 +188,12 @@ def backup(spark: SparkSession, path: str, out: str) -> DataFrame:
 
 def restore(spark: SparkSession, copy: str, path: str) -> DataFrame:
     """Bring a backup back to a folder that does not exist yet, after checking it against its manifest, and read it."""
-    fs, own, jvm, conf = _files(spark, copy)
     to, target, _, _ = _files(spark, path)
     if to.exists(target):
         raise FileExistsError(path)
     if bad := verify_backup(spark.read.parquet(f"{copy}.manifest"), backup_manifest(spark, copy)).take(1):
         raise OSError(f"{bad[0]['file']}: {bad[0]['problem']}")
-    if not jvm.org.apache.hadoop.fs.FileUtil.copy(fs, own, to, target, False, conf):
-        raise OSError(f"{copy} could not be copied")
+    _copy(spark, copy, path)
     return read_log(spark, path)
 
 
@@ -186,7 +217,8 @@ def verify_media(references: DataFrame, contents: DataFrame, content: str = "con
 
 def backup_manifest(spark: SparkSession, path: str) -> DataFrame:
     """file (its path below `path`), bytes, crc32 of every file under `path`: compare two of these to verify a copy or a restore."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    with _few_listers(spark):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     root = urlparse(path).path.rstrip("/") + "/"
     return files.select(F.substring_index("path", root, -1).alias("file"), F.col("length").alias("bytes"), F.crc32("content").alias("crc32"))
 
