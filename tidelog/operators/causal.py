@@ -58,8 +58,9 @@ def walk(graph: DataFrame, roots: set[int], direction: str = "causes", depth: in
     seen, frontier, level = dict.fromkeys(roots, 0), set(roots), 0
     while frontier and (depth is None or level < depth) and len(seen) <= FRONTIER_LIMIT:
         level += 1
-        found = _step(graph, frontier, here, there) - seen.keys()
-        if len(found) > FRONTIER_LIMIT:
+        step = _step(graph, frontier, here, there)
+        found = step - seen.keys()
+        if len(step) > FRONTIER_LIMIT:  # cut short, whatever of it was seen before
             return _wide_trace(graph, spark.createDataFrame(sorted(seen.items()), "node long, depth int"), here, there, level - 1, depth)
         frontier = found
         seen |= dict.fromkeys(found, level)
