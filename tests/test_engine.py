@@ -636,6 +636,31 @@ def test_a_mirror_reads_as_many_files_as_it_may_hold(spark, two, tmp_path):
     assert sum(sizes) == 10 and max(sizes) == 4 and len(sizes) == 3
 
 
+def test_wide_walks_lose_nothing_that_was_seen_before(spark, monkeypatch):
+    """A step that was cut short is wide, though some of its nodes were met earlier."""
+    monkeypatch.setattr(causal, "FRONTIER_LIMIT", 8)
+    links = [(0, n) for n in range(1, 6)] + [(1, n) for n in range(2, 6)] + [(2, n) for n in range(3, 18)]
+    graph = spark.createDataFrame(links, "cause long, effect long")
+    for again in range(3):
+        got = causal.walk(graph.repartition(again + 1, "effect"), {0}, "effects", None)
+        assert {r["node"]: r["depth"] for r in got.collect()} == {0: 0} | dict.fromkeys(range(1, 6), 1) | dict.fromkeys(range(6, 18), 2)
+
+
+def test_an_append_is_made_by_all_tasks(spark, two, tmp_path):
+    path = str(tmp_path / "log")
+    write_log(two, path)
+    store = Engine(spark, spark.read.parquet(path), path)
+
+    @F.udf("long")
+    def task():
+        from pyspark import TaskContext
+
+        return TaskContext.get().partitionId()
+
+    store.append(log(spark, [event(10 + i, ticks=30) for i in range(6)]).repartition(3).withColumn("schema_id", task()))
+    assert store.events.where("sequence >= 10").select("schema_id").distinct().count() > 1
+
+
 def test_transformations(spark, two):
     registry = transform.Registry()
     tight = transform.Manifest("x", "1.0.0", "event_to_observation", transform.Budget(steps=11))

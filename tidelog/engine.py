@@ -121,7 +121,7 @@ class Engine:
             if not claim(self.spark, self.path, first):
                 raise admit.AdmissionError(f"another writer appends from {first}")
             try:
-                write_log(checked.coalesce(1), self.path, ordered=True)  # a batch is one task's work
+                write_log(checked.repartition(1), self.path, ordered=True)  # one task writes the batch, but does not make it
             except BaseException:
                 release_claim(self.spark, self.path, first)
                 raise
