@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType
 
-from tidelog.operators.spans import numbered
+from tidelog.operators.spans import in_order
 
 FRONTIER_LIMIT = 100_000
+#: Edges that one task peels at a time.
+BLOCK_EDGES = 2_000_000
 
 
 class CycleError(ValueError):
@@ -131,13 +134,113 @@ def _peel(edges: list[tuple[int, int]]) -> dict[int, int] | None:
     return out if len(out) == len(effects.keys() | waiting.keys()) else None
 
 
+def _ascends(graph: DataFrame) -> bool:
+    """Whether every cause has a smaller id than its effect (of whole numbers), so that there can be no cycle."""
+    whole = all(isinstance(graph.schema[c].dataType, (LongType, IntegerType)) for c in ("cause", "effect"))
+    return whole and not graph.where(F.col("cause").isNull() | F.col("effect").isNull() | (F.col("cause") >= F.col("effect"))).take(1)
+
+
+def check_acyclic(graph: DataFrame) -> None:
+    """CycleError if there is a cycle. One runs through an edge whose ids do not ascend, and all of its nodes are ancestors of
+    that edge's cause: only these are peeled, and nothing where all edges ascend."""
+    if _ascends(graph):
+        return
+    inner = graph.select("cause", "effect")
+    start = {r[0] for r in inner.where(F.col("cause") >= F.col("effect")).select("cause").distinct().limit(FRONTIER_LIMIT + 1).collect()}
+    if len(start) <= FRONTIER_LIMIT:
+        reached = walk(graph, start, "causes", None).select(F.col("node").alias("effect"))
+        inner = inner.join(reached, "effect", "left_semi")
+    ends = inner.select(F.col("cause").alias("node")).unionByName(inner.select(F.col("effect").alias("node")))
+    topological_levels(inner, ends)
+
+
+def _peel_block(batches):
+    """node, level of the effects of one block, from the edges inside it (cause, effect) and what its effects have from
+    elsewhere (effect, least). Fronts are peeled as whole arrays."""
+    import numpy as np
+    import pyarrow as pa
+
+    batches = list(batches)
+    if not batches:
+        return
+    table = pa.Table.from_batches(batches)
+    cause, effect, least = (table.column(c).combine_chunks() for c in ("cause", "effect", "least"))
+    inside = cause.is_valid().to_numpy(zero_copy_only=False)
+    effect = effect.to_numpy(zero_copy_only=False)
+    c = cause.drop_null().to_numpy(zero_copy_only=False)
+    ids, at = np.unique(np.concatenate([c, effect]), return_inverse=True)
+    c, e = at[: len(c)], at[len(c) :]
+    level, is_effect = np.zeros(len(ids), "int64"), np.zeros(len(ids), bool)
+    is_effect[e] = True
+    level[e[~inside]] = least.to_numpy(zero_copy_only=False)[~inside]
+    e = e[inside]
+    order = np.argsort(c, kind="stable")
+    c, e = c[order], e[order]
+    first, waiting = np.searchsorted(c, np.arange(len(ids) + 1)), np.bincount(e, minlength=len(ids))
+    front = np.flatnonzero(waiting == 0)
+    while len(front):
+        size = first[front + 1] - first[front]
+        edge = np.repeat(first[front] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        to = e[edge]
+        np.maximum.at(level, to, np.repeat(level[front], size) + 1)
+        np.subtract.at(waiting, to, 1)
+        front = np.unique(to[waiting[to] == 0])
+    found = np.flatnonzero(is_effect)
+    yield pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.array(level[found].astype("int32"))], ["node", "level"])
+
+
+def _levels_in_blocks(graph: DataFrame) -> DataFrame:
+    """node, level of all effects of a graph whose ids ascend. Effects are cut into blocks of about BLOCK_EDGES edges, in order
+    of their ids: the causes of a block lie in it or before it. Levels of those before it come by a join with the blocks that
+    hold them, and one task peels what lies inside, so it never holds more than a block."""
+    durable = bool(graph.sparkSession.sparkContext.getCheckpointDir())
+    edge = graph.select(F.col("cause").cast("long"), F.col("effect").cast("long")).distinct().repartitionByRange("effect").sortWithinPartitions("effect").persist()
+    blocks = -(-edge.count() // BLOCK_EDGES)
+    cuts = edge.agg(F.percentile_approx("effect", [i / blocks for i in range(1, blocks)], 10_000)).first()[0] if blocks > 1 else []
+    cuts = sorted(set(cuts))
+    block = lambda c: sum([(F.col(c) > cut).cast("int") for cut in cuts], F.lit(0))
+    needs: dict[int, set[int]] = {}
+    for e, c in edge.select(block("effect").alias("e"), block("cause").alias("c")).distinct().collect():
+        needs.setdefault(e, set()).add(c)
+    parts: dict[int, DataFrame] = {}
+    for b in sorted(needs):
+        own = edge
+        if b > 0:
+            own = own.where(F.col("effect") > cuts[b - 1])
+        if b < len(cuts):
+            own = own.where(F.col("effect") <= cuts[b])
+        inside = own if b == 0 else own.where(F.col("cause") > cuts[b - 1])
+        rows = inside.select("cause", "effect", F.lit(None).cast("int").alias("least"))
+        if b > 0:
+            known = None
+            for k in sorted(needs[b] - {b}):
+                if k in parts:
+                    known = parts[k] if known is None else known.unionByName(parts[k])
+            before = own.where(F.col("cause") <= cuts[b - 1])
+            at = before.join(known, before["cause"] == known["node"], "left") if known is not None else before.withColumn("level", F.lit(0))
+            least = at.groupBy("effect").agg((F.max(F.coalesce("level", F.lit(0))) + 1).cast("int").alias("least"))
+            rows = rows.unionByName(least.select(F.lit(None).cast("long").alias("cause"), "effect", "least"))
+        made = rows.repartition(1).mapInArrow(_peel_block, "node long, level int").persist()
+        parts[b] = made.checkpoint() if durable else made
+        if durable:
+            made.unpersist()
+        else:
+            made.count()
+    edge.unpersist()
+    out = None
+    for part in parts.values():
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def topological_levels(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, level: longest path from a root, so every cause has a smaller level than its effects. nodes: node.
 
-    Roots are peeled off, level by level, and their edges with them; edges that remain when nothing can be peeled are a
-    cycle, and raise CycleError at once. A graph of FRONTIER_LIMIT edges or less is peeled by the driver; a larger one by
-    joins that read the remaining edges only, which are checkpointed each round (persisted, and released, where no
-    checkpoint folder is set).
+    A graph of FRONTIER_LIMIT edges or less is peeled by the driver. In a larger one whose ids ascend from cause to effect, as
+    those of a log do, blocks of effects are peeled one after another (see `_levels_in_blocks`), so the cost does not grow with
+    the depth. Of any other graph, roots are peeled off, level by level, by joins that read the remaining edges only, which are
+    checkpointed each round (persisted, and released, where no checkpoint folder is set); edges that remain when nothing can
+    be peeled are a cycle, and raise CycleError at once.
     """
     spark = graph.sparkSession
     few = graph.select("cause", "effect").distinct().limit(FRONTIER_LIMIT + 1).collect()
@@ -147,6 +250,9 @@ def topological_levels(graph: DataFrame, nodes: DataFrame) -> DataFrame:
             raise CycleError("the graph has a cycle")
         found = spark.createDataFrame(list(levels.items()), "node long, level int")
         return nodes.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("level", F.lit(0)).alias("level"))
+    if _ascends(graph):
+        found = _levels_in_blocks(graph)
+        return nodes.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("level", F.lit(0)).alias("level"))
     durable, level = bool(spark.sparkContext.getCheckpointDir()), 0
     keep = lambda df: df.checkpoint() if durable else df.persist()
     left, rest = keep(nodes.select("node").distinct()), keep(graph.select("cause", "effect").distinct())
@@ -170,9 +276,9 @@ def topological_levels(graph: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def topological_order(graph: DataFrame, nodes: DataFrame, span: int = 1_000_000) -> DataFrame:
-    """node, level, place: an order from 0 in which every cause comes before its effects: by level, then by id."""
-    levels = topological_levels(graph, nodes)
-    return numbered(levels, F.struct("level", F.expr(f"node div {span}").alias("part")), [F.col("node")], "place")
+    """node, level, place: an order from 0 in which every cause comes before its effects: by level, then by id. Nodes are
+    numbered in ranges that follow the data; `span` is accepted and no longer needed."""
+    return in_order(topological_levels(graph, nodes), ["level", "node"], "place")
 
 
 def add_edges(graph: DataFrame, new: DataFrame) -> DataFrame:

@@ -51,11 +51,12 @@ def numbered(df: DataFrame, span: Column, order: list[Column], name: str, keys:
     return ranked.join(starts, same).withColumn(name, F.col(start) + F.col(rank)).select(*df.columns, name)
 
 
-def in_order(df: DataFrame, order: str, name: str) -> DataFrame:
-    """Adds `name`: the rank from 0 in order of a column of any type. The rows are dealt in ranges, each sorted by one task and
+def in_order(df: DataFrame, order: str | list[str], name: str) -> DataFrame:
+    """Adds `name`: the rank from 0 in order of columns of any type. The rows are dealt in ranges, each sorted by one task and
     kept with its rows' places; a range starts at the count of those before it, and the driver sees one row a range."""
     durable, at = bool(df.sparkSession.sparkContext.getCheckpointDir()), free_name(df, "_at")
-    ranges = df.repartitionByRange(order).sortWithinPartitions(order).withColumn(at, F.monotonically_increasing_id())
+    by = [order] if isinstance(order, str) else order
+    ranges = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(at, F.monotonically_increasing_id())
     ranges = ranges.checkpoint() if durable else ranges.persist()
     part, place = F.shiftright(at, 33), F.col(at).bitwiseAND(F.lit((1 << 33) - 1))  # as that function numbers rows
     counts = dict(ranges.groupBy(part.cast("int").alias("part")).count().collect())
