@@ -2,6 +2,7 @@ import random
 from itertools import product
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.engine import Engine
@@ -661,6 +662,40 @@ def test_an_append_is_made_by_all_tasks(spark, two, tmp_path):
     assert store.events.where("sequence >= 10").select("schema_id").distinct().count() > 1
 
 
+def test_levels_of_large_graphs_come_in_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    links = sorted({(rng.randrange(max(0, n - 9), n), n) for n in range(1, 120) for _ in range(2)} | {(n // 2, n) for n in range(3, 120, 3)} | {(118, 300), (2, 300)})
+    want = dict.fromkeys(range(120), 0)
+    for c, e in sorted(links, key=lambda x: x[1]):
+        want[e] = max(want.get(e, 0), want[c] + 1)
+    graph, nodes = spark.createDataFrame(links + links[:3], "cause long, effect long"), spark.createDataFrame([(n,) for n in [*range(120), 300, 400]], "node long")
+    monkeypatch.setattr(causal, "FRONTIER_LIMIT", 0)
+    rounds = []
+    monkeypatch.setattr(DataFrame, "isEmpty", lambda self, f=DataFrame.isEmpty: rounds.append(1) or f(self))
+    for size in (1_000, 40, 7):
+        monkeypatch.setattr(causal, "BLOCK_EDGES", size)
+        got = causal.topological_levels(graph, nodes)
+        assert {r["node"]: r["level"] for r in got.collect()} == want | {400: 0}
+    assert not rounds  # no round a level
+    order = [r["node"] for r in causal.topological_order(graph, nodes).orderBy("place").collect()]
+    assert order == sorted(want | {400: 0}, key=lambda n: (want.get(n, 0), n))
+
+
+def test_acyclic_graphs_are_not_peeled(spark, monkeypatch):
+    tree = spark.createDataFrame([(n // 3, n) for n in range(1, 40)], "cause long, effect long")
+    monkeypatch.setattr(causal, "topological_levels", lambda graph, nodes, f=causal.topological_levels: sizes.append(graph.count()) or f(graph, nodes))
+    sizes = []
+    causal.check_acyclic(tree)
+    assert not sizes
+    more = lambda *pairs: tree.unionByName(spark.createDataFrame(list(pairs), "cause long, effect long"))
+    causal.check_acyclic(more((30, 5)))  # back, but no cycle: 30's ancestors are 10, 3, 1 and 0
+    assert sizes == [4]
+    for pairs in ([(30, 1)], [(5, 5)], [(30, 5), (17, 30)]):
+        with pytest.raises(causal.CycleError):
+            causal.check_acyclic(more(*pairs))
+    assert max(sizes) < 15
+
+
 def test_transformations(spark, two):
     registry = transform.Registry()
     tight = transform.Manifest("x", "1.0.0", "event_to_observation", transform.Budget(steps=11))

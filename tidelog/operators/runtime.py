@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.operators.causal import topological_levels
+from tidelog.operators.causal import check_acyclic
 from tidelog.operators.spans import carried, nth_smallest, numbered
 
 #: Fixed task classes, by priority, and pressure thresholds in percent.
@@ -67,7 +67,7 @@ def check_tasks(tasks: DataFrame, dependencies: DataFrame) -> None:
     """Raises if a task depends on one that does not exist, or, through others, on itself."""
     if missing := missing_dependencies(tasks, dependencies).take(1):
         raise LookupError(f"task {missing[0]['id']} needs {missing[0]['needs']}, which does not exist")
-    topological_levels(dependencies.select(F.col("needs").alias("cause"), F.col("id").alias("effect")), tasks.select(F.col("id").alias("node")))
+    check_acyclic(dependencies.select(F.col("needs").alias("cause"), F.col("id").alias("effect")))
 
 
 def missing_dependencies(tasks: DataFrame, dependencies: DataFrame) -> DataFrame:
