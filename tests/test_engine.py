@@ -696,6 +696,20 @@ def test_acyclic_graphs_are_not_peeled(spark, monkeypatch):
     assert max(sizes) < 15
 
 
+def test_contradictions_of_common_words_are_dealt_out(spark, monkeypatch):
+    words = ["alive", "dead", "inactive", "active", "open closed", "closed", "true false", "calm", "not calm", "not not calm", "not alive", "Not dead ", None]
+    df = spark.createDataFrame([(n, words[n % 13]) for n in range(90)] + [(5, "closed"), (6, "dead")], "id long, proposition string")
+    a, b = (df.select(F.col("id").alias(i), knowledge.normal(F.col("proposition")).alias(p)) for i, p in (("item_a", "p"), ("item_b", "q")))
+    want = {tuple(r) for r in a.join(b, F.col("item_a") < F.col("item_b")).where(knowledge.contradicts(F.col("p"), F.col("q"))).select("item_a", "item_b").collect()}
+    for group in (2_048, 5, 1):
+        monkeypatch.setattr(knowledge, "GROUP", group)
+        found = knowledge.contradictions(df)
+        got = [tuple(r) for r in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")  # the pairs themselves are not held
+
+
 def test_transformations(spark, two):
     registry = transform.Registry()
     tight = transform.Manifest("x", "1.0.0", "event_to_observation", transform.Budget(steps=11))

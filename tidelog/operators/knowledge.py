@@ -37,17 +37,44 @@ def contradicts(a: Column, b: Column) -> Column:
     return out
 
 
+#: Beliefs that ask for a tag, or hold it, and meet in one group of a join.
+GROUP = 2_048
+
+
 def contradictions(beliefs: DataFrame) -> DataFrame:
     """item_a < item_b: every contradicting pair of beliefs (id, proposition).
 
     Pairs are never formed blindly: negations meet by equality of the proposition, and antonyms by the words they hold, so
-    a pair is only compared if it contradicts. (Contradicting pairs themselves are the output and may be many.)
+    a pair is only compared if it contradicts. (Contradicting pairs themselves are the output and may be many.) Of the tags
+    by which a pair meets, only the first in order makes it, so no pairs are held to find repeated ones. Those who ask for a
+    tag are dealt into groups of about GROUP, and those who hold it too, and each group meets each, so a common tag is the
+    work of many tasks.
     """
-    rows = _tagged(beliefs)
-    left = rows.where("asks").select(F.col("id").alias("a"), "tag")
-    right = rows.where("not asks").select(F.col("id").alias("b"), "tag")
-    pairs = left.join(right, "tag").where("a <> b")
-    return pairs.select(F.least("a", "b").alias("item_a"), F.greatest("a", "b").alias("item_b")).distinct()
+    rows = _tagged(beliefs).distinct()
+    asks, holds = rows.where("asks").select(F.col("id").alias("a"), "tag"), rows.where("not asks").select(F.col("id").alias("b"), "tag")
+    sizes = rows.groupBy("tag").agg(F.count(F.when(F.col("asks"), 1)).alias("n_a"), F.count(F.when(~F.col("asks"), 1)).alias("n_b")).where("n_a > 0 and n_b > 0")
+    groups = lambda n: F.ceil(F.col(n) / GROUP).cast("int")
+    sizes = sizes.select("tag", groups("n_a").alias("g_a"), groups("n_b").alias("g_b"))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    bit = F.lit(0).cast("long")
+    for i, word in enumerate(sorted({w for pair in ANTONYMS for w in pair})):
+        bit = F.when(F.col("tag") == f"#{word}", F.lit(1 << i).cast("long")).otherwise(bit)
+    of = lambda test: [F.bit_or(F.when(test, bit).otherwise(F.lit(0).cast("long"))), F.collect_set(F.when(test & (bit == 0), F.col("tag")))]
+    facts = [c.alias(n) for c, n in zip([*of(F.col("asks")), *of(~F.col("asks"))], ("asked", "asked_word", "held", "held_word"), strict=True)]
+    marks = rows.groupBy("id").agg(*facts)  # antonyms as bits; whole propositions by name, one an id where ids differ
+    mark = lambda c: marks.select(F.col("id").alias(c), *[F.col(n).alias(f"{n}_{c}") for n in ("asked", "asked_word", "held", "held_word")])
+    kept = lambda c: [f"{n}_{c}" for n in ("asked", "asked_word", "held", "held_word")]
+    left = asks.join(sizes, "tag").join(mark("a"), "a").select("a", "tag", bit.alias("bit"), *kept("a"), own("a", "g_a").alias("x"), every("g_b").alias("y"))
+    right = holds.join(sizes, "tag").join(mark("b"), "b").select("b", "tag", *kept("b"), own("b", "g_b").alias("y"), every("g_a").alias("x"))
+    pairs = left.join(right, ["tag", "x", "y"]).where("a <> b")
+    back = F.col("asked_b").bitwiseAND(F.col("held_a"))
+    common = F.col("asked_a").bitwiseAND(F.col("held_b")).bitwiseOR(back)
+    by_bit = (common.bitwiseAND(-common) == F.col("bit")) & ((F.col("a") < F.col("b")) | (back.bitwiseAND(F.col("bit")) == 0))
+    words = F.array_intersect("asked_word_b", "held_word_a")
+    by_word = (common == 0) & (F.col("tag") == F.array_min(F.concat(F.array_intersect("asked_word_a", "held_word_b"), words))) & ((F.col("a") < F.col("b")) | ~F.array_contains(words, F.col("tag")))
+    once = F.when(F.col("bit") != 0, by_bit).otherwise(by_word)
+    return pairs.where(once).select(F.least("a", "b").alias("item_a"), F.greatest("a", "b").alias("item_b"))
 
 
 def _tagged(beliefs: DataFrame) -> DataFrame:
