@@ -710,6 +710,14 @@ def test_contradictions_of_common_words_are_dealt_out(spark, monkeypatch):
     assert plan.index("Join") < plan.index("Aggregate")  # the pairs themselves are not held
 
 
+def test_payloads_are_measured_and_not_carried(spark, two):
+    big = two.withColumns({"payload": F.when(F.col("sequence") % 3 == 0, F.repeat(F.lit("x"), admit.MAX_PAYLOAD + 1).cast("binary")).otherwise(F.col("payload")), "causes": F.filter("causes", lambda c: c["sequence"] >= 0)})
+    found = admit.violations(big)
+    assert sorted(ids(found)) == [0, 3, 6, 9]
+    projects = [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Project [" in line]
+    assert not any("AS payload" in line for line in projects)
+
+
 def test_transformations(spark, two):
     registry = transform.Registry()
     tight = transform.Manifest("x", "1.0.0", "event_to_observation", transform.Budget(steps=11))

@@ -41,14 +41,17 @@ def is_contiguous(events: DataFrame) -> DataFrame:
 
 
 def violations(batch: DataFrame) -> DataFrame:
-    """sequence, reason of rows that no batch may hold: oversize payloads, too many causes, causes that do not precede."""
+    """sequence, reason of rows that no batch may hold: oversize payloads, too many causes, causes that do not precede.
+
+    Payloads are measured where they are made or read, so that no row takes its payload along."""
+    own = batch.select("sequence", "source", "epoch", F.octet_length("payload").alias("_bytes"), "causes")
     not_before = F.exists("causes", lambda c: (c["source"] == F.col("source")) & (c["epoch"] == F.col("epoch")) & (c["sequence"] >= F.col("sequence")))
     reason = (
-        F.when(F.octet_length("payload") > MAX_PAYLOAD, "payload too large")
+        F.when(F.col("_bytes") > MAX_PAYLOAD, "payload too large")
         .when(F.size("causes") > MAX_CAUSES, "too many causes")
         .when(not_before, "cause does not precede")
     )
-    return batch.select("sequence", reason.alias("reason")).where("reason is not null")
+    return own.select("sequence", reason.alias("reason")).where("reason is not null")
 
 
 def admit(batch: DataFrame, next_sequence: int, last_known: tuple[int, int] | None, max_records: int = MAX_RECORDS) -> DataFrame:
