@@ -718,6 +718,29 @@ def test_payloads_are_measured_and_not_carried(spark, two):
     assert not any("AS payload" in line for line in projects)
 
 
+def test_streaming_folds_get_plain_rows_in_order(spark, tmp_path):
+    path, got = str(tmp_path / "log"), {}
+    rows = spark.range(40).select(F.lit(0).cast("long").alias("shard"), (F.col("id") % 3).alias("slot"), F.lit(0).cast("long").alias("generation"), F.col("id").alias("sequence"), F.timestamp_seconds("id").alias("at"), F.when(F.col("id") % 2 == 0, F.lit("x")).alias("word"))
+    rows.orderBy(F.col("sequence").desc()).coalesce(1).write.parquet(path)
+
+    def step(state, row):
+        assert type(row["sequence"]) is int and row["at"].second == row["sequence"] and (row["word"] == "x") == (row["sequence"] % 2 == 0)
+        last = (state or {"last": -1, "n": 0})["last"]
+        assert row["sequence"] > last
+        return {"last": row["sequence"], "n": (state or {"n": 0})["n"] + 1}
+
+    out = subscribe.fold_stream(subscribe.stream_log(spark, path, rows.schema, 1), step, ["at", "word"], "last long, n long")
+    keep = lambda df, i: got.update({r["slot"]: (r["last"], r["n"]) for r in df.collect()})
+    out.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    assert got == {0: (39, 14), 1: (37, 13), 2: (38, 13)}
+
+
+def test_a_fold_makes_no_table_of_its_rows():
+    import inspect
+
+    assert "sort_values" not in inspect.getsource(subscribe.fold_stream) and "to_dict" not in inspect.getsource(subscribe.fold_stream)
+
+
 def test_transformations(spark, two):
     registry = transform.Registry()
     tight = transform.Manifest("x", "1.0.0", "event_to_observation", transform.Budget(steps=11))

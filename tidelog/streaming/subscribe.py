@@ -108,14 +108,17 @@ def fold_stream(matches: DataFrame, reducer: Callable[[dict | None, dict], dict
 
     def fold(key, batches, state):
         now = json.loads(state.get[0]) if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("sequence")
-        for row in rows.to_dict("records"):
-            now = reducer(now, row)
+        parts = list(batches)
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts)
+        taken = {c: rows[c].tolist() for c in rows.columns}
+        order = sorted(range(len(rows)), key=taken["sequence"].__getitem__)
+        for i in order:  # an entity has few rows a batch: lists cost less than a sorted table of them
+            now = reducer(now, {c: v[i] for c, v in taken.items()})
         if now is None:
             state.remove()
             return
         state.update((json.dumps(now),))
-        yield pd.DataFrame([dict(zip(ENTITY, key, strict=True)) | {n: now.get(n) for n in names}], columns=[*ENTITY, *names])
+        yield pd.DataFrame({n: [v] for n, v in zip((*ENTITY, *names), (*key, *[now.get(n) for n in names]), strict=True)})
 
     keyed = matches.select(*ENTITY, "sequence", *columns).groupBy(*ENTITY)
     return keyed.applyInPandasWithState(fold, f"shard long, slot long, generation long, {schema}", "state string", "update", "NoTimeout")
